@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.dims import ORDINAL_WORDS
-from quire.functions.text import NON_WS, strip_ws
+from quire.functions.text import NON_WS, let, strip_ws
 
 # --- fixed values: patterns and word lists ------------------------------------
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
@@ -96,61 +96,65 @@ def normalize_date(raw: Column, pivot_year: int = PIVOT_YEAR) -> Column:
     Numeric dates are month first, swapped when the first number cannot be a month;
     a first number over 31 is a year.
     """
-    plain = F.regexp_replace(F.lower(strip_ws(raw)), r"(\d)(st|nd|rd|th)\b", "$1")
     triple = r"^(\d{1,4})[/-](\d{1,2})[/-](\d{1,4})$"
     day_month = r"^(\d{1,2})\s+([a-z]+),?\s+(\d{2,4})$"
     month_day = r"^([a-z]+)\s+(\d{1,2}),?\s+(\d{2,4})$"
-
-    def part(pattern: str, group: int) -> Column:
-        return _first(plain, pattern, group)
+    months = F.create_map(
+        *[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)],
+        *[F.lit(x) for i, m in enumerate(MONTH_NAMES) if m not in MONTHS for x in (m, i + 1)],
+        F.lit("sept"), F.lit(9),
+    )
 
     def number(c: Column) -> Column:
         return c.try_cast("int")
 
-    def month_number(name: Column) -> Column:
-        known = F.create_map(
-            *[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, i + 1)],
-            *[F.lit(x) for i, m in enumerate(MONTH_NAMES) if m not in MONTHS for x in (m, i + 1)],
-            F.lit("sept"), F.lit(9),
+    def groups(plain: Column, pattern: str, *names: str) -> Column:
+        return F.when(
+            plain.rlike(pattern), F.struct(*[F.regexp_extract(plain, pattern, i + 1).alias(n) for i, n in enumerate(names)])
         )
-        return F.try_element_at(known, name)
-
-    a, b, c = (part(triple, g) for g in (1, 2, 3))
-    year_led = (F.length(a) > 2) | (number(a) > 31)
-    swapped = number(a) > 12
-    numeric = F.struct(
-        F.when(year_led, a).otherwise(c).alias("y"),
-        F.when(year_led, number(b)).when(swapped, number(b)).otherwise(number(a)).alias("m"),
-        F.when(year_led, number(c)).when(swapped, number(a)).otherwise(number(b)).alias("d"),
-    )
 
-    def named(day: Column, month: Column, year: Column) -> Column:
-        flipped = (number(day) > 31) & (F.length(year) == 2)
+    def numeric(t: Column) -> Column:
+        """First number leads as a year, else is the month, unless it cannot be one."""
+        year_led = (F.length(t["a"]) > 2) | (number(t["a"]) > 31)
+        swapped = number(t["a"]) > 12
         return F.struct(
-            F.when(flipped, day).otherwise(year).alias("y"),
-            month_number(month).alias("m"),
-            F.when(flipped, number(year)).otherwise(number(day)).alias("d"),
+            F.when(year_led, t["a"]).otherwise(t["c"]).alias("y"),
+            F.when(year_led | swapped, number(t["b"])).otherwise(number(t["a"])).alias("m"),
+            F.when(year_led, number(t["c"])).when(swapped, number(t["a"])).otherwise(number(t["b"])).alias("d"),
         )
 
-    ymd = (
-        F.when(a.isNotNull(), numeric)
-        .when(part(day_month, 2).isNotNull(), named(*(part(day_month, g) for g in (1, 2, 3))))
-        .when(part(month_day, 1).isNotNull(), named(part(month_day, 2), part(month_day, 1), part(month_day, 3)))
-    )
-    year = number(ymd["y"])
-    near = year + 2000
-    full_year = F.when(
-        F.length(ymd["y"]) <= 2,
-        F.when(near >= pivot_year + 50, near - 100).when(near < pivot_year - 50, near + 100).otherwise(near),
-    ).otherwise(year)
-    iso = F.concat_ws(
-        "-",
-        F.lpad(full_year.cast("string"), 4, "0"),
-        F.lpad(ymd["m"].cast("string"), 2, "0"),
-        F.lpad(ymd["d"].cast("string"), 2, "0"),
-    )
-    complete = ymd["m"].isNotNull() & ymd["d"].isNotNull() & full_year.isNotNull() & (full_year > 0)
-    return F.when(complete & iso.try_cast("date").isNotNull(), iso)
+    def named(t: Column) -> Column:
+        flipped = (number(t["d"]) > 31) & (F.length(t["y"]) == 2)
+        return F.struct(
+            F.when(flipped, t["d"]).otherwise(t["y"]).alias("y"),
+            F.try_element_at(months, t["m"]).alias("m"),
+            number(F.when(flipped, t["y"]).otherwise(t["d"])).alias("d"),
+        )
+
+    def full_year(ymd: Column) -> Column:
+        year = number(ymd["y"])
+        near = year + 2000
+        close = F.when(near >= pivot_year + 50, near - 100).when(near < pivot_year - 50, near + 100).otherwise(near)
+        return F.when(F.length(ymd["y"]) <= 2, close).otherwise(year)
+
+    def iso(ymd: Column) -> Column:
+        year = full_year(ymd)
+        text = F.concat(
+            F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(ymd["m"].cast("string"), 2, "0"), F.lit("-"),
+            F.lpad(ymd["d"].cast("string"), 2, "0"),
+        )
+        return let(F.when(year > 0, text), lambda t: F.when(t.try_cast("date").isNotNull(), t))
+
+    def parse(plain: Column) -> Column:
+        by_name = F.coalesce(groups(plain, day_month, "d", "m", "y"), F.when(
+            plain.rlike(month_day),
+            F.struct(*[F.regexp_extract(plain, month_day, i).alias(n) for n, i in (("d", 2), ("m", 1), ("y", 3))]),
+        ))
+        ymd = F.coalesce(let(groups(plain, triple, "a", "b", "c"), lambda t: F.when(t.isNotNull(), numeric(t))),
+                         let(by_name, lambda t: F.when(t.isNotNull(), named(t))))
+        return let(ymd, iso)
+
+    return let(F.regexp_replace(F.lower(strip_ws(raw)), r"(\d)(st|nd|rd|th)\b", "$1"), parse)
 
 
 def dates(c: Column, pivot_year: int = PIVOT_YEAR) -> Column:
@@ -162,7 +166,12 @@ def dates(c: Column, pivot_year: int = PIVOT_YEAR) -> Column:
 
 def coerce_date(value: Column, pivot_year: int = PIVOT_YEAR) -> Column:
     """A whole value that is a date, or the first date inside it."""
-    return F.coalesce(normalize_date(value, pivot_year), normalize_date(_first(value, DATE), pivot_year))
+    return F.get(
+        F.filter(
+            F.transform(F.array(value, _first(value, DATE)), lambda v: normalize_date(v, pivot_year)), lambda d: d.isNotNull()
+        ),
+        F.lit(0),
+    )
 
 
 def coerce_year(value: Column) -> Column:
@@ -172,9 +181,10 @@ def coerce_year(value: Column) -> Column:
 def _ordinal(phrase: Column) -> Column:
     """Number of an ordinal phrase: the whole phrase, else its last word."""
     words = F.create_map(*[F.lit(x) for item in ORDINAL_WORDS.items() for x in item])
-    t = F.lower(strip_ws(phrase))
-    last = F.regexp_extract(t, rf"({NON_WS}+)\z", 1)
-    return F.coalesce(F.try_element_at(words, t), F.try_element_at(words, last))
+    return let(
+        F.lower(strip_ws(phrase)),
+        lambda t: F.coalesce(F.try_element_at(words, t), F.try_element_at(words, F.regexp_extract(t, rf"({NON_WS}+)\z", 1))),
+    )
 
 
 def _numbered(head: Column, word: str, digit: Column, words_pattern: str, filler: str) -> Column:
@@ -209,24 +219,31 @@ def select_match(value: Column, options: Column, strict: bool = False) -> Column
     dashes, contained in an option. The published behaviour gives the *first* option
     for any other non-empty value; ``strict`` gives null there.
     """
-    s = strip_ws(value)
-    digits = F.regexp_replace(s, r"[^\p{Nd}]", "")
-    low = F.regexp_replace(strip_ws(F.replace(F.lower(s), F.lit("part"), F.lit(""))), "^[- ]+|[- ]+$", "")
-    by_case = F.get(F.filter(options, lambda o: F.lower(o) == F.lower(s)), F.lit(0))
-    by_digits = F.when(
-        digits != "",
-        F.get(F.filter(options, lambda o: F.regexp_replace(o, r"[^\p{Nd}]", "") == digits), F.lit(0)),
-    )
-    contained = F.get(
-        F.filter(
-            options,
-            lambda o: F.contains(F.lower(o), low)
-            | (low.isin(SELECT_ROMAN) & F.contains(F.replace(F.lower(o), F.lit("bulletin part "), F.lit("")), low))
-            | (F.lit(not strict) & ~low.isin(SELECT_ROMAN)),
-        ),
-        F.lit(0),
-    )
-    return F.when(s != "", F.coalesce(by_case, by_digits, F.when(low != "", contained)))
+
+    def digits_of(c: Column) -> Column:
+        return F.regexp_replace(c, r"[^\p{Nd}]", "")
+
+    def match(v: Column) -> Column:
+        s, digits, low = v["s"], v["digits"], v["low"]
+        roman = low.isin(SELECT_ROMAN)
+        by_case = F.get(F.filter(options, lambda o: F.lower(o) == F.lower(s)), F.lit(0))
+        by_digits = F.get(F.filter(options, lambda o: (digits != "") & (digits_of(o) == digits)), F.lit(0))
+        contained = F.get(
+            F.filter(
+                options,
+                lambda o: F.contains(F.lower(o), low)
+                | (roman & F.contains(F.replace(F.lower(o), F.lit("bulletin part "), F.lit("")), low))
+                | (F.lit(not strict) & ~roman),
+            ),
+            F.lit(0),
+        )
+        return F.when(s != "", F.coalesce(by_case, by_digits, F.when(low != "", contained)))
+
+    def prepare(s: Column) -> Column:
+        low = F.regexp_replace(strip_ws(F.replace(F.lower(s), F.lit("part"), F.lit(""))), "^[- ]+|[- ]+$", "")
+        return F.struct(s.alias("s"), digits_of(s).alias("digits"), low.alias("low"))
+
+    return let(let(strip_ws(value), prepare), match)
 
 
 def coerce_field(value: Column, kind: Column, options: Column, strict: bool = False) -> Column:

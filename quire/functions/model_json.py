@@ -5,27 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import non_empty, strip_ws
+from quire.functions.text import let, non_empty, strip_ws
 
 
 def _is_object(c: Column) -> Column:
-    return F.try_parse_json(c).isNotNull() & strip_ws(c).startswith("{")
+    return c.startswith("{") & F.try_parse_json(c).isNotNull()
 
 
 def clean_json(raw: Column) -> Column:
     """The answer as JSON object text: as given, else without code fence and ``json`` tag, else null."""
-    bare = strip_ws(raw)
-    inner = strip_ws(F.regexp_replace(bare, "^`+|`+$", ""))
-    untagged = F.when(F.lower(F.left(inner, F.lit(4))) == "json", strip_ws(F.substring(inner, 5, 2**31 - 1))).otherwise(inner)
-    unfenced = F.when(bare.startswith("```"), untagged)
-    return F.when(_is_object(bare), bare).when(_is_object(unfenced), unfenced)
+
+    def untagged(inner: Column) -> Column:
+        tail = strip_ws(F.substring(inner, 5, 2**31 - 1))
+        return F.when(F.lower(F.left(inner, F.lit(4))) == "json", tail).otherwise(inner)
+
+    def read(bare: Column) -> Column:
+        inner = strip_ws(F.regexp_replace(bare, "^`+|`+$", ""))
+        unfenced = F.when(bare.startswith("```"), let(inner, untagged))
+        return F.when(_is_object(bare), bare).otherwise(let(unfenced, lambda u: F.when(_is_object(u), u)))
+
+    return let(strip_ws(raw), read)
 
 
 def typed_field(raw: Column, path: str, kind: str, type_prefix: str) -> Column:
     """Field of the answer cast to ``kind``, only when the JSON type starts with ``type_prefix``."""
-    variant = F.try_parse_json(clean_json(raw))
-    held = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
-    return F.when(held.startswith(type_prefix), F.try_variant_get(variant, path, kind))
+
+    def pick(v: Column) -> Column:
+        held = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        return F.when(held.startswith(type_prefix), F.try_variant_get(v, path, kind))
+
+    return let(F.try_parse_json(clean_json(raw)), pick)
 
 
 def summary_answer(raw: Column) -> Column:
@@ -39,7 +48,7 @@ def metatags(raw: Column) -> Column:
     entities = typed_field(raw, "$.entities", "array<struct<name:string,type:string>>", "ARRAY")
     keywords = typed_field(raw, "$.suggested_keywords", "array<string>", "ARRAY")
     found = F.struct(topics.alias("topics"), entities.alias("entities"), keywords.alias("suggested_keywords"))
-    return F.when(F.coalesce(topics.isNotNull() | entities.isNotNull() | keywords.isNotNull(), F.lit(False)), found)
+    return let(found, lambda t: F.when(t["topics"].isNotNull() | t["entities"].isNotNull() | t["suggested_keywords"].isNotNull(), t))
 
 
 def merged_keywords(found: Column, suggested: Column) -> Column:

@@ -17,6 +17,15 @@ PAGE_MARKER = rf"(?md)^=== PAGE (\d+) ==={WS}*$"
 ENTRY_ARRAY = "array<struct<page_index:int,body:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Column expressions are trees: an intermediate used five times is otherwise
+    evaluated (and compiled) five times.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_ws(c: Column) -> Column:
     # The lookbehind makes the trailing branch start only at the head of a blank
     # run, so long inner runs are not rescanned from every position.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.dims import Taxonomy, class_schema
 from quire.functions import extract as X
 from quire.functions.model_json import clean_json, merged_keywords, metatags
-from quire.functions.text import is_blank
+from quire.functions.text import is_blank, let
 
 HEURISTIC_FIELDS = ["Date", "Year", "Assembly", "Session", "Bulletin Parts"]
 SCHEMA_TYPE = "array<struct<name:string,type:string,options:array<string>>>"
@@ -100,16 +100,21 @@ def class_fields(text: Column, doc_class: Column, taxonomy: Taxonomy | None = No
 
 def coerce_answer(raw: Column, schema: Column, strict: bool = False) -> Column:
     """A model's JSON answer as class fields; null when nothing usable is in it."""
-    given = F.from_json(clean_json(raw), "map<string,string>")
-    entries = F.transform(
-        schema,
-        lambda f: F.struct(
-            f["name"].alias("key"),
-            X.coerce_field(F.try_element_at(given, f["name"]), f["type"], f["options"], strict).alias("value"),
-        ),
-    )
-    found = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-    return F.when(F.size(found) > 0, found)
+
+    def fields_of(given: Column) -> Column:
+        return F.transform(
+            schema,
+            lambda f: F.struct(
+                f["name"].alias("key"),
+                let(
+                    F.try_element_at(given, f["name"]), lambda v: X.coerce_field(v, f["type"], f["options"], strict)
+                ).alias("value"),
+            ),
+        )
+
+    entries = let(F.from_json(let(raw, clean_json), "map<string,string>"), fields_of)
+    found = let(F.filter(entries, lambda e: e["value"].isNotNull()), F.map_from_entries)
+    return let(found, lambda m: F.when(F.size(m) > 0, m))
 
 
 def extract_metadata(
