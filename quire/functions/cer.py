@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import is_blank, strip_ws
+from quire.functions.text import is_blank, let, strip_ws
 
 PREVIEW_CHARS = 16000
 # Widths tried in turn; the last resort is the full matrix.
@@ -31,13 +31,13 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     a blank-only reference is 0."""
     ref = F.coalesce(reference, F.lit(""))
     hyp = F.coalesce(hypothesis, F.lit(""))
-    r, h = strip_ws(ref), strip_ws(hyp)
+    trimmed = F.struct(strip_ws(ref).alias("r"), strip_ws(hyp).alias("h"))
     return (
         F.when((ref == "") & (hyp == ""), F.lit(0.0))
         .when(ref == "", F.lit(1.0))
         .when(ref == hyp, F.lit(0.0))
         .when(is_blank(ref), F.lit(0.0))
-        .otherwise(edit_distance(r, h) / F.length(r))
+        .otherwise(let(trimmed, lambda t: edit_distance(t["r"], t["h"]) / F.length(t["r"])))
         .cast("double")
     )
 

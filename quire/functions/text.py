@@ -73,31 +73,36 @@ def marked_entries(c: Column) -> Column:
     last body. Unmarked text is page 0; blank text gives no entry. All in the row:
     no shuffle, whatever the length of the text.
     """
-    bodies = F.split(c, PAGE_MARKER, -1)
-    numbers = F.regexp_extract_all(c, F.lit(PAGE_MARKER), F.lit(1))
-    numbered = F.zip_with(
-        F.transform(numbers, lambda n, i: F.struct(n.try_cast("int").alias("n"), i.alias("pos"))),
-        F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))),
-        lambda k, b: F.struct((k["n"] - 1).alias("page_index"), k["pos"].alias("pos"), strip_ws(b).alias("body")),
-    )
-    ordered = F.array_sort(F.filter(numbered, lambda e: e["page_index"].isNotNull()))
-    # Neighbours in page order: an entry survives when the next one is another page.
-    kept = F.filter(
-        F.zip_with(
+
+    def numbered(bodies: Column) -> Column:
+        return F.zip_with(
+            F.regexp_extract_all(c, F.lit(PAGE_MARKER), F.lit(1)),
+            F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))),
+            lambda n, b: F.struct((n.try_cast("int") - 1).alias("page_index"), strip_ws(b).alias("body")),
+        )
+
+    def in_page_order(entries: Column) -> Column:
+        placed = F.transform(entries, lambda e, i: F.struct(e["page_index"].alias("page_index"), i.alias("pos"), e["body"].alias("body")))
+        return F.array_sort(F.filter(placed, lambda e: e["page_index"].isNotNull()))
+
+    def last_of_page(ordered: Column) -> Column:
+        # Neighbours in page order: an entry stays when the next one is another page.
+        marked = F.zip_with(
             ordered,
             F.slice(ordered, F.lit(2), F.greatest(F.size(ordered), F.lit(1))),
             lambda e, nxt: F.when(
                 nxt.isNull() | (nxt["page_index"] != e["page_index"]),
                 F.struct(e["page_index"].alias("page_index"), e["body"].alias("body")),
             ),
-        ),
-        lambda e: e.isNotNull(),
-    )
+        )
+        return F.filter(marked, lambda e: e.isNotNull())
+
+    split_up = let(in_page_order(let(F.split(c, PAGE_MARKER, -1), numbered)), last_of_page)
     whole = F.array(F.struct(F.lit(0).alias("page_index"), strip_ws(c).alias("body")))
     return (
         F.when(is_blank(c), F.array().cast(ENTRY_ARRAY))
         .when(~has_page_markers(c), whole.cast(ENTRY_ARRAY))
-        .otherwise(kept.cast(ENTRY_ARRAY))
+        .otherwise(split_up.cast(ENTRY_ARRAY))
     )
 
 
@@ -132,7 +137,7 @@ def first_sentences(c: Column, n: int = 3) -> Column:
     pieces = F.filter(
         F.transform(F.split(F.replace(c, F.lit("\n"), F.lit(" ")), r"\.", -1), strip_ws), lambda p: p != ""
     )
-    return F.concat(F.array_join(F.slice(pieces, 1, n), ". "), F.when(F.size(pieces) > 0, ".").otherwise(""))
+    return let(pieces, lambda p: F.concat(F.array_join(F.slice(p, 1, n), ". "), F.when(F.size(p) > 0, ".").otherwise("")))
 
 
 def fixed_decimals(c: Column, digits: int) -> Column:
@@ -156,17 +161,16 @@ def verdict_label(c: Column) -> Column:
 
 
 def sorted_runs(ordered: Column) -> Column:
-    """Run-length count of a sorted string array: ``array<struct<term, tf>>``.
+    """Run-length count of a sorted string array: ``array<struct<term, tf>>``, linear in its length."""
 
-    ``ordered`` must be a materialised column (not an inline expression): it is read
-    by position from inside the lambdas.
-    """
-    n = F.size(ordered)
-    starts = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), F.array(n))
-    return F.filter(
-        F.zip_with(starts, ends, lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).alias("tf"))),
-        lambda r: r["term"].isNotNull(),
-    )
+    def starts_of(s: Column) -> Column:
+        n = F.size(s)
+        first_of_run = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.when(n > 0, first_of_run).otherwise(F.array().cast("array<int>"))
+
+    def runs(s: Column, starts: Column) -> Column:
+        following = F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0)))
+        ends = F.when(F.size(starts) > 0, F.concat(following, F.array(F.size(s)))).otherwise(starts)
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).alias("tf")))
+
+    return let(ordered, lambda s: let(starts_of(s), lambda starts: runs(s, starts)))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.dims import MAX_TAXONOMY_TERMS, Taxonomy
-from quire.functions.text import head_tail, sorted_runs, squash_ws, strip_ws
+from quire.functions.text import head_tail, let, sorted_runs, squash_ws, strip_ws
 
 # Fixed values.
 MAX_CHARS = 100_000
@@ -95,22 +95,28 @@ def keyword_intent(prepared: Column, hints: list[str]) -> Column:
 
 def term_counts(pages: DataFrame, prepared: str, out: str = "terms") -> DataFrame:
     """Adds ``out``: ``array<struct<term, tf>>`` over 1-grams and 2-grams, in the row."""
-    return (
-        pages.withColumn("__words", unigrams(F.col(prepared)))
-        .withColumn("__sorted", F.sort_array(with_bigrams(F.col("__words"))))
-        .withColumn(out, sorted_runs(F.col("__sorted")))
-        .drop("__words", "__sorted")
-    )
+    words = unigrams(F.col(prepared))
+    return pages.withColumn(out, sorted_runs(let(words, lambda w: F.sort_array(with_bigrams(w)))))
 
 
-def class_similarities(pages: DataFrame, key: list[str], text: str, taxonomy: Taxonomy | None = None) -> DataFrame:
-    """One row per page: ``cosine`` and ``keyword`` arrays in class order, ``has_text``."""
-    t = taxonomy or Taxonomy()
-    spark = pages.sparkSession
-    n_classes, n = len(t.classes), len(t.classes) + 1
+def _vocabulary(spark: SparkSession, t: Taxonomy) -> DataFrame:
+    """Class terms with their inverse frequencies, without and with the page in the corpus."""
+    n = len(t.classes) + 1
     max_df = MAX_DF_SHARE * n
-    idf_own = math.log((1.0 + n) / 2.0) + 1.0
+    one_row = F.col("class_pos") == F.min("class_pos").over(Window.partitionBy("term"))
+    # A term in every text of the page's corpus is left out of all vectors.
+    return taxonomy_weights(spark, t).select(
+        "term",
+        "class_pos",
+        one_row.alias("first_of_term"),
+        F.when(F.col("df") + 1 <= max_df, _idf(F.col("df") + 1, n)).otherwise(F.lit(0.0)).alias("idf_new"),
+        F.when(F.col("df") <= max_df, _idf(F.col("df"), n)).otherwise(F.lit(0.0)).alias("idf_old"),
+        _sublinear(F.col("tf_class")).alias("w_class"),
+    )
 
+
+def _matched_terms(pages: DataFrame, key: list[str], text: str, t: Taxonomy) -> DataFrame:
+    """Terms a page shares with the taxonomy, plus one row with a null term for the page itself."""
     counted = term_counts(pages.select(*key, prepare_text(F.col(text)).alias("__low")), "__low", "__terms").select(
         *key,
         (F.col("__low") != "").alias("has_text"),
@@ -118,38 +124,58 @@ def class_similarities(pages: DataFrame, key: list[str], text: str, taxonomy: Ta
         F.aggregate("__terms", F.lit(0.0), lambda acc, r: acc + F.pow(_sublinear(r["tf"]), 2)).alias("__sum_sq"),
         "__terms",
     )
-    # A leading null term carries the page itself, so a page that shares nothing stays in.
     carrier = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("tf")))
-    exploded = counted.select("*", F.explode(F.concat(carrier, F.col("__terms"))).alias("__t")).select(
+    exploded = counted.select("*", F.explode_outer(F.concat(carrier, F.col("__terms"))).alias("__t")).select(
         *key, "has_text", "keyword", "__sum_sq", F.col("__t.term").alias("term"), F.col("__t.tf").alias("tf")
     )
-    vocabulary = taxonomy_weights(spark, t).withColumn("first_of_term", F.col("class_pos") == F.min("class_pos").over(Window.partitionBy("term")))
-    weights = vocabulary.select(
-        "term",
-        "class_pos",
-        "first_of_term",
-        # A term in every text of the page's corpus is left out of all vectors.
-        F.when(F.col("df") + 1 <= max_df, _idf(F.col("df") + 1, n)).otherwise(F.lit(0.0)).alias("idf_new"),
-        _sublinear(F.col("tf_class")).alias("w_class"),
-        F.when(F.col("df") <= max_df, _idf(F.col("df"), n)).otherwise(F.lit(0.0)).alias("idf_old"),
-    )
-    matched = exploded.join(F.broadcast(weights), "term", "left").where("term is null or class_pos is not null")
-    w_page = _sublinear(F.col("tf"))
-    dot = w_page * F.col("w_class") * F.pow("idf_new", 2)
+    weights = _vocabulary(pages.sparkSession, t)
+    return exploded.join(F.broadcast(weights), "term", "left").where("term is null or class_pos is not null")
+
+
+def shared_terms(pages: DataFrame, key: list[str], text: str, taxonomy: Taxonomy | None = None) -> DataFrame:
+    """``(key, class_pos, term, tf)``: terms of a page that a class seed text has too."""
+    matched = _matched_terms(pages, key, text, taxonomy or Taxonomy())
+    return matched.where("class_pos is not null").select(*key, "class_pos", "term", "tf")
+
+
+def _page_norm(t: Taxonomy) -> Column:
+    """Norm of the page vector: all its terms as its own, corrected on the shared ones."""
+    own = math.log((2.0 + len(t.classes)) / 2.0) + 1.0
+    return F.sqrt(F.col("__sum_sq") * own**2 + F.col("__page_delta"))
+
+
+def _page_delta(t: Taxonomy) -> Column:
+    own = math.log((2.0 + len(t.classes)) / 2.0) + 1.0
+    changed = F.pow(_sublinear(F.col("tf")), 2) * (F.pow("idf_new", 2) - own**2)
+    return F.coalesce(F.sum(F.when(F.col("first_of_term"), changed)), F.lit(0.0)).alias("__page_delta")
+
+
+def page_norms(pages: DataFrame, key: list[str], text: str, taxonomy: Taxonomy | None = None) -> DataFrame:
+    """``(key, norm)``: length of each page's weight vector in its own corpus."""
+    t = taxonomy or Taxonomy()
+    per_page = _matched_terms(pages, key, text, t).groupBy(*key, "__sum_sq").agg(_page_delta(t))
+    return per_page.select(*key, _page_norm(t).alias("norm"))
+
+
+def class_similarities(pages: DataFrame, key: list[str], text: str, taxonomy: Taxonomy | None = None) -> DataFrame:
+    """One row per page: ``cosine`` and ``keyword`` arrays in class order, ``has_text``, ``has_terms``."""
+    t = taxonomy or Taxonomy()
+    matched = _matched_terms(pages, key, text, t)
+    dot = _sublinear(F.col("tf")) * F.col("w_class") * F.pow("idf_new", 2)
     class_delta = F.pow("w_class", 2) * (F.pow("idf_new", 2) - F.pow("idf_old", 2))
-    page_delta = F.when(F.col("first_of_term"), F.pow(w_page, 2) * (F.pow("idf_new", 2) - idf_own**2))
+
+    def per_class(value: Column, tag: str) -> list[Column]:
+        return [
+            F.coalesce(F.sum(F.when(F.col("class_pos") == i, value)), F.lit(0.0)).alias(f"__{tag}{i}") for i in range(len(t.classes))
+        ]
+
     # Page-level values ride as grouping columns: the buffer stays fixed-width, so the
-    # aggregate hashes instead of sorting.
+    # aggregate hashes instead of sorting, and it is combined before the shuffle.
     per_page = matched.groupBy(*key, "has_text", "keyword", "__sum_sq").agg(
-        F.coalesce(F.sum(page_delta), F.lit(0.0)).alias("__page_delta"),
-        *[F.coalesce(F.sum(F.when(F.col("class_pos") == i, dot)), F.lit(0.0)).alias(f"__dot{i}") for i in range(n_classes)],
-        *[F.coalesce(F.sum(F.when(F.col("class_pos") == i, class_delta)), F.lit(0.0)).alias(f"__cd{i}") for i in range(n_classes)],
+        _page_delta(t), *per_class(dot, "dot"), *per_class(class_delta, "delta")
     )
-    page_norm = F.col("__sum_sq") * idf_own**2 + F.col("__page_delta")
     cosine = [
-        F.coalesce(
-            F.try_divide(F.col(f"__dot{i}"), F.sqrt(page_norm) * F.sqrt(F.lit(norm) + F.col(f"__cd{i}"))), F.lit(0.0)
-        )
+        F.coalesce(F.try_divide(F.col(f"__dot{i}"), _page_norm(t) * F.sqrt(F.lit(norm) + F.col(f"__delta{i}"))), F.lit(0.0))
         for i, norm in enumerate(_static_norms(t))
     ]
     return per_page.select(
@@ -177,18 +203,26 @@ def classify(pages: DataFrame, key: list[str], text: str, taxonomy: Taxonomy | N
     ``Unknown`` with zero scores.
     """
     t = taxonomy or Taxonomy()
-    sims = class_similarities(pages, key, text, t).withColumn("__combined", fuse(F.col("cosine"), F.col("keyword")))
-    weighted = sims.withColumn(
-        "__exp", F.transform("__combined", lambda s: F.exp(SHARPNESS * (s - F.array_max("__combined"))))
-    ).withColumn("__total", F.aggregate("__exp", F.lit(0.0), lambda a, w: a + w))
-    scored = weighted.withColumn("__percent", F.transform("__exp", lambda w: F.round(w / F.col("__total") * 100, 2)))
-    anything = F.col("has_terms") & (F.aggregate("__combined", F.lit(0.0), lambda a, s: a + s) > 0)
+    sims = class_similarities(pages, key, text, t)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def percents(combined: Column) -> Column:
+        weights = let(F.array_max(combined), lambda top: F.transform(combined, lambda s: F.exp(SHARPNESS * (s - top))))
+        return let(weights, lambda ws: let(total(ws), lambda t: F.transform(ws, lambda w: F.round(w / t * 100, 2))))
+
+    def rate(combined: Column) -> Column:
+        return F.struct((total(combined) > 0).alias("any"), percents(combined).alias("percent"))
+
+    scored = sims.withColumn("__s", let(fuse(F.col("cosine"), F.col("keyword")), rate))
+    anything = F.col("has_terms") & F.col("__s.any")
     zeros = F.array(*[F.lit(0.0)] * len(t.classes))
     return scored.select(
         *key,
-        F.when(F.col("has_text") & anything, argmax_class(F.col("__percent"), t.classes)).otherwise(UNKNOWN).alias("doc_class"),
+        F.when(F.col("has_text") & anything, argmax_class(F.col("__s.percent"), t.classes)).otherwise(UNKNOWN).alias("doc_class"),
         F.when(~F.col("has_text") | ~F.col("has_terms"), F.lit(None))
-        .when(anything, F.col("__percent"))
+        .when(anything, F.col("__s.percent"))
         .otherwise(zeros)
         .alias("score_list"),
     )
@@ -204,9 +238,9 @@ def long_scores(classified: DataFrame, key: list[str], taxonomy: Taxonomy | None
     """One row per page and class: ``(key, class_pos, doc_class, score)``."""
     t = taxonomy or Taxonomy()
     names = F.array(*[F.lit(c) for c in t.classes])
-    return classified.select(*key, F.posexplode("score_list").alias("class_pos", "score")).select(
+    return classified.select(*key, F.posexplode_outer("score_list").alias("class_pos", "score")).select(
         *key, "class_pos", F.get(names, F.col("class_pos")).alias("class_name"), "score"
-    )
+    ).where("class_pos is not null")
 
 
 def ranked_classes(scores: DataFrame, key: list[str]) -> DataFrame:

@@ -43,7 +43,7 @@ def top_keywords(docs: DataFrame, keys: Sequence[str], text: str, n: int = X.TOP
     Ties go to the word that appears first. Counts are combined before the shuffle,
     and the rank limit is applied on both sides of it.
     """
-    words = docs.select(*keys, F.posexplode(X.keyword_tokens(F.col(text))).alias("pos", "term"))
+    words = docs.select(*keys, F.posexplode_outer(X.keyword_tokens(F.col(text))).alias("pos", "term")).where("term is not null")
     counted = words.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "first_pos")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -15,8 +15,9 @@ PAGE_KEY = ["document_id", "page_index"]
 
 def split_marked_pages(df: DataFrame, text: str, keys: Sequence[str] = ("document_id",), out: str = "body") -> DataFrame:
     """One row ``(keys, page_index, body)`` per page of a page-marked text. No shuffle."""
-    entry = F.explode(marked_entries(F.col(text))).alias("__e")
-    return df.select(*keys, entry).select(*keys, F.col("__e.page_index").alias("page_index"), F.col("__e.body").alias(out))
+    # The outer form keeps the optimiser from splitting the text a second time for a filter.
+    entry = F.explode_outer(marked_entries(F.col(text))).alias("__e")
+    return df.select(*keys, entry).where("__e is not null").select(*keys, F.col("__e.page_index").alias("page_index"), F.col("__e.body").alias(out))
 
 
 def join_marked_pages(
