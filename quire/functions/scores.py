@@ -55,6 +55,12 @@ def qs_lenient(laplacian: Column, mean: Column, std: Column, noise: Column) -> C
     return _score(laplacian, mean, std, noise, LENIENT, brightness_lenient(mean))
 
 
+def mean_score(c: Column, digits: int = 2) -> Column:
+    """Mean of page scores. They have two decimals, so the sum is kept exact: the result does
+    not depend on the order in which tasks finish, nor fall on either side of a rounding tie."""
+    return F.round(F.avg(F.round(c, 2).cast("decimal(14,2)")), digits).cast("double")
+
+
 def is_clean(paper_share: Column, ink_share: Column, noise: Column) -> Column:
     return (paper_share > CLEAN_PAPER_SHARE) & (ink_share > CLEAN_INK_SHARE) & (noise < CLEAN_NOISE)
 

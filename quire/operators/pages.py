@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.scores import mean_score
 from quire.functions.text import is_blank, marked_block, marked_entries, strip_ws
 from quire.operators.skew import VOLUME_PAGES, ordered_concat, salted_left_join
 
@@ -65,7 +66,7 @@ def get_documents(docs: DataFrame, pages: DataFrame, volume_pages: int = VOLUME_
     nested = pages.groupBy("document_id", F.floor(F.col("page_index") / volume_pages).cast("int").alias("volume")).agg(
         F.array_sort(F.collect_list(F.struct(*ordered))).alias("pages")
     )
-    mean_qs = pages.groupBy("document_id").agg(F.round(F.avg("initial_qs"), 2).alias("__mean_qs"))
+    mean_qs = pages.groupBy("document_id").agg(mean_score(F.col("initial_qs")).alias("__mean_qs"))
     page_type = nested.schema["pages"].dataType.elementType
     synthetic = F.array(
         F.struct(
@@ -94,7 +95,8 @@ def get_documents(docs: DataFrame, pages: DataFrame, volume_pages: int = VOLUME_
     )
 
 
-def read_page(pages: DataFrame, document_id: int, page_index: int) -> DataFrame:
+def read_page(pages: DataFrame, document_id: int | Column, page_index: int | Column) -> DataFrame:
+    """Point look-up; both conditions are plain column filters, so they reach the scan."""
     return pages.where((F.col("document_id") == document_id) & (F.col("page_index") == page_index))
 
 

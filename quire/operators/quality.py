@@ -65,7 +65,11 @@ def _blurred(gray: np.ndarray) -> np.ndarray:
 
 def _histogram(gray: np.ndarray) -> list[float]:
     counts = np.bincount(gray.ravel() >> 4, minlength=HISTOGRAM_BINS)
-    return [round(float(c) / gray.size, 6) for c in counts]
+    return [float(c) / gray.size for c in counts]
+
+
+def _shares(name: str) -> Column:
+    return F.transform(name, lambda share: F.round(share, 6))
 
 
 def _statistics(gray: np.ndarray | None) -> list:
@@ -104,7 +108,7 @@ def raster_stats(images: DataFrame, keys: list[str], image: str = "image") -> Da
             yield pd.concat([batch[keys].reset_index(drop=True), stats], axis=1)
 
     schema = T.StructType([flat.schema[k] for k in keys] + T.StructType.fromDDL(STATS_FIELDS).fields)
-    return flat.mapInPandas(compute, schema)
+    return flat.mapInPandas(compute, schema).withColumn("histogram", _shares("histogram"))
 
 
 def page_profile(stats: DataFrame, lenient: bool = False) -> DataFrame:
@@ -133,10 +137,10 @@ def _report(before: np.ndarray | None, after: np.ndarray | None) -> list:
     diff = after.astype(np.int64) - before
     paper, ink = before >= PAPER_GRAY, before < INK_GRAY
     return [
-        round(float((np.abs(diff) >= 1).mean()), 4),
-        round(float(diff[paper].mean()) if paper.any() else 0.0, 2),
-        round(float(diff[ink].mean()) if ink.any() else 0.0, 2),
-        round(float(diff.mean()), 2),
+        float((np.abs(diff) >= 1).mean()),
+        float(diff[paper].mean()) if paper.any() else 0.0,
+        float(diff[ink].mean()) if ink.any() else 0.0,
+        float(diff.mean()),
         _histogram(before),
         _histogram(after),
     ]
@@ -159,14 +163,20 @@ def enhancement_report(before: DataFrame, after: DataFrame, keys: list[str], ima
             yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
     schema = T.StructType([joined.schema[k] for k in keys] + T.StructType.fromDDL(REPORT_FIELDS).fields)
-    return joined.mapInPandas(compute, schema)
+    digits = {"pct_pixels_changed": 4, "paper_lift": 2, "ink_deepen": 2, "mean_shift": 2}
+    return joined.mapInPandas(compute, schema).withColumns(
+        {
+            **{name: F.round(name, n) for name, n in digits.items()},
+            **{name: _shares(name) for name in ("hist_before", "hist_after")},
+        }
+    )
 
 
 def register_documents(pages: DataFrame) -> DataFrame:
     """A document per upload: first page's path, mean page score, first stage, pending."""
     return pages.groupBy("document_id").agg(
         F.min_by("image_path", "page_index").alias("original_path"),
-        F.round(F.avg("initial_qs"), 2).alias("initial_qs"),
+        S.mean_score(F.col("initial_qs")).alias("initial_qs"),
         F.lit("enhancement").alias("current_stage"),
         F.lit("pending").alias("status"),
     )
@@ -175,7 +185,7 @@ def register_documents(pages: DataFrame) -> DataFrame:
 def auto_enhance_decision(docs: DataFrame, pages: DataFrame, threshold: float = AUTO_ENHANCE_THRESHOLD) -> DataFrame:
     """Whether a document's mean page score is below the threshold, with the reason in words."""
     th = F.lit(float(max(0.0, min(100.0, threshold))))
-    per_doc = pages.groupBy("document_id").agg(F.round(F.avg(F.round("initial_qs", 2)), 2).alias("__mean"))
+    per_doc = pages.groupBy("document_id").agg(S.mean_score(F.col("initial_qs")).alias("__mean"))
     qs = F.coalesce(F.col("__mean"), F.round("initial_qs", 2), F.lit(0.0))
     joined = docs.select("document_id", "initial_qs").join(per_doc, "document_id", "left").select("document_id", qs.alias("initial_qs"))
     enhance = F.col("initial_qs") < th
@@ -195,7 +205,7 @@ def qs_rollup(docs: DataFrame, pages: DataFrame) -> DataFrame:
     ``last_report`` is the report of the last page.
     """
     per_doc = pages.groupBy("document_id").agg(
-        F.round(F.avg("initial_qs"), 2).alias("__initial"),
+        S.mean_score(F.col("initial_qs")).alias("__initial"),
         F.min_by(F.struct(F.round("post_qs", 2).alias("post_qs"), "enhanced_path"), "page_index").alias("__first"),
         F.max("passes").alias("enhancement_passes"),
         F.max_by("report", "page_index").alias("last_report"),
@@ -214,7 +224,7 @@ def mean_metrics(pages: DataFrame, metrics: str = "qs_metrics") -> DataFrame:
     """Mean of each score component, over the pages that have scores."""
     names = ("qs", "sharpness", "brightness", "contrast", "noise")
     return pages.where(F.col(metrics).isNotNull()).groupBy("document_id").agg(
-        *[F.avg(f"{metrics}.{n}").alias(n) for n in names]
+        *[S.mean_score(F.col(f"{metrics}.{n}"), 6).alias(n) for n in names]
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_text", "queries_metadata", "queries_classify")
+_MODULES = ("queries_text", "queries_metadata", "queries_classify", "queries_quality", "queries_state")
 
 
 def all_queries():

@@ -35,7 +35,13 @@ def blank(x: str) -> str:
 
 
 def rnd(x: str, n: int) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(38,12)), {n}) AS DOUBLE)"
+    """Half-up rounding of a double's shortest decimal form, as Spark rounds."""
+    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {n}) AS DOUBLE)"
+
+
+def mean_sql(x: str, n: int = 2) -> str:
+    """Mean of two-decimal scores, summed exactly."""
+    return rnd(f"sum(CAST({rnd(x, 2)} AS DECIMAL(18,2))) / nullif(count({x}), 0)", n)
 
 
 def squash(x: str) -> str:
@@ -374,6 +380,6 @@ def digest_sql(x: str) -> str:
 
 
 __all__ = [
-    "QUERIES", "SQL", "ascii_words", "MARK_SQL", "NL", "NL2", "NON_WS_SQL", "WS_SQL", "blank", "cte", "digest", "digest_sql", "filled",
+    "QUERIES", "SQL", "ascii_words", "MARK_SQL", "NL", "NL2", "NON_WS_SQL", "WS_SQL", "blank", "cte", "digest", "digest_sql", "filled", "mean_sql",
     "query", "rnd", "slices_sql", "sql_view", "squash", "strip", "strip_ws", "stripped", "table", "view",
 ]
