@@ -9,15 +9,16 @@ from quire.functions.text import is_blank, let, strip_ws
 
 PREVIEW_CHARS = 16000
 # Widths tried in turn; the last resort is the full matrix.
-_BANDS = (32, 512)
+_BANDS = (16, 64, 256, 1024, 4096)
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Exact edit distance.
 
     A banded search of width k costs k * length and answers whenever the distance
-    is at most k, which holds for nearly every correction; only pairs that differ
-    more pay for the full matrix. ``when`` branches evaluate lazily.
+    is at most k. Widths grow fourfold, so the tries that fail cost a third of the
+    one that answers; only pairs that differ in thousands of places pay for the full
+    matrix. Later tries are evaluated only when needed.
     """
     expr = F.levenshtein(a, b)
     for band in reversed(_BANDS):

@@ -91,10 +91,14 @@ def _similar(spark, sf):
     return C.class_similarities(_pages(spark, sf), KEY, "ocr_text")
 
 
-@query("q_c1_tokens", cte("c_tf") + " SELECT document_id, page_index, term, CAST(tf AS INT) AS tf FROM c_tf")
+@query("q_c1_tokens", cte("c_tf") + " SELECT document_id, page_index, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, md5(string_agg(term || ':' || CAST(tf AS VARCHAR), '|' ORDER BY term)) AS terms_md5 FROM c_tf GROUP BY document_id, page_index")
 def c1(spark, sf):
     counted = C.term_counts(_pages(spark, sf).select(*KEY, C.prepare_text(F.col("ocr_text")).alias("low")), "low")
-    return counted.select(*KEY, F.inline("terms"))
+    spelled = F.transform("terms", lambda t: F.concat(t["term"], F.lit(":"), t["tf"].cast("string")))
+    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + t["tf"])
+    return counted.select(
+        *KEY, F.size("terms").cast("bigint").alias("n_terms"), total.alias("n_tokens"), F.md5(F.array_join(spelled, "|")).alias("terms_md5")
+    ).where("n_terms > 0")
 
 
 @query("q_c2_page_norm", cte("c_page_w") + f" SELECT document_id, page_index, {rnd('sqrt(sum(w * w))', 6)} AS norm FROM c_page_w GROUP BY document_id, page_index")

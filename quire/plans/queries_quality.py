@@ -54,13 +54,12 @@ def q3(spark, sf):
     return _scored(spark, sf, S.qs_lenient).select("document_id", "page_index", "qs_metrics.*")
 
 
-_MEANS = ", ".join(f"{mean_sql(n, 5)} AS {n}" for n in ("qs", "sharpness", "brightness", "contrast", "noise"))
+_MEANS = ", ".join(f"{mean_sql(n, 6)} AS {n}" for n in ("qs", "sharpness", "brightness", "contrast", "noise"))
 
 
 @query("q_a2_mean_metrics", cte("r_strict") + f" SELECT document_id, {_MEANS} FROM r_strict GROUP BY document_id")
 def a2(spark, sf):
-    means = Q.mean_metrics(_scored(spark, sf, S.qs_strict))
-    return means.select("document_id", *[F.round(n, 5).alias(n) for n in ("qs", "sharpness", "brightness", "contrast", "noise")])
+    return Q.mean_metrics(_scored(spark, sf, S.qs_strict))
 
 
 @query(
@@ -331,11 +330,11 @@ def a12(spark, sf):
 
 @query(
     "q_a11_gray_histogram",
-    cte("i_px") + f""" SELECT doc_id, CAST(g // 16 AS INT) AS bin, {rnd('count(*) / CAST(max(h) * ' + str(_W) + ' AS DOUBLE)', 4)} AS share FROM i_px GROUP BY doc_id, g // 16""",
+    cte("i_px") + f""" SELECT doc_id, CAST(g // 16 AS INT) AS bin, {rnd('count(*) / CAST(max(h) * ' + str(_W) + ' AS DOUBLE)', 6)} AS share FROM i_px GROUP BY doc_id, g // 16""",
 )
 def a11(spark, sf):
     stats = Q.raster_stats(_rasters(spark, sf), ["doc_id"])
-    return stats.select("doc_id", F.posexplode_outer("histogram").alias("bin", "share")).where("share > 0").withColumn("share", F.round("share", 4))
+    return stats.select("doc_id", F.posexplode_outer("histogram").alias("bin", "share")).where("share > 0")
 
 
 @query("q_q4_page_profile")

@@ -237,7 +237,7 @@ sql_view(
 @query(
     "q_a6_confidence_buckets",
     cte("o_shown") + f""" SELECT d.doc_id, CAST(count(*) FILTER (WHERE conf >= 85) AS INT) AS high, CAST(count(*) FILTER (WHERE conf >= 60 AND conf < 85) AS INT) AS mid,
-      CAST(count(*) FILTER (WHERE conf < 60) AS INT) AS low, CAST(count(conf) AS INT) AS words, coalesce({rnd('avg(conf) / 100', 4)}, 0.0) AS mean FROM documents d LEFT JOIN o_shown USING (doc_id) GROUP BY d.doc_id""",
+      CAST(count(*) FILTER (WHERE conf < 60) AS INT) AS low, CAST(count(conf) AS INT) AS words, coalesce({rnd('CAST(sum(conf) AS DOUBLE) / (100 * count(conf))', 4)}, 0.0) AS mean FROM documents d LEFT JOIN o_shown USING (doc_id) GROUP BY d.doc_id""",
 )
 def a6(spark, sf):
     shown = O.shown_words(O.usable_boxes(F.col("words")))
@@ -530,7 +530,7 @@ def x11(spark, sf):
 # The translation table holds upper-cased chunks of the documents; chunks of one source are
 # missing from it, and one language is marked as failed.
 
-_CHUNKS = "SELECT doc_id, lang, source, unnest(c) AS chunk, unnest(range(len(c))) AS no FROM (SELECT *, regexp_extract_all(TEXT, '(?s).{1,4500}') AS c FROM SRC WHERE NOT BLANK)"
+_CHUNKS = "SELECT doc_id, lang, source, unnest(c) AS chunk, unnest(range(len(c))) AS no FROM (SELECT *, list_transform(range(0, CAST(ceil(length(TEXT) / 4500.0) AS BIGINT)), lambda i: substr(TEXT, i * 4500 + 1, 4500)) AS c FROM SRC WHERE NOT BLANK)"
 
 
 def _translations(spark, sf, target):
@@ -543,7 +543,7 @@ def _translations(spark, sf, target):
 
 
 def _chunk_sql(source: str, text: str) -> str:
-    return _CHUNKS.replace("TEXT", text).replace("SRC", source).replace("BLANK", blank(text)).replace("{1,4500}", "{{1,4500}}").replace("{{", "{").replace("}}", "}")
+    return _CHUNKS.replace("TEXT", text).replace("SRC", source).replace("BLANK", blank(text))
 
 
 sql_view("t_table", f"SELECT chunk, max(CASE WHEN lang <> 'es' THEN '<' || replace(chunk, 'e', 'E') END) AS tr, max(CASE WHEN lang = 'es' THEN 'quota' END) AS err FROM ({_chunk_sql('documents', 'text')}) WHERE doc_id % 10 <> 3 GROUP BY chunk")

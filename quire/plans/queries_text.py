@@ -434,7 +434,7 @@ texts AS (SELECT document_id, string_agg('=== PAGE ' || CAST(page_index + 1 AS V
 rates AS (SELECT document_id, avg(CASE WHEN coalesce(page_abstract, '') <> '' THEN {_cer_sql('corrected_page_abstract', 'page_abstract')} END) AS m FROM pages GROUP BY document_id)
 SELECT d.document_id, md5(coalesce(t.j, d.corrected_abstract)) AS abstract_md5,
   CASE WHEN d.document_id % 6 = 0 THEN 'reviewed' ELSE d.corrected_overall_abstract END AS overall,
-  CASE WHEN r.m IS NOT NULL AND (d.document_id % 6 = 0 OR d.document_id IN (SELECT document_id FROM touched)) THEN {rnd('100 * r.m', 1)} END AS page_cer
+  CASE WHEN r.m IS NOT NULL AND (d.document_id % 6 = 0 OR d.document_id IN (SELECT document_id FROM touched)) THEN {rnd('100 * r.m', 2)} END AS page_cer
 FROM v_text_docs d LEFT JOIN texts t USING (document_id) LEFT JOIN rates r USING (document_id)""",
 )
 def g4(spark, sf):
@@ -447,5 +447,5 @@ def g4(spark, sf):
     has_pages = new_pages.where("coalesce(page_abstract, '') <> ''").select("document_id").distinct().withColumn("__p", F.lit(True))
     return new_docs.join(has_pages, "document_id", "left").select(
         "document_id", F.md5("corrected_abstract").alias("abstract_md5"), F.col("corrected_overall_abstract").alias("overall"),
-        F.when(F.col("__p"), F.round("abstract_cer", 1)).alias("page_cer"),
+        F.when(F.col("__p"), F.col("abstract_cer")).alias("page_cer"),
     )

@@ -40,8 +40,9 @@ def rnd(x: str, n: int) -> str:
 
 
 def mean_sql(x: str, n: int = 2) -> str:
-    """Mean of two-decimal scores, summed exactly."""
-    return rnd(f"sum(CAST({rnd(x, 2)} AS DECIMAL(18,2))) / nullif(count({x}), 0)", n)
+    """Mean of two-decimal scores, half up, in whole numbers throughout."""
+    cents = f"CAST(sum(CAST(round({rnd(x, 2)} * 100) AS BIGINT)) AS BIGINT)"
+    return f"CASE WHEN count({x}) > 0 THEN CAST((2 * {cents} * {10 ** (n - 2)} + count({x})) // (2 * count({x})) AS DOUBLE) / {10 ** n} END"
 
 
 def squash(x: str) -> str:
