@@ -213,15 +213,26 @@ FROM {orders}""",
 TABLES = ("documents", "orders", "lineitem", "events", "conversations", "pages", "benchmark", "labels", "embeddings", "customer", "part")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a text table that comes in fewer splits than there are cores, spread by key.
+
+    Work on text is bound by computing; a table of many splits is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _spread(df) if name in ("documents", "pages") else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in SHARED:
         text = SHARED[name]
         used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
-        return spark.sql(_escape_braces(text, used), **used)
+        df = spark.sql(_escape_braces(text, used), **used)
+        return _spread(df) if name in ("v_meta_text", "v_field_answers") else df
     return _BUILT[name](spark, sf_dir)
 
 

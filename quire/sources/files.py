@@ -37,13 +37,23 @@ def file_kind(path: Column, length: Column, content: Column) -> Column:
     )
 
 
-def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``(path, modified, length, content, kind)`` of every file under a folder."""
+def scan_files(spark: SparkSession, path: str, glob: str | None = None, uploads: DataFrame | None = None) -> DataFrame:
+    """``(path, modified, length, content, kind)`` of every file under a folder.
+
+    Spark's file listing leaves out files of no bytes. ``uploads`` (a table with the
+    ``path`` of every upload) brings those back as kind ``empty``.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path).select("path", F.col("modificationTime").alias("modified"), "length", "content")
-    return files.withColumn("kind", file_kind(F.col("path"), F.col("length"), F.col("content")))
+    kinds = files.withColumn("kind", file_kind(F.col("path"), F.col("length"), F.col("content")))
+    if uploads is None:
+        return kinds
+    unread = uploads.select("path").join(files.select("path"), "path", "left_anti")
+    return kinds.unionByName(
+        unread.select("path", F.lit(0).cast("bigint").alias("length"), F.lit("empty").alias("kind")), allowMissingColumns=True
+    )
 
 
 def scan_page_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
