@@ -2,60 +2,86 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.functions.text import is_blank, let, strip_ws
+from quire.functions.text import is_blank, strip_ws
 
 PREVIEW_CHARS = 16000
-# Widths tried in turn; the last resort is the full matrix.
-_BANDS = (16, 64, 256, 1024, 4096)
-
-
-def _shared(a: Column, b: Column, side) -> Column:
-    """Length of the common start (or end), found by halving: some twenty comparisons."""
-    steps = F.array(*[F.lit(1 << k) for k in range(22, -1, -1)])
-    room = F.least(F.length(a), F.length(b))
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda n, step: F.when((n + step <= room) & (side(a, n + step) == side(b, n + step)), n + step).otherwise(n),
-    )
-
+# Pairs with a longer text than this are compared by bit vectors.
+LONG_TEXT = 256
 
-def _without_shared_ends(a: Column, b: Column) -> Column:
-    """Both texts without their common start and end, which no edit touches."""
 
-    def cut_end(t: Column) -> Column:
-        def keep(n: Column) -> Column:
-            return F.struct(*[F.left(t[c], F.length(t[c]) - n).alias(c) for c in ("a", "b")])
+def _shared_start(a: str, b: str) -> int:
+    """Length of the common start, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
-        return let(_shared(t["a"], t["b"], F.right), keep)
 
-    def cut_start(n: Column) -> Column:
-        return F.struct(F.right(a, F.length(a) - n).alias("a"), F.right(b, F.length(b) - n).alias("b"))
+def _without_shared_ends(a: str, b: str) -> tuple[str, str]:
+    """Both texts without their common start and end, which no edit touches; the shorter first."""
+    start = _shared_start(a, b)
+    a, b = a[start:], b[start:]
+    end = _shared_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    return (a, b) if len(a) <= len(b) else (b, a)
 
-    return let(let(_shared(a, b, F.left), cut_start), cut_end)
 
+def _bit_parallel_distance(a: str, b: str) -> int:
+    """Edit distance by bit vectors (Myers 1999, in Hyyrö's form for whole strings).
 
-def _banded(a: Column, b: Column, bands: tuple[int, ...]) -> Column:
-    if not bands:
-        return F.levenshtein(a, b)
-    return let(
-        F.levenshtein(a, b, bands[0]), lambda d: F.when(d >= 0, d).otherwise(_banded(a, b, bands[1:]))
-    )
+    One column of the matrix is a few operations on integers of ``len(a)`` bits, so a
+    pair costs about a hundredth of filling the matrix cell by cell.
+    """
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, bytearray] = {}
+    width = (len(a) + 7) // 8
+    for i, ch in enumerate(a):
+        places.setdefault(ch, bytearray(width))[i >> 3] |= 1 << (i & 7)
+    match = {ch: int.from_bytes(bits, "little") for ch, bits in places.items()}
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    plus, minus, distance = full, 0, len(a)
+    for ch in b:
+        same = match.get(ch, 0)
+        vertical = same | minus
+        horizontal = (((same & plus) + plus) ^ plus) | same
+        up = minus | (full & ~(horizontal | plus))
+        down = plus & horizontal
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        up, down = (up << 1) | 1, down << 1
+        plus = full & (down | ~(vertical | up))
+        minus = full & up & vertical
+    return distance
+
+
+@F.pandas_udf(T.IntegerType())
+def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    pairs = (_without_shared_ends(x or "", y or "") for x, y in zip(a, b))
+    return pd.Series([_bit_parallel_distance(x, y) for x, y in pairs], dtype="int32")
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Exact edit distance.
+    """Exact edit distance, whole texts.
 
-    The common start and end are cut off first. A banded search of width k answers
-    whenever the distance is at most k and costs far less than the full matrix; widths
-    grow fourfold, so the tries that fail cost a third of the one that answers. A wider
-    try runs only when the narrower one gave up.
+    Equal texts cost nothing and short ones are compared in the JVM. Long pairs, where
+    the matrix would take seconds each, go to bit vectors in Arrow batches; all other
+    rows send nulls there.
     """
-    different = let(_without_shared_ends(a, b), lambda t: _banded(t["a"], t["b"], _BANDS))
-    return F.when(a == b, F.lit(0)).otherwise(different)
+    long = (a != b) & (F.greatest(F.length(a), F.length(b)) > LONG_TEXT)
+    distance = _long_distance(F.when(long, a), F.when(long, b))
+    return F.when(a == b, F.lit(0)).when(long, distance).otherwise(F.levenshtein(a, b))
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:
@@ -63,13 +89,13 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     a blank-only reference is 0."""
     ref = F.coalesce(reference, F.lit(""))
     hyp = F.coalesce(hypothesis, F.lit(""))
-    trimmed = F.struct(strip_ws(ref).alias("r"), strip_ws(hyp).alias("h"))
+    counted = ~is_blank(ref) & (ref != hyp)
+    r, h = F.when(counted, strip_ws(ref)), F.when(counted, strip_ws(hyp))
     return (
         F.when((ref == "") & (hyp == ""), F.lit(0.0))
         .when(ref == "", F.lit(1.0))
-        .when(ref == hyp, F.lit(0.0))
-        .when(is_blank(ref), F.lit(0.0))
-        .otherwise(let(trimmed, lambda t: edit_distance(t["r"], t["h"]) / F.length(t["r"])))
+        .when(~counted, F.lit(0.0))
+        .otherwise(edit_distance(r, h) / F.length(r))
         .cast("double")
     )
 
@@ -82,10 +108,10 @@ def cer_preview(reference: Column, hypothesis: Column, limit: int = PREVIEW_CHAR
     """The quick percentage shown beside an editor: both texts cut at ``limit``, not trimmed."""
     ref = F.coalesce(reference, F.lit(""))
     hyp = F.coalesce(hypothesis, F.lit(""))
-    a, b = F.left(ref, F.lit(limit)), F.left(hyp, F.lit(limit))
+    a, b = (F.when(ref != "", F.left(t, F.lit(limit))) for t in (ref, hyp))
     return (
         F.when((ref == "") & (hyp == ""), F.lit(0.0))
         .when(ref == "", F.lit(100.0))
-        .otherwise(F.round(edit_distance(a, b) / F.greatest(F.length(a), F.lit(1)) * 100, 2))
+        .otherwise(F.round(edit_distance(a, b) / F.length(a) * 100, 2))
         .cast("double")
     )

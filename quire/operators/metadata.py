@@ -52,38 +52,32 @@ def top_keywords(docs: DataFrame, keys: Sequence[str], text: str, n: int = X.TOP
 def keyword_list(text: Column, n: int = X.TOP_KEYWORDS) -> Column:
     """The same top list inside the row, as an array: no shuffle for whole-record extraction.
 
-    Words are sorted once; runs give count and first position.
+    Words are sorted once with their positions; each run of a word gives its count and
+    first position, and the runs are ranked.
     """
-    tagged = F.array_sort(
-        F.transform(X.keyword_tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    )
-    step = F.aggregate(
-        tagged,
-        F.struct(
-            F.array().cast("array<struct<neg:int,pos:int,term:string>>").alias("done"),
-            F.lit(None).cast("string").alias("term"),
-            F.lit(0).alias("n"),
-            F.lit(0).alias("pos"),
-        ),
-        lambda acc, e: F.when(
-            acc["term"] == e["term"],
-            F.struct(acc["done"].alias("done"), acc["term"].alias("term"), (acc["n"] + 1).alias("n"), acc["pos"].alias("pos")),
-        ).otherwise(
-            F.struct(
-                _flush(acc, n).alias("done"), e["term"].alias("term"), F.lit(1).alias("n"), e["pos"].alias("pos")
+
+    def ranked(words: Column) -> Column:
+        last = F.size(words) - 1
+        starts = F.when(
+            last >= 0,
+            F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(words, i)["term"] != F.get(words, i - 1)["term"])),
+        ).otherwise(F.array().cast("array<int>"))
+
+        def runs(at: Column) -> Column:
+            ends = F.slice(F.concat(at, F.array(F.size(words))), F.lit(2), F.greatest(F.size(at), F.lit(1)))
+            return F.zip_with(
+                at,
+                ends,
+                lambda a, b: F.struct(
+                    (a - b).alias("less"), F.get(words, a)["pos"].alias("pos"), F.get(words, a)["term"].alias("term")
+                ),
             )
-        ),
-        lambda acc: F.transform(_flush(acc, n), lambda k: k["term"]),
-    )
-    return step
 
+        best = F.slice(F.array_sort(let(starts, runs)), 1, n)
+        return F.filter(F.transform(best, lambda k: k["term"]), lambda t: t.isNotNull())
 
-def _flush(acc: Column, n: int) -> Column:
-    """Finished words ranked so far, kept to the best ``n``."""
-    item = F.array(F.struct((-acc["n"]).alias("neg"), acc["pos"].alias("pos"), acc["term"].alias("term")))
-    return F.when(acc["term"].isNull(), acc["done"]).otherwise(
-        F.slice(F.array_sort(F.concat(acc["done"], item)), 1, n)
-    )
+    tagged = F.transform(X.keyword_tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    return let(F.array_sort(tagged), ranked)
 
 
 def class_fields(text: Column, doc_class: Column, taxonomy: Taxonomy | None = None) -> Column:
