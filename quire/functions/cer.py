@@ -66,8 +66,7 @@ def _bit_parallel_distance(a: str, b: str) -> int:
     return distance
 
 
-@F.pandas_udf(T.IntegerType())
-def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+def _long_distances(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = (_without_shared_ends(x or "", y or "") for x, y in zip(a, b))
     return pd.Series([_bit_parallel_distance(x, y) for x, y in pairs], dtype="int32")
 
@@ -80,7 +79,8 @@ def edit_distance(a: Column, b: Column) -> Column:
     rows send nulls there.
     """
     long = (a != b) & (F.greatest(F.length(a), F.length(b)) > LONG_TEXT)
-    distance = _long_distance(F.when(long, a), F.when(long, b))
+    compare = F.pandas_udf(_long_distances, T.IntegerType())
+    distance = compare(F.when(long, a), F.when(long, b))
     return F.when(a == b, F.lit(0)).when(long, distance).otherwise(F.levenshtein(a, b))
 
 

@@ -22,7 +22,8 @@ METADATA = (
     "class_schema:array<struct<name:string,type:string,options:array<string>>>,class_fields:map<string,string>>"
 )
 
-DOCUMENTS = T.StructType.fromDDL(
+# Schemas as DDL text: parsing needs a session, which an import must not.
+DOCUMENTS = (
     "document_id bigint, filename string, original_path string, enhanced_path string, initial_qs double, post_qs double, "
     "target_qs double, enhancement_passes int, raw_ocr string, corrected_ocr string, ocr_cer double, "
     "raw_ocr_english string, corrected_ocr_english string, doc_class string, "
@@ -31,14 +32,14 @@ DOCUMENTS = T.StructType.fromDDL(
     "translation string, current_stage string, status string, created_at timestamp, updated_at timestamp"
 )
 
-DOCUMENT_PAGES = T.StructType.fromDDL(
+DOCUMENT_PAGES = (
     "document_id bigint, page_index int, image_path string, initial_qs double, enhanced_path string, post_qs double, "
     f"qs_metrics {QS_STRUCT}, enhancement_report {REPORT}, ocr_text string, corrected_ocr_text string, "
     f"ocr_text_english string, corrected_ocr_text_english string, ocr_boxes {BOX_TYPE}, page_abstract string, "
     f"corrected_page_abstract string, page_translation string, page_doc_class string, page_doc_class_scores {SCORES}"
 )
 
-STAGE_RUNS = T.StructType.fromDDL(
+STAGE_RUNS = (
     "document_id bigint, stage string, status string, payload string, started_at timestamp, finished_at timestamp"
 )
 
@@ -51,8 +52,10 @@ def newest_first(docs: DataFrame) -> DataFrame:
     return docs.orderBy(F.desc("created_at"), F.desc("document_id"))
 
 
-def evolve_schema(df: DataFrame, target: T.StructType) -> DataFrame:
-    """Add the columns of ``target`` that ``df`` lacks, as typed nulls; extra columns stay."""
+def evolve_schema(df: DataFrame, target: T.StructType | str) -> DataFrame:
+    """Add the columns of ``target`` (a schema or its DDL) that ``df`` lacks, as typed nulls; extra columns stay."""
+    if isinstance(target, str):
+        target = T.StructType.fromDDL(target)
     missing = {f.name: F.lit(None).cast(f.dataType) for f in target.fields if f.name not in df.columns}
     return df.withColumns(missing) if missing else df
 
