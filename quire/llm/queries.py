@@ -63,3 +63,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.token_files import round_trip
 
     return round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))[1]
+
+
+@register("op10_near_duplicates")
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, component and whether it stays."""
+    from quire.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), k=4).drop("row_key", "n_links")
