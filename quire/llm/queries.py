@@ -71,3 +71,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.near_duplicates import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir), k=4).drop("row_key", "n_links")
+
+
+@register("op4_repetition")
+def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's repetition counts and verdict."""
+    from quire.llm.repetition import quality
+
+    return quality(documents(spark, sf_dir))
