@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
@@ -90,12 +93,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         row = last
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each run of bytes other than ASCII white space, and the first word of each row (one more than rows)."""
+def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes other than those of ``gap`` (ASCII white space), and the first word of each row (one more than rows)."""
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(off), np.int64)
-    ink = ~_SPACE[data]
+    ink = ~gap[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[off] = True
     head = ink.copy()
@@ -137,6 +140,27 @@ def gram_hashes(word: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(out), begin
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def pass_through(docs: DataFrame, column: str, kind: str, make) -> DataFrame:
+    """All columns of ``docs`` and one more, made from slices of ``text`` by ``make(data, offsets) -> pa.Array``; nothing is shuffled."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), make(data, off)], names=["row", "made"])
+
+    out = rows.mapInArrow(run, StructType([rows.schema["row"], StructField("made", _parse_datatype_string(kind))]))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("made").alias(column))
+
+
 def read_words(batch: pa.RecordBatch, column: str, fold: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with the hash of each word and the first word of each row."""
     for part, data, off in slices(batch, column):

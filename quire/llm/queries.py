@@ -79,3 +79,11 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.repetition import quality
 
     return quality(documents(spark, sf_dir))
+
+
+@register("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which the document covers half or more."""
+    from quire.llm.decontamination import contaminated
+
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

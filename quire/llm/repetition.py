@@ -13,16 +13,14 @@ names do not matter. Ties do not arise. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrays import mix, prefix_hash, range_hash, slices, word_hashes, words
+from quire.llm.arrays import free_name, mix, pass_through, prefix_hash, range_hash, word_hashes, words
 
-MIN_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.15, 100
+MIN_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.2, 100
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -171,21 +169,14 @@ def count_slice(data: np.ndarray, off: np.ndarray, min_words: int) -> list[np.nd
     return [n_words, chars, per_byte(_SYMBOL[data]), line_repeats(data, off, start), repeat_words, cover_words, best, spans]
 
 
-def measure(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` and one struct, ``quality_counts``; rows pass one by one and nothing is shuffled."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+def measure(docs: DataFrame, min_words: int = MIN_WORDS, column: str = "quality_counts") -> DataFrame:
+    """All columns of ``docs`` and one struct of counts; rows pass one by one and nothing is shuffled."""
     names = [x.split()[0] for x in COUNTS.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, off in slices(batch, "text"):
-                counts = [pa.array(np.asarray(c, np.int64)) for c in count_slice(data, off, min_words)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.StructArray.from_arrays(counts, names)], names=["row", "quality_counts"])
+    def make(data: np.ndarray, off: np.ndarray) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(np.asarray(c, np.int64)) for c in count_slice(data, off, min_words)], names)
 
-    kind = rows.schema["row"].dataType.simpleString()
-    fields = ", ".join(f"{x.split()[0]}: bigint" for x in COUNTS.split(", "))
-    out = rows.mapInArrow(run, f"row {kind}, quality_counts struct<{fields}>")
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], "quality_counts")
+    return pass_through(docs, column, "struct<" + ", ".join(f"{n}: bigint" for n in names) + ">", make)
 
 
 def base_failed(counts: str = "quality_counts"):
@@ -204,6 +195,7 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MA
     return measured.select(F.col("doc_id").cast("long"), "quality_counts.*", base_failed().alias("base_failed"), passes("quality_counts", max_covered, max_longest).alias("kept"))
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
+def keep_good(docs: DataFrame, min_words: int = MIN_WORDS, **limits) -> DataFrame:
     """The rows that pass, with the columns of ``docs``."""
-    return measure(docs, limits.pop("min_words", MIN_WORDS)).where(passes(**limits)).drop("quality_counts")
+    column = free_name(docs, "quality_counts")
+    return measure(docs, min_words, column).where(passes(column, **limits)).drop(column)
