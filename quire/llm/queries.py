@@ -87,3 +87,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.decontamination import contaminated
 
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register("op3_personal_data")
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base spans, and those the weakly supervised classifier adds."""
+    from quire.llm.personal_data import find
+
+    return find(documents(spark, sf_dir))
