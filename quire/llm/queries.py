@@ -95,3 +95,11 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.personal_data import find
 
     return find(documents(spark, sf_dir))
+
+
+@register("op2_repeats")
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur more than once."""
+    from quire.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
