@@ -103,3 +103,12 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.repeats import remove_repeats
 
     return remove_repeats(documents(spark, sf_dir))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score."""
+    from quire.llm.toxicity import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
