@@ -5,10 +5,11 @@ so copies never meet in pairs. Each class has a SuperMinHash signature: every el
 slots step by step, and its value at step j lies in [j, j + 1); once all slots are below j + 1 no later step can lower
 any, which ends the work early for all but short documents. Classes that share a band of the signature are candidates.
 
-Candidates are verified on their full sets, and only verified pairs link. In a band's bucket the first class is compared
-with all others. Most buckets are then one component. In those that are not, further classes serve as pivots, in blocks that
-grow eightfold, against later members of other components, until every pair of the bucket is connected or was compared; so
-no link within a bucket is lost, and pairs within a component are not emitted.
+Candidates are verified on their full sets, and only verified pairs link. In a band's bucket the class that meets the
+most others is compared with all of them. Most buckets are then one component. Members of the others go to an exact prefix-filter
+join, which pairs only members of different components, and compares those around one pivot by their differences from it; so
+no link within a bucket is lost, no pairs within a component are emitted, and neither passages that many texts share nor
+large groups just below the limit make pairs of all their members.
 
 Texts without words link with nothing and are their own component. Null texts count as empty. Rows that share a doc_id keep
 their own sets; a null doc_id never names a component unless nothing else is in it. Repeated rows are one class. An empty
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.arrays import gram_hashes, mix, read_words
@@ -31,6 +31,7 @@ from quire.llm.shared import row_key, store
 
 SLOTS, BANDS = 128, 32
 PERCENT = 80
+MAPS = 4
 _STEP = 0x9E3779B97F4A7C15
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -134,37 +135,120 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int = PERCENT) -
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _levels(texts: DataFrame, k: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a bounded sample of the texts, sorted, and how frequent (as a logarithm)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in shingle_sets(batch, "text", k):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["gram"])
+
+    some = texts.select("cls", "text").orderBy("cls").limit(sample).select("text")
+    often = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(most).toArrow()
+    gram = often.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], np.log2(often.column("n").to_numpy()[order]).astype(np.uint8)
+
+
+def _tokens(open_: DataFrame, k: int, percent: int, frequent: np.ndarray, level: np.ndarray) -> DataFrame:
+    """Rare-first shingles of every open text: of its own set (``own``), and of its difference from its pivot's set."""
+    shared, maps = open_.sparkSession.sparkContext.broadcast((frequent, level)), [f"map{i}" for i in range(MAPS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, level = shared.value
+
+        def by_rank(s: np.ndarray) -> np.ndarray:
+            if not len(frequent):
+                return s
+            at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+            return s[np.lexsort((s, np.where(frequent[at] == s, level[at], 0)))]
+
+        for batch in batches:
+            right = [s for _, sets in shingle_sets(batch.select(["text"]), "text", k) for s in sets]
+            pivot = batch.column(2).to_pylist()
+            head = [i for i, x in enumerate(pivot) if not i or pivot[i - 1] != x]
+            heads = pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(head))], names=["text"])
+            left = [s for _, sets in shingle_sets(heads, "text", k) for s in sets]
+            which = np.searchsorted(head, np.arange(batch.num_rows), side="right") - 1
+            grams, row, own, place, size, bits = [], [], [], [], [], []
+            for i, s in enumerate(right):
+                n = len(s)
+                differ = np.setxor1d(s, left[which[i]], assume_unique=True)
+                far = (100 - percent) * (n + n * 100 // percent + 1) // (100 + percent)
+                for is_own, whole, most in ((True, s, n - -(-percent * n // 100) + 1), (False, differ, far + 1)):
+                    part = by_rank(whole)[:most]
+                    grams.append(part)
+                    row.append(np.full(len(part), i))
+                    own.append(np.full(len(part), is_own))
+                    place.append(np.arange(len(part), dtype=np.int32))
+                    size.append(np.full((len(part), 2), (n, len(whole)), np.int32))
+                    marks = np.zeros(64 * MAPS, np.uint8)
+                    marks[(whole >> np.uint64(20)) % np.uint64(64 * MAPS)] = 1
+                    bits.append(np.repeat(np.packbits(marks).view(np.int64)[None], len(part), 0))
+            at, sizes = pa.array(np.concatenate(row)), np.concatenate(size)
+            taken = [batch.column(c).take(at) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), *taken, *map(pa.array, (np.concatenate(own), np.concatenate(place), sizes[:, 0].copy(), sizes[:, 1].copy(), *np.concatenate(bits).T.copy()))], names=["gram", "cls", "root", "pivot", "own", "place", "n", "d", *maps])
+
+    rows = open_.select("cls", "root", "pivot", "text", "pivot_text")
+    return rows.mapInArrow(run, "gram long, cls binary, root binary, pivot binary, own boolean, place int, n int, d int, " + ", ".join(f"{m} long" for m in maps))
+
+
+def prefix_pairs(open_: DataFrame, k: int, percent: int = PERCENT, sample: int = 4000, most: int = 200_000) -> DataFrame:
+    """Pairs of open texts with different roots that may be similar; none that is gets lost.
+
+    Under any one order of all shingles, two similar sets share one among the first n - ceil(percent * n / 100) + 1 of each,
+    and at the first that they share, what follows must still suffice. The order puts rare shingles first, so that passages
+    which many texts share come last. It is taken from a bounded sample, which affects the number of pairs, not what is found.
+
+    Texts that lie around the same pivot are alike in most of their shingles, so those are compared by their differences from
+    the pivot instead: the distance of two texts follows from what their differences share, and it is at most
+    (100 - percent) / (100 + percent) of the two sizes. Where one of the two is not linked with the pivot, as is so for any pair
+    with different roots, similar texts share at least one difference.
+    """
+    frequent, level = _levels(open_, k, sample, most)
+    tokens = store(_tokens(open_, k, percent, frequent, level), "prefixes")
+    several = tokens.groupBy("own", F.when(~F.col("own"), F.col("pivot")).alias("around"), "gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    own, differ = tokens.where("own").join(several.where("own").select("gram"), "gram"), tokens.where("NOT own").join(several.where("NOT own").select(F.col("around").alias("pivot"), "gram"), ["pivot", "gram"])
+    # Not more is common than what follows the shared shingle on either side, nor than a side has without those of its elements
+    # whose bit the other side lacks.
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}.map{i}").bitwiseAND(F.bitwise_not(f"{y}.map{i}"))) for i in range(MAPS))
+    rest = F.least(F.col("a.d") - F.col("a.place"), F.col("b.d") - F.col("b.place"), F.col("a.d") - lacks("a", "b"), F.col("b.d") - lacks("b", "a"))
+    both = (F.col("a.cls") < F.col("b.cls")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.gram") == F.col("b.gram")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
+    sizes = F.col("a.n") + F.col("b.n")
+    apart = (F.col("a.pivot") != F.col("b.pivot")) & ((100 + percent) * rest >= percent * sizes)
+    around = (F.col("a.pivot") == F.col("b.pivot")) & (2 * (100 + percent) * rest >= (100 + percent) * (F.col("a.d") + F.col("b.d")) - (100 - percent) * sizes)
+    pairs = own.alias("a").join(own.alias("b"), both & apart).select("a.cls", F.col("b.cls").alias("b")).union(differ.alias("a").join(differ.alias("b"), both & around).select("a.cls", F.col("b.cls").alias("b")))
+    return pairs.select(F.col("cls").alias("a"), "b").distinct()
+
+
 def links(docs: DataFrame, per_doc: DataFrame, k: int, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``node`` and ``root`` of the classes that are linked, and the verified pairs."""
     classes = per_doc.where("cls IS NOT NULL").groupBy("cls").agg(F.min("row_key").alias("row_key"), F.first("bands").alias("bands"))
     banded = classes.select("cls", "row_key", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("cls").alias("pivot")).where("n > 1").drop("n")
-    members = store(banded.join(buckets, "band"), "members")
-    spread = lambda pairs: pairs.distinct()
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = store(banded.join(buckets, "band"), "members")
+    # A class that meets many others is likely to be what they are copies of, so it comes first in its buckets.
+    degrees = shared.groupBy("cls").agg(F.struct((-F.sum("n")).alias("less"), F.col("cls").alias("cls")).alias("rank"))
+    ranked = shared.join(degrees, "cls")
+    pivots = ranked.groupBy("band").agg(F.min("rank").alias("top"))
+    members = store(ranked.join(pivots, "band").withColumn("pivot", F.col("top.cls")), "members")
     involved = members.select("row_key", "cls").distinct()
     texts = docs.select(row_key("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text")).join(involved, "row_key").select("cls", "text")
     texts = store(texts.dropDuplicates(["cls"]), "texts")
-    compared = store(spread(members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))), "pairs")
+    compared = store(members.where("cls <> pivot").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct(), "pairs")
     linked = store(verify(compared, texts, k, percent), "linked")
     roots = components(linked)
-    low, high = 1, 8
-    while True:
-        # Buckets that hold more than one component still; all members of the others are connected.
-        named = members.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        split = named.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where((F.col("r0") < F.col("r1")) & (F.col("n") > low)).select("band")
-        placed = named.join(split, "band").withColumn("place", F.row_number().over(W.partitionBy("band").orderBy("cls")) - 1)
-        pivots = placed.where((F.col("place") >= low) & (F.col("place") < high)).select("band", F.col("cls").alias("a"), F.col("root").alias("root_a"), F.col("place").alias("place_a"))
-        fresh = placed.join(pivots, "band").where((F.col("place") > F.col("place_a")) & (F.col("root") != F.col("root_a"))).select("a", F.col("cls").alias("b"))
-        fresh = store(spread(fresh).join(compared, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            found = store(verify(fresh, texts, k, percent), "linked")
-            compared = compared.union(fresh)
-            if not found.isEmpty():
-                linked = linked.union(found)
-                roots = components(linked)
-        elif split.isEmpty():
-            break
-        low, high = high, high * 8
+    # Buckets that hold more than one component still; all members of the others are connected.
+    named = members.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    split = named.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
+    nearest = members.groupBy("cls").agg(F.min("top")["cls"].alias("pivot"))
+    open_ = named.join(split, "band").select("cls", "root").distinct().join(nearest, "cls").join(texts, "cls")
+    open_ = store(open_.join(texts.select(F.col("cls").alias("pivot"), F.col("text").alias("pivot_text")), "pivot"), "open")
+    fresh = store(prefix_pairs(open_, k, percent).join(compared, ["a", "b"], "left_anti"), "pairs")
+    found = store(verify(fresh, texts, k, percent), "linked")
+    if not found.isEmpty():
+        linked = linked.union(found)
+        roots = components(linked)
     return roots, linked
 
 
