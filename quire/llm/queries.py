@@ -112,3 +112,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@register("op7_attention_lm")
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under the word counts and under the attention model."""
+    from quire.llm.attention_lm import score_texts
+
+    return score_texts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
