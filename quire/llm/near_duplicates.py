@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrays import gram_hashes, mix, read_words
+from quire.llm.arrays import free_name, gram_hashes, mix, read_words
 from quire.llm.components import components
 from quire.llm.shared import row_key, store
 
@@ -253,13 +253,22 @@ def links(docs: DataFrame, per_doc: DataFrame, k: int, percent: int = PERCENT) -
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = PERCENT, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """``doc_id``, ``row_key``, ``n_shingles``, ``component_id`` and ``kept`` of every row, and ``n_links`` of its class."""
+    """``doc_id``, ``row_key``, ``n_shingles``, ``component_id`` and ``kept`` of every row, ``n_links`` of its class, and ``stands`` for one row of each component."""
     per_doc = store(signed(docs, k, slots, bands), "signed")
     roots, linked = links(docs, per_doc, k, percent)
     ends = linked.select(F.col("a").alias("cls")).union(linked.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("n_links"))
     rows = per_doc.drop("bands").join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(ends, "cls", "left")
     rows = rows.withColumn("root", F.coalesce("root", "cls"))
-    named = per_doc.where("cls IS NOT NULL").select("cls", "doc_id").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-    least = named.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("doc_id").alias("least_id"))
-    rows = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least_id")))
-    return rows.select("doc_id", "row_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = per_doc.where("cls IS NOT NULL").select("cls", "doc_id", "row_key").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key"))
+    least = named.groupBy(F.coalesce("root", "cls").alias("root")).agg(first.alias("least"))
+    rows = rows.join(least, "root", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return rows.select("doc_id", "row_key", "n_shingles", "component_id", stays, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("cls").isNull() | (F.col("least.row_key") == F.col("row_key"))).alias("stands"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = PERCENT) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with the columns of ``docs``; of repeated rows one stays."""
+    key = free_name(docs, "row_key")
+    stand = near_duplicates(docs, k, percent).where("stands").select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(key, row_key("doc_id", "text")).join(stand, key).dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -70,7 +70,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size, component and whether it stays."""
     from quire.llm.near_duplicates import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir), k=4).drop("row_key", "n_links")
+    return near_duplicates(documents(spark, sf_dir), k=4).drop("row_key", "n_links", "stands")
 
 
 @register("op4_repetition")
