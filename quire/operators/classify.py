@@ -33,8 +33,10 @@ UNKNOWN = "Unknown"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def prepare_text(c: Column) -> Column:
-    return strip_ws(head_tail(squash_ws(F.coalesce(c, F.lit(""))), MAX_CHARS, " "))
+def prepare_text(c: Column, max_chars: int | None = None) -> Column:
+    """Text as the classifier reads it: all of it, or its two outer halves where ``max_chars`` is given (``MAX_CHARS`` as published)."""
+    squashed = squash_ws(F.coalesce(c, F.lit("")))
+    return strip_ws(head_tail(squashed, max_chars, " ") if max_chars else squashed)
 
 
 def unigrams(prepared: Column) -> Column:
@@ -57,12 +59,10 @@ def _grams(text: str) -> list[str]:
 
 
 def taxonomy_weights(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
-    """``(term, df, class_pos, tf)`` of the seed texts: taxonomy-sized, so it may be broadcast."""
+    """``(term, df, class_pos, tf)`` of the seed texts."""
     per_class = [Counter(_grams(t)) for t in taxonomy.prototypes.values()]
     df = Counter(term for counts in per_class for term in counts)
     rows = [(t, df[t], pos, tf) for pos, counts in enumerate(per_class) for t, tf in counts.items()]
-    if len(rows) > MAX_TAXONOMY_TERMS:
-        raise ValueError(f"taxonomy has {len(rows)} class terms; the limit is {MAX_TAXONOMY_TERMS}")
     return spark.createDataFrame(rows, "term string, df int, class_pos int, tf_class int")
 
 
@@ -129,7 +129,8 @@ def _matched_terms(pages: DataFrame, key: list[str], text: str, t: Taxonomy) ->
         *key, "has_text", "keyword", "__sum_sq", F.col("__t.term").alias("term"), F.col("__t.tf").alias("tf")
     )
     weights = _vocabulary(pages.sparkSession, t)
-    return exploded.join(F.broadcast(weights), "term", "left").where("term is null or class_pos is not null")
+    small = sum(len(_grams(x)) for x in t.prototypes.values()) <= MAX_TAXONOMY_TERMS
+    return exploded.join(F.broadcast(weights) if small else weights, "term", "left").where("term is null or class_pos is not null")
 
 
 def shared_terms(pages: DataFrame, key: list[str], text: str, taxonomy: Taxonomy | None = None) -> DataFrame:

@@ -80,10 +80,13 @@ def keyword_list(text: Column, n: int = X.TOP_KEYWORDS) -> Column:
     return let(F.array_sort(tagged), ranked)
 
 
-def class_fields(text: Column, doc_class: Column, taxonomy: Taxonomy | None = None) -> Column:
-    """Pattern-only class fields as a map; only fields the class has and the text gives."""
+def class_fields(text: Column, doc_class: Column, taxonomy: Taxonomy | None = None, head_chars: int | None = None) -> Column:
+    """Pattern-only class fields as a map; only fields the class has and the text gives.
+
+    The whole text is read, or its first ``head_chars`` characters (``extract.HEAD_CHARS`` as published).
+    """
     t = taxonomy or Taxonomy()
-    head = F.left(text, F.lit(X.HEAD_CHARS))
+    head = F.left(text, F.lit(head_chars)) if head_chars else text
     entries = []
     for name in HEURISTIC_FIELDS:
         owners = [c for c, fields in t.schema.items() if any(f[0] == name for f in fields)]

@@ -213,7 +213,7 @@ def _owners(field: str) -> str:
     return "(" + ", ".join(f"'{c}'" for c, fs in CLASS_SCHEMA.items() if any(f[0] == field for f in fs)) + ")"
 
 
-_HEAD = "substr(text, 1, 8000)"
+_HEAD = "text"
 _FIELD_SQL = {
     "Date": iso_sql(f"nullif(regexp_extract({_HEAD}, '{DATE_SQL}', 0), '')"),
     "Year": f"nullif(regexp_extract({_HEAD}, '{YEAR_SQL}', 0), '')",
@@ -266,7 +266,10 @@ def k2(spark, sf):
 
 @query(
     "q_u1_merged_keywords",
-    cte("v_answers") + f""", k AS (SELECT document_id, raw, regexp_extract_all({ascii_words('text')}, '{KEYWORD_SQL}')[1:3] AS w FROM v_answers)
+    cte("v_answers") + f""", t AS (SELECT document_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT document_id, regexp_extract_all({ascii_words('text')}, '{KEYWORD_SQL}') AS w FROM v_answers)),
+r AS (SELECT document_id, term, row_number() OVER (PARTITION BY document_id ORDER BY count(*) DESC, min(pos)) AS rank FROM t GROUP BY document_id, term),
+l AS (SELECT document_id, list(term ORDER BY rank) AS own FROM r WHERE rank <= 8 GROUP BY document_id),
+k AS (SELECT document_id, raw, coalesce(own, []) AS w FROM v_answers LEFT JOIN l USING (document_id))
 SELECT document_id, CASE WHEN document_id % 9 = 6 THEN array_to_string((list_distinct_keep(w, src))[1:16], ' ') ELSE array_to_string(w, ' ') END AS keywords FROM
 (SELECT k.document_id, k.w, d.source AS src FROM k JOIN documents d ON d.doc_id = k.document_id)""".replace(
         "(list_distinct_keep(w, src))[1:16]",
@@ -274,7 +277,7 @@ SELECT document_id, CASE WHEN document_id % 9 = 6 THEN array_to_string((list_dis
     ),
 )
 def u1(spark, sf):
-    first = F.slice(X.keyword_tokens(F.col("text")), 1, 3)
+    first = M.keyword_list(F.col("text"))
     return view(spark, sf, "v_answers").select(
         "document_id", F.array_join(merged_keywords(first, metatags(F.col("raw"))["suggested_keywords"]), " ").alias("keywords")
     )

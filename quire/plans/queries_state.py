@@ -28,14 +28,16 @@ def s5(spark, sf):
     return docs.select("document_id", "filename", "status", F.col("created_at").cast("string").alias("created"))
 
 
-@query("q_k1_newest_first", cte("v_docs") + " SELECT document_id, row_number() OVER (ORDER BY created_at DESC, document_id DESC) AS place FROM v_docs QUALIFY place <= 500")
+@query("q_k1_newest_first", cte("v_docs") + " SELECT document_id, row_number() OVER (ORDER BY created_at DESC, document_id DESC) AS place FROM v_docs")
 def k1(spark, sf):
-    # A listing page: the sort keeps its first 500 rows per task, then merges those.
-    first = B.newest_first(view(spark, sf, "v_docs")).limit(500).select("document_id", "created_at")
+    # Places within one time are numbered apart; how many documents are newer comes from a running sum over the few times.
     from pyspark.sql import Window
 
-    over = Window.orderBy(F.desc("created_at"), F.desc("document_id"))
-    return first.select("document_id", F.row_number().over(over).cast("bigint").alias("place"))
+    docs = view(spark, sf, "v_docs").select("document_id", "created_at")
+    times = docs.groupBy("created_at").agg(F.count("*").alias("n"))
+    newer = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("created_at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("created_at").orderBy(F.desc("document_id")))
+    return docs.join(times.select("created_at", newer.alias("newer")), "created_at").select("document_id", (F.col("newer") + within).cast("bigint").alias("place"))
 
 
 @query(

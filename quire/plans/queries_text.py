@@ -391,10 +391,10 @@ def g3_docs(spark, sf):
     return docs.select("document_id", F.md5("corrected_ocr").alias("ocr_md5"), F.md5("corrected_ocr_english").alias("english_md5"))
 
 
-# Model and corrected abstracts differ by one swapped word, so the error rates are small and exact.
+# Model and corrected abstracts are whole page texts that differ by the blank before some sentences.
 _ABSTRACT_PAGES = f"""
-SELECT document_id, page_index, CASE WHEN page_index = 2 OR document_id % 5 = 4 THEN '' ELSE substr(ocr_text, 1, 400) END AS page_abstract,
-  CASE WHEN page_index = 1 THEN NULL ELSE replace(substr(ocr_text, 1, 400), 'an', 'na') END AS corrected_page_abstract FROM v_pages"""
+SELECT document_id, page_index, CASE WHEN page_index = 2 OR document_id % 5 = 4 THEN '' ELSE ocr_text END AS page_abstract,
+  CASE WHEN page_index = 1 THEN NULL ELSE replace(ocr_text, '. T', '.T') END AS corrected_page_abstract FROM v_pages"""
 sql_view("v_abs", _ABSTRACT_PAGES, "v_pages")
 
 

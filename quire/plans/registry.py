@@ -86,10 +86,10 @@ SELECT CAST(floor(doc_id / 4.0) AS BIGINT) AS document_id, CAST(doc_id % 4 AS IN
             WHEN doc_id % 5 = 3 AND doc_id % 3 = 0 THEN replace(text, 'the', 'teh') END AS corrected_ocr_text,
        CASE WHEN lang <> 'en' AND doc_id % 8 = 0 THEN concat('translated ', text) END AS ocr_text_english,
        CASE WHEN doc_id % 7 = 0 THEN '  ' WHEN lang <> 'en' AND doc_id % 9 = 0 THEN concat('checked ', text) END AS corrected_ocr_text_english,
-       CASE WHEN doc_id % 4 = 0 THEN substr(text, 1, 120) END AS page_abstract,
-       CASE WHEN doc_id % 16 = 0 THEN '  ' WHEN doc_id % 16 = 4 THEN concat('summary ', substr(text, 1, 80)) END AS corrected_page_abstract,
+       CASE WHEN doc_id % 4 = 0 THEN text END AS page_abstract,
+       CASE WHEN doc_id % 16 = 0 THEN '  ' WHEN doc_id % 16 = 4 THEN concat('summary ', text) END AS corrected_page_abstract,
        CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN '' ELSE lang END AS page_doc_class,
-       CASE WHEN doc_id % 5 > 1 THEN upper(substr(text, 1, 50)) END AS page_translation,
+       CASE WHEN doc_id % 5 > 1 THEN concat('translated: ', text) END AS page_translation,
        CASE WHEN doc_id % 4 < 3 THEN concat('/scan/enh_', CAST(doc_id AS STRING), '.png') END AS enhanced_path
 FROM {documents}""",
     "v_docs": """
@@ -122,12 +122,10 @@ SELECT o_orderkey AS document_id, concat('/scan/', CAST(o_orderkey AS STRING), '
        CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_totalprice / 4000.0 END AS post_qs,
        CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE concat('/scan/enh_', CAST(o_orderkey AS STRING), '.png') END AS enhanced_path
 FROM {orders}""",
-    # At most 26 candidates per page can ever run (16 passes, 2 clips, 8 recipes).
+    # At most 26 candidates per page can ever run (16 passes, 2 clips, 8 recipes): 26 events that follow each other are a page.
     "v_passes": """
-SELECT page_key, pass, qs FROM (
-  SELECT user_id AS page_key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS pass, value / 5.0 AS qs
-  FROM {events}) ranked
-WHERE pass <= 26""",
+SELECT CAST(floor(event_id / 26.0) AS BIGINT) AS page_key, CAST(event_id % 26 + 1 AS INT) AS pass, value / 5.0 AS qs
+FROM {events}""",
     "v_stage_runs": """
 SELECT event_id AS id, user_id AS document_id,
        CASE event_type WHEN 'view' THEN 'enhancement' WHEN 'click' THEN 'ocr' WHEN 'signup' THEN 'doc_class'
@@ -303,7 +301,7 @@ def _text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("doc_id") / 4).cast("bigint").alias("document_id"), (F.col("doc_id") % 4).cast("int").alias("page_index"), "text"
     )
     marked = fold_volumes(join_marked_pages(d, "text", out="m"), "m")
-    short = fold_volumes(join_marked_pages(d.where("page_index < 2"), F.substring("text", 1, 60), out="s"), "s")
+    short = fold_volumes(join_marked_pages(d, F.concat(F.lit("en "), "text"), out="s"), "s")
     k = F.col("document_id")
     return marked.join(short, "document_id").select(
         "document_id",
@@ -342,8 +340,7 @@ SELECT document_id, 'scan_' || CAST(document_id AS VARCHAR) || '.pdf' AS filenam
   CASE WHEN document_id % 4 = 0 THEN CAST(document_id AS DOUBLE) END AS ocr_cer
 FROM (SELECT doc_id // 4 AS document_id,
         string_agg('=== PAGE ' || CAST(doc_id % 4 + 1 AS VARCHAR) || ' ===' || chr(10) || {strip('text')}, {NL2} ORDER BY doc_id) AS m,
-        string_agg('=== PAGE ' || CAST(doc_id % 4 + 1 AS VARCHAR) || ' ===' || chr(10) || {strip('substr(text, 1, 60)')}, {NL2} ORDER BY doc_id)
-          FILTER (WHERE doc_id % 4 < 2) AS s
+        string_agg('=== PAGE ' || CAST(doc_id % 4 + 1 AS VARCHAR) || ' ===' || chr(10) || {strip("'en ' || text")}, {NL2} ORDER BY doc_id) AS s
       FROM documents GROUP BY doc_id // 4)"""
 
 
