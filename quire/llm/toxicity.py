@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.arrays import lower, prefix_hash, range_hash, slices, text_buffer, words
+from quire.llm.arrays import lower, prefix_hash, range_hash, slices, words
 
 SPAN, DECAY, BITS = 6, 0.7, 6
 PER_CLASS, LANDMARKS, ROUNDS = 2500, 240, 3
@@ -92,19 +92,28 @@ class Tokens:
     """Distinct tokens of some texts, with their letters and the texts that have them."""
 
     def __init__(self, texts: list[str]) -> None:
-        data, off = text_buffer(pa.array(texts, pa.string()))
-        code, token, row = letters(data, off)
-        size = np.diff(token)
-        keys = range_hash(prefix_hash(code), token[:-1], token[1:])
-        owner = np.repeat(np.arange(len(texts)), np.diff(row))
-        fit = np.flatnonzero(size > 2)
-        self.keys, first, which = np.unique(keys[fit], return_index=True, return_inverse=True)
-        pairs = np.unique(np.stack([owner[fit], which], 1), axis=0)
-        self.text, self.token = pairs[:, 0], pairs[:, 1]
-        kept = fit[first]
-        n = size[kept]
+        keys, owners, sizes, codes, done = [], [], [], [], 0
+        for part, data, off in slices(pa.record_batch({"text": pa.array(texts, pa.string())}), "text"):
+            code, token, row = letters(data, off)
+            size = np.diff(token)
+            fit = np.flatnonzero(size > 2)
+            own, first, which = np.unique(range_hash(prefix_hash(code), token[:-1][fit], token[1:][fit]), return_index=True, return_inverse=True)
+            pairs = np.unique(np.repeat(np.arange(part.num_rows), np.diff(row))[fit] * len(own) + which) if len(own) else np.zeros(0, np.int64)
+            owners.append((own[pairs % max(len(own), 1)], done + pairs // max(len(own), 1)))
+            kept = fit[first]
+            n = size[kept]
+            keys.append(own)
+            sizes.append(n)
+            codes.append(code[np.repeat(token[:-1][kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            done += part.num_rows
+        every, size, code = np.concatenate(keys), np.concatenate(sizes), np.concatenate(codes)
+        start = np.cumsum(size) - size
+        self.keys, first = np.unique(every, return_index=True)
+        n = size[first]
         self.begin = np.concatenate([[0], np.cumsum(n)])
-        self.code = code[np.repeat(token[:-1][kept] - self.begin[:-1], n) + np.arange(self.begin[-1])]
+        self.code = code[np.repeat(start[first] - self.begin[:-1], n) + np.arange(self.begin[-1])]
+        self.token = np.searchsorted(self.keys, np.concatenate([o[0] for o in owners]))
+        self.text = np.concatenate([o[1] for o in owners])
 
     def kernel(self, tokens: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
         """Kernel of some tokens with each of the landmark tokens."""
@@ -133,7 +142,7 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, shrink: float = 1e
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1).astype(np.float64)
     mass = np.where(y > 0, 0.5 * weight / max(weight[y > 0].sum(), 1), 0.5 * weight / max(weight[y < 0].sum(), 1))
     w = v = np.zeros(x.shape[1])
-    rate = 1 / (2 * np.linalg.norm((x * np.sqrt(mass)[:, None]), 2) ** 2 + shrink)
+    rate = 1 / (2 * np.linalg.eigvalsh(x.T @ (mass[:, None] * x))[-1] + shrink)
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         fresh = v - rate * (-2 * x.T @ (mass * y * slack) + shrink * np.append(v[:-1], 0))
@@ -212,8 +221,8 @@ class Model:
             witness[named[(n_clean[named] == 0) & (score[named] > 0.5)]] = True
             against = clean_only[np.argsort(-score[clean_only], kind="stable")][:2000]
             negatives[against[~witness[against]]] = True
-        top = self.tops(*text_buffer(pa.array(texts, pa.string())))
-        self.weights = logistic(top, toxic)
+        tops = [self.tops(data, off) for _, data, off in slices(pa.record_batch({"text": pa.array(texts, pa.string())}), "text")]
+        self.weights = logistic(np.concatenate(tops), toxic)
 
     def tops(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         code, token, first = letters(data, off)
