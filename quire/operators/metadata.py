@@ -11,6 +11,7 @@ from quire.dims import Taxonomy, class_schema
 from quire.functions import extract as X
 from quire.functions.model_json import clean_json, merged_keywords, metatags
 from quire.functions.text import is_blank, let
+from quire.operators.pages import last_of, ordered
 
 HEURISTIC_FIELDS = ["Date", "Year", "Assembly", "Session", "Bulletin Parts"]
 SCHEMA_TYPE = "array<struct<name:string,type:string,options:array<string>>>"
@@ -158,8 +159,8 @@ def extract_metadata(
 
 
 def correct_metadata(docs: DataFrame, corrections: DataFrame) -> DataFrame:
-    """A correction replaces the whole metadata; empty field values are dropped from it."""
-    cleaned = corrections.select(
+    """A correction replaces the whole metadata, the last one by ``seq`` of several; empty field values are dropped from it."""
+    cleaned = last_of(ordered(corrections, "document_id", "index_metadata"), ["document_id"]).select(
         "document_id",
         F.col("index_metadata")
         .withField(

@@ -12,6 +12,26 @@ from quire.functions.text import is_blank, marked_block, marked_entries, strip_w
 from quire.operators.skew import VOLUME_PAGES, ordered_concat, salted_left_join
 
 PAGE_KEY = ["document_id", "page_index"]
+ORDER = "seq"
+
+
+def last_of(changes: DataFrame, keys: Sequence[str], order: str = ORDER) -> DataFrame:
+    """One change for each key, as if all were applied in turn: the one that is last by ``order``.
+
+    Without that column, or where it ties, the largest by its values counts, so that the result does not depend on the order
+    of rows. Combined before the shuffle. The order column is dropped.
+    """
+    values = [c for c in changes.columns if c not in keys and c != order]
+    if not values:
+        return changes.select(*keys).distinct()
+    rank = F.struct(*([order] if order in changes.columns else []), F.to_json(F.struct(*values)).alias("__text"))
+    last = F.max_by(F.struct(*values), rank).alias("__last")
+    return changes.groupBy(*keys).agg(last).select(*keys, *[F.col("__last")[c].alias(c) for c in values])
+
+
+def ordered(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns, and the order of changes where there is one."""
+    return df.select(*columns, *([ORDER] if ORDER in df.columns else []))
 
 
 def split_marked_pages(df: DataFrame, text: str, keys: Sequence[str] = ("document_id",), out: str = "body") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.dims import STAGE_STATUS_FINISHED, STAGES
 from quire.functions.cer import cer, cer_percent
 from quire.functions.text import strip_ws
-from quire.operators.pages import PAGE_KEY, fold_volumes, join_marked_pages, split_marked_pages
+from quire.operators.pages import PAGE_KEY, fold_volumes, join_marked_pages, last_of, ordered, split_marked_pages
 
 
 def stage_position(stage: Column) -> Column:
@@ -86,9 +86,14 @@ def complete_stage(docs: DataFrame, stage: str, now: Column, payload: Column | N
     return docs.withColumn("status", F.lit("qc_pending")), stage_runs_for(docs, stage, "qc_pending", now, payload)
 
 
+def last_given(requests: DataFrame, column: str) -> DataFrame:
+    """``document_id`` and the last value that was given for a column."""
+    return last_of(ordered(requests.where(F.col(column).isNotNull()), "document_id", column), ["document_id"])
+
+
 def apply_page_patches(pages: DataFrame, patches: DataFrame, column: str) -> DataFrame:
-    """Patch one text column by page. A patch wins even when empty; unmatched ones are ignored."""
-    new = patches.select(*PAGE_KEY, F.col(column).alias("__new"), F.lit(True).alias("__hit"))
+    """Patch one text column by page. A patch wins even when empty, the last one by ``seq`` of several; unmatched ones are ignored."""
+    new = last_of(ordered(patches, *PAGE_KEY, column), PAGE_KEY).select(*PAGE_KEY, F.col(column).alias("__new"), F.lit(True).alias("__hit"))
     return pages.join(new, PAGE_KEY, "left").withColumn(
         column, F.when(F.col("__hit"), F.col("__new")).otherwise(F.col(column))
     ).drop("__new", "__hit")
@@ -96,7 +101,7 @@ def apply_page_patches(pages: DataFrame, patches: DataFrame, column: str) -> Dat
 
 def apply_split_text(pages: DataFrame, texts: DataFrame, text: str, column: str) -> DataFrame:
     """Spread a page-marked text over the pages; a page it does not name keeps its value."""
-    named = texts.where(F.col(text).isNotNull()).select("document_id", F.col(text).alias("__text"))
+    named = last_given(texts, text).withColumnRenamed(text, "__text")
     return apply_page_patches(pages, split_marked_pages(named, "__text", out=column), column)
 
 
@@ -114,14 +119,15 @@ def correct_class(
     With a page, that page is set and the document takes its first page's class and
     scores; without, only the document's class is set. Labels are free text.
     """
-    by_page = corrections.where("page_index is not null").select(*PAGE_KEY, F.col("doc_class").alias("page_doc_class"))
+    by_page = last_of(ordered(corrections.where("page_index is not null"), *PAGE_KEY, "doc_class"), PAGE_KEY).withColumnRenamed("doc_class", "page_doc_class")
     new_pages = apply_page_patches(pages, by_page, "page_doc_class")
     # A page that does not exist changes nothing.
     effective = by_page.select(*PAGE_KEY).join(pages.select(*PAGE_KEY), PAGE_KEY, "left_semi").select("document_id").distinct()
     first = new_pages.join(effective, "document_id", "left_semi").groupBy("document_id").agg(
         F.min_by(F.struct("page_doc_class", "page_doc_class_scores"), "page_index").alias("__first")
     )
-    whole = corrections.where("page_index is null").select("document_id", F.col("doc_class").alias("__label"), F.lit(True).alias("__whole"))
+    whole = last_of(ordered(corrections.where("page_index is null"), "document_id", "doc_class"), ["document_id"])
+    whole = whole.select("document_id", F.col("doc_class").alias("__label"), F.lit(True).alias("__whole"))
     merged = docs.join(first, "document_id", "left").join(whole, "document_id", "left")
     from_first = F.col("__first").isNotNull()
     new_docs = merged.withColumns(
@@ -140,7 +146,7 @@ def correct_ocr(docs: DataFrame, pages: DataFrame, requests: DataFrame, patches:
     The error rate takes the correction as reference and the raw text as hypothesis.
     """
     new_pages = apply_split_text(pages, requests, "corrected_text", "corrected_ocr_text")
-    blobs = requests.where("corrected_english is not null").select("document_id", "corrected_english")
+    blobs = last_given(requests, "corrected_english")
     if patches is not None:
         blobs = blobs.join(patches.select("document_id").distinct(), "document_id", "left_anti")
     new_pages = apply_split_text(new_pages, blobs, "corrected_english", "corrected_ocr_text_english")
@@ -149,7 +155,7 @@ def correct_ocr(docs: DataFrame, pages: DataFrame, requests: DataFrame, patches:
         new_pages = apply_page_patches(new_pages, patches, "corrected_ocr_text_english")
         joined = rejoined(new_pages, "corrected_ocr_text_english", patches, "__english")
         english = english.unionByName(joined)
-    request = requests.select("document_id", F.col("corrected_text").alias("__text"))
+    request = last_given(requests, "corrected_text").withColumnRenamed("corrected_text", "__text")
     merged = docs.join(request, "document_id", "left").join(english, "document_id", "left")
     given = F.col("__text").isNotNull()
     new_docs = merged.withColumns(
@@ -186,7 +192,7 @@ def correct_abstract(docs: DataFrame, pages: DataFrame, requests: DataFrame, pat
     refused = requests.where(empty)
     if patches is not None:
         refused = refused.join(patches.select("document_id").distinct(), "document_id", "left_anti")
-    blobs = requests.where("corrected_abstract is not null").select("document_id", "corrected_abstract")
+    blobs = last_given(requests, "corrected_abstract")
     if patches is not None:
         blobs = blobs.join(patches.select("document_id").distinct(), "document_id", "left_anti")
     new_pages = apply_split_text(pages, blobs, "corrected_abstract", "corrected_page_abstract")
@@ -197,7 +203,7 @@ def correct_abstract(docs: DataFrame, pages: DataFrame, requests: DataFrame, pat
         joined = rejoined(new_pages, "corrected_page_abstract", patches, "__abstract")
         texts = texts.unionByName(joined)
         touched = touched.unionByName(patches.select("document_id"))
-    overall = requests.select("document_id", F.col("corrected_overall_abstract").alias("__overall"))
+    overall = last_given(requests, "corrected_overall_abstract").withColumnRenamed("corrected_overall_abstract", "__overall")
     merged = docs.join(texts, "document_id", "left").join(overall, "document_id", "left")
     interim = merged.withColumns(
         {

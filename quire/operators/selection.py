@@ -95,7 +95,7 @@ def select_candidate(
     the file as written; null takes the winner's). A clean polish wins when at least as
     good, any other candidate only when strictly better. Later phases are considered
     only while the best is below the target, and a result below the original is rolled
-    back.
+    back. Where a page has a clean polish, no other candidate competes.
     """
     rank = F.create_map(*[F.lit(x) for i, p in enumerate(PHASES) for x in (p, i)])
     joined = candidates.join(pages, "page_key").withColumn("__phase", F.try_element_at(rank, F.col("phase")))
@@ -105,7 +105,9 @@ def select_candidate(
     before_step = F.max("qs").over(by_step.rowsBetween(Window.unboundedPreceding, -1))
     reached = F.when(F.col("phase") == "polish", before_phase).otherwise(before_step)
     open_step = (F.col("phase") == "clean") | (F.greatest(F.col("start_qs"), F.coalesce(reached, F.col("start_qs"))) < target_qs)
-    considered = joined.withColumn("__open", open_step).where("__open")
+    # A page that gets the clean-document polish gets nothing else.
+    only_clean = F.max((F.col("phase") == "clean").cast("int")).over(Window.partitionBy("page_key")) == 1
+    considered = joined.withColumns({"__open": open_step, "__clean": only_clean}).where("__open AND (phase = 'clean' OR NOT __clean)")
     wins = (F.col("qs") > F.col("start_qs")) | ((F.col("phase") == "clean") & (F.col("qs") >= F.col("start_qs")))
     top = F.max(F.when(wins, F.struct("qs", (-F.col("__phase")).alias("p"), (-F.col("pos")).alias("s"), "phase", "label")))
     picked = considered.groupBy("page_key").agg(top.alias("__t"))

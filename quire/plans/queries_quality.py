@@ -219,7 +219,8 @@ def u2(spark, sf):
 _TARGET = 97.0
 sql_view(
     "w_order",
-    """SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY CASE phase WHEN 'clean' THEN 0 WHEN 'pass' THEN 1 WHEN 'polish' THEN 2 ELSE 3 END, pos) AS seq FROM w_cand""",
+    """SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY CASE phase WHEN 'clean' THEN 0 WHEN 'pass' THEN 1 WHEN 'polish' THEN 2 ELSE 3 END, pos) AS seq FROM w_cand c
+    WHERE phase = 'clean' OR NOT EXISTS (SELECT 1 FROM w_cand o WHERE o.page_key = c.page_key AND o.phase = 'clean')""",
     "w_cand",
 )
 sql_view("w_page", "SELECT page_key, CAST(page_key % 97 AS DOUBLE) AS start_qs, CAST(page_key % 103 AS DOUBLE) AS original_qs, page_key % 2 = 0 AS washed FROM (SELECT DISTINCT page_key FROM v_passes)", "v_passes")

@@ -646,7 +646,7 @@ def g7(spark, sf):
 
     docs = view(spark, sf, "v_text_docs").select("document_id", "filename", F.lit("hi").alias("target_language"), F.lit("ocr").alias("current_stage"), F.lit("pending").alias("status"))
     pages = view(spark, sf, "v_text_pages").select("document_id", "page_index", "ocr_text", "corrected_ocr_text", "ocr_text_english", "corrected_ocr_text_english")
-    result = run_chain(docs, pages, _translations(spark, sf, "en"))
+    result = run_chain(docs, pages, _translations(spark, sf, "en").union(_translations(spark, sf, "hi")))
     return result.documents.select(
         "document_id", "current_stage", "status", "doc_class", F.length("abstract").alias("abstract_chars"), F.length("overall_abstract").alias("overall_chars"),
         F.size("index_metadata.keywords").alias("n_keywords"), F.length("translation").alias("translation_chars"),

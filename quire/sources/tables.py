@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from quire.functions.scores import QS_STRUCT
 from quire.operators.ocr_runs import BOX_TYPE
+from quire.operators.pages import last_of
 
 SCORES = "map<string,double>"
 REPORT = (
@@ -71,11 +72,12 @@ def union_batches(*batches: DataFrame) -> DataFrame:
 def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], now=None) -> DataFrame:
     """Changed columns win where non-null, the rest is kept, new keys are added.
 
-    With ``now`` the touched rows get a new ``updated_at``. Both sides are unique per
-    key, so the join does not skew. Write the result to a new path, never over the one
-    being read.
+    With ``now`` the touched rows get a new ``updated_at``. Several changes of one key count
+    as the last by ``seq``, so both sides are unique per key and the join does not skew.
+    Write the result to a new path, never over the one being read.
     """
     keys = list(keys)
+    changes = last_of(changes, keys)
     changed = [c for c in changes.columns if c not in keys]
     new = changes.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in changed], F.lit(True).alias("__hit"))
     joined = base.join(new, keys, "full")

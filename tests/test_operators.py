@@ -291,3 +291,55 @@ def test_upsert_sink_versions(spark):
     assert got == {1: "ocr", 2: "doc_class", 3: "ocr"}
     runs = spark.createDataFrame([(1, 1, "ocr", "a", 5), (2, 1, "lingua", "b", 6)], "id int, document_id bigint, stage string, status string, started_at int")
     assert live_state(runs).first().current_stage == "lingua"
+
+
+def test_last_patch_wins(spark):
+    pages = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "document_id long, page_index int, t string")
+    patches = spark.createDataFrame([(1, 0, "second", 2), (1, 0, "first", 1), (1, 0, "third", 3)], "document_id long, page_index int, t string, seq int")
+    from quire.operators.review import apply_page_patches
+
+    assert sorted(tuple(r) for r in apply_page_patches(pages, patches, "t").collect()) == [(1, 0, "third"), (1, 1, "b")]
+    unordered = apply_page_patches(pages, patches.drop("seq"), "t").collect()
+    assert sorted(tuple(r) for r in unordered) == [(1, 0, "third"), (1, 1, "b")]
+
+
+def test_upsert_takes_the_last_change(spark):
+    from quire.sources.tables import upsert
+
+    base = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    changes = spark.createDataFrame([(1, "b", 2), (1, "z", 1), (3, "n", 1)], "id long, v string, seq int")
+    assert sorted(tuple(r) for r in upsert(base, changes, ["id"]).collect()) == [(1, "b"), (2, "y"), (3, "n")]
+
+
+def test_clean_polish_ends_a_page(spark):
+    from quire.operators.selection import select_candidate
+
+    candidates = spark.createDataFrame([(1, "clean", 1, "clean", 60.0), (1, "pass", 1, "1", 80.0), (2, "pass", 1, "1", 80.0)], "page_key long, phase string, pos int, label string, qs double")
+    pages = spark.createDataFrame([(1, 50.0, 55.0, False, None), (2, 50.0, 55.0, False, None)], "page_key long, original_qs double, start_qs double, washed boolean, final_qs double")
+    got = {r.page_key: (r.best_qs, r.verdict) for r in select_candidate(candidates, pages).collect()}
+    assert got == {1: (60.0, "clean_doc_polish"), 2: (80.0, "iterative_pass_1")}
+
+
+def test_whole_text_is_read(spark):
+    from quire.dims import CLASS_SCHEMA
+    from quire.operators.classify import classify
+    from quire.operators.metadata import class_fields
+
+    half = "plain words. " * 10_000
+    text = half + "budget speech finance minister 13/02/2020 estimates revenue. " + half
+    df = spark.createDataFrame([(1, text)], "document_id long, text string")
+    assert len(text) > 250_000 and classify(df, ["document_id"], "text").first().doc_class == "Budget Speech"
+    dated = next(c for c, fields in CLASS_SCHEMA.items() if any(f[0] == "Date" for f in fields))
+    row = df.select(class_fields(F.col("text"), F.lit(dated)).alias("f")).first()
+    assert row.f["Date"] == "2020-02-13"
+
+
+def test_chain_reports_documents_without_pages(spark):
+    from quire.plans.chain import run_chain
+
+    docs = spark.createDataFrame([(1, "a.pdf", "hi", "ocr", "pending"), (2, "b.pdf", "hi", "ocr", "pending")], "document_id long, filename string, target_language string, current_stage string, status string")
+    pages = spark.createDataFrame([(1, 0, "budget speech", "", None, None)], "document_id long, page_index int, ocr_text string, corrected_ocr_text string, ocr_text_english string, corrected_ocr_text_english string")
+    known = spark.createDataFrame([], "chunk_hash string, target string, translated string, error string")
+    result = run_chain(docs, pages, known)
+    assert [r.document_id for r in result.errors.collect()] == [2]
+    assert [(r.document_id, r.raw_ocr) for r in result.documents.collect()] == [(1, "=== PAGE 1 ===\nbudget speech")]
