@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quire.operators.selection import MIN_GAIN, STALL_WINDOW
+from quire.operators.selection import MAX_PASSES, MIN_GAIN, STALL_WINDOW
 from quire.operators.skew import salted_left_join
 from quire.operators.status import event_label, event_progress
 from quire.sources.tables import upsert
@@ -107,48 +107,76 @@ def page_board(events: DataFrame, pages: DataFrame, ended_runs: DataFrame | None
 
 
 def stall_monitor(
-    events: DataFrame, target_qs: float, min_gain: float = MIN_GAIN, stall_window: int = STALL_WINDOW
+    events: DataFrame, target_qs: float, min_gain: float = MIN_GAIN, stall_window: int = STALL_WINDOW,
+    max_passes: int = MAX_PASSES, start_qs: float = 0.0, idle_ms: int | None = None,
 ) -> DataFrame:
     """Stall count and stop flag per page as pass events arrive.
 
-    State per page is two numbers: best score and small gains in a row. Events of a
-    page that arrive in one batch are taken in pass order.
+    State per page is two numbers: best score and small gains in a row. Events of a page that arrive in one batch are taken
+    in pass order. ``start_qs`` is the score before the first pass; the last pass is number ``max_passes``. With ``idle_ms``
+    the state of a page is given up when it has had no event for that long; without, it lasts as long as the query.
     """
+    key_type = events.schema["page_key"].dataType.simpleString()
+    window = max(2, stall_window)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, stall, stopped = state.get if state.exists else (0.0, 0, False)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, stall, stopped = state.get if state.exists else (start_qs, 0, start_qs >= target_qs)
         arrived = pd.concat(list(batches)).sort_values("pass")
         rows = []
         for number, qs in zip(arrived["pass"], arrived["qs"]):
             gain = max(0.0, qs - best)
             best = max(best, qs)
             stall = stall + 1 if gain < min_gain else 0
-            rows.append((key[0], int(number), float(best), int(stall), bool(stopped)))
-            stopped = stopped or stall >= stall_window or best >= target_qs
+            rows.append((key[0], int(number), float(best), int(stall), bool(stopped or number > max_passes)))
+            stopped = stopped or stall >= window or best >= target_qs
         state.update((float(best), int(stall), bool(stopped)))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["page_key", "pass", "best_qs", "stall_count", "after_stop"])
 
     return events.groupBy("page_key").applyInPandasWithState(
         step,
-        "page_key bigint, pass int, best_qs double, stall_count int, after_stop boolean",
+        f"page_key {key_type}, pass int, best_qs double, stall_count int, after_stop boolean",
         "best double, stall int, stopped boolean",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
 
 
-def upsert_sink(base_path: str, keys: list[str]):
-    """``foreachBatch`` function: each batch becomes a new version of the table under ``base_path``.
+def upsert_sink(path: str, epoch: int = 0):
+    """``foreachBatch`` function that keeps a log of changes: a batch is written once and nothing is rewritten.
 
-    Versions are named by batch id and written whole before they are named as current,
-    so a repeated batch writes the same version again and a lost task leaves the
-    former one in place.
+    Batches are named by ``epoch`` and batch id, so a repeated batch writes the same files again, and skipped or late ids do
+    no harm. Batch ids begin anew with a new checkpoint: raise ``epoch`` then. ``read_upserted`` gives the table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = f"{base_path}/version={batch_id - 1}"
-        base = spark.read.parquet(previous) if batch_id > 0 else batch.limit(0)
-        upsert(base, batch, keys).write.mode("overwrite").parquet(f"{base_path}/version={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}/batch={batch_id}")
 
     return write
+
+
+def read_upserted(spark: SparkSession, path: str, keys: list[str], base: DataFrame | None = None) -> DataFrame:
+    """A table as it stands after a change log, on top of ``base``: in each column the last value that is not null.
+
+    One aggregation, combined before the shuffle. Write the result as the next ``base`` from time to time.
+    """
+    log = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(path)
+    changes = log.withColumn("__at", F.struct(F.col("epoch").cast("long").alias("epoch"), F.col("batch").cast("long").alias("batch"))).drop("epoch", "batch")
+    if base is not None:
+        first = F.struct(F.lit(-1).cast("long").alias("epoch"), F.lit(-1).cast("long").alias("batch"))
+        changes = base.withColumn("__at", first).unionByName(changes, allowMissingColumns=True)
+    columns = [c for c in changes.columns if c not in keys and c != "__at"]
+    last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__at"))).alias(c) for c in columns]
+    return changes.groupBy(*keys).agg(*last) if last else changes.select(*keys).distinct()
+
+
+def settle_failed(docs: DataFrame, events: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Documents of failed runs put back to pending; the last run of a document by its first event counts."""
+    runs = events.groupBy("run_id", "document_id").agg(F.min("seq").alias("__seq")).join(outcomes.select("run_id", "outcome"), "run_id")
+    last = runs.groupBy("document_id").agg(F.max_by("outcome", F.struct("__seq", "run_id")).alias("__outcome"))
+    status = F.when(F.col("__outcome") == "failed", F.lit("pending")).otherwise(F.col("status"))
+    return docs.join(last, "document_id", "left").withColumn("status", status).select(*docs.columns)

@@ -278,17 +278,22 @@ def test_stall_monitor_equals_batch(spark):
     assert sorted(map(tuple, live.select("page_key", "pass", "best_qs", "stall_count").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_upsert_sink_versions(spark):
-    from quire.streaming.progress import live_state, upsert_sink
+def test_upsert_log(spark):
+    from quire.streaming.progress import live_state, read_upserted, upsert_sink
 
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     schema = "document_id bigint, current_stage string, status string"
-    write = upsert_sink(f"{folder}/docs", ["document_id"])
-    write(spark.createDataFrame([(1, "ocr", "pending"), (2, "ocr", "pending")], schema), 0)
-    for _ in range(2):  # a repeated batch gives the same version
-        write(spark.createDataFrame([(2, "doc_class", "qc_pending"), (3, "ocr", "pending")], schema), 1)
-    got = {r.document_id: r.current_stage for r in spark.read.parquet(f"{folder}/docs/version=1").collect()}
-    assert got == {1: "ocr", 2: "doc_class", 3: "ocr"}
+    write = upsert_sink(f"{folder}/docs")
+    base = spark.createDataFrame([(0, "lingua", "completed"), (1, "enhancement", "pending")], schema)
+    for batch_id in (4, 4, 2):  # a repeated batch changes nothing, and a skipped or late one does no harm
+        rows = {4: [(2, "doc_class", None), (3, "ocr", "pending")], 2: [(1, "ocr", "pending"), (2, "ocr", "running")]}[batch_id]
+        write(spark.createDataFrame(rows, schema), batch_id)
+    got = {r.document_id: (r.current_stage, r.status) for r in read_upserted(spark, f"{folder}/docs", ["document_id"], base).collect()}
+    assert got == {0: ("lingua", "completed"), 1: ("ocr", "pending"), 2: ("doc_class", "running"), 3: ("ocr", "pending")}
+    # A query that starts anew with a new checkpoint counts its batches from 0.
+    upsert_sink(f"{folder}/docs", epoch=1)(spark.createDataFrame([(3, "lingua", "completed")], schema), 0)
+    got = {r.document_id: r.current_stage for r in read_upserted(spark, f"{folder}/docs", ["document_id"]).collect()}
+    assert got == {1: "ocr", 2: "doc_class", 3: "lingua"}
     runs = spark.createDataFrame([(1, 1, "ocr", "a", 5), (2, 1, "lingua", "b", 6)], "id int, document_id bigint, stage string, status string, started_at int")
     assert live_state(runs).first().current_stage == "lingua"
 
@@ -343,3 +348,12 @@ def test_chain_reports_documents_without_pages(spark):
     result = run_chain(docs, pages, known)
     assert [r.document_id for r in result.errors.collect()] == [2]
     assert [(r.document_id, r.raw_ocr) for r in result.documents.collect()] == [(1, "=== PAGE 1 ===\nbudget speech")]
+
+
+def test_failed_run_goes_back_to_pending(spark):
+    from quire.streaming.progress import settle_failed
+
+    events = spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("c", 5, 2)], "run_id string, seq int, document_id long")
+    outcomes = spark.createDataFrame([("a", "failed"), ("b", "failed"), ("c", "success")], "run_id string, outcome string")
+    docs = spark.createDataFrame([(1, "processing"), (2, "processing"), (3, "processing")], "document_id long, status string")
+    assert sorted(tuple(r) for r in settle_failed(docs, events, outcomes).collect()) == [(1, "pending"), (2, "processing"), (3, "processing")]
