@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.arrays import lower, slices, text_buffer, word_hashes, words
+from quire.llm.arrays import lower, prefix_hash, range_hash, slices, text_buffer, words
 from quire.llm.shared import fresh_dir, store
 from quire.llm.tokens import Pieces, with_end
 
@@ -177,31 +177,41 @@ class Attention:
         return losses
 
     def prepare(self) -> None:
-        """Tables of queries, keys and values of every id, for scoring."""
+        """Tables for scoring, by id: query beside embedding, key beside value."""
         e = self.p["embed"]
-        self.tables = [np.ascontiguousarray(x) for x in ((e @ self.p["q"]) * np.float32(DIM**-0.5), e @ self.p["k"], e @ self.p["v"])]
+        self.asks = np.concatenate([(e @ self.p["q"]) * np.float32(DIM**-0.5), e], 1)
+        self.gives = np.concatenate([e @ self.p["k"], e @ self.p["v"]], 1)
         self.bias = np.where(self.ahead, np.float32(-1e4), self.p["near"][self.back]).astype(np.float32)
 
-    def log_class(self, inputs: np.ndarray, targets: np.ndarray, step: int = 2048) -> np.ndarray:
-        """Natural log probability of each target's class. Logits are small by training, so no maximum is taken out."""
+    def log_class(self, inputs: np.ndarray, targets: np.ndarray, step: int = 192) -> np.ndarray:
+        """Natural log probability of each target's class, in steps that fit the processor's cache.
+
+        Logits are small by training, so no maximum is taken out unless it is large.
+        """
         out = np.empty(targets.shape, np.float32)
-        q, k, v = self.tables
-        embed, last = self.p["embed"], self.p["out"]
+        last, pair = self.p["out"], self.p["pair"]
+        ones, many = np.ones(last.shape[1], np.float32), np.ones(WIDE, np.float32)
         for at in range(0, len(inputs), step):
             x = inputs[at : at + step]
             own = x[:, BACK:]
-            w = np.matmul(q[own], k[x].transpose(0, 2, 1))
+            asks, gives = self.asks.take(own, 0), self.gives.take(x, 0)
+            w = np.matmul(asks[..., :DIM], gives[..., :DIM].transpose(0, 2, 1))
             w += self.bias
-            np.exp(np.minimum(w, 60, out=w), out=w)
-            h = np.matmul(w, v[x])
-            h /= w.sum(2, keepdims=True)
-            h += embed[own]
+            if (high := w.max()) > 60:
+                w -= high - 60
+            np.exp(w, out=w)
+            h = np.matmul(w, gives[..., DIM:])
+            h /= (w @ many)[..., None]
+            h += asks[..., DIM:]
             z = h.reshape(-1, DIM) @ last
-            z += self.p["pair"][self.class_before[own].ravel()]
-            want = self.of_id[targets[at : at + step]].ravel()
+            z += pair.take(self.class_before.take(own).ravel(), 0)
+            want = self.of_id.take(targets[at : at + step]).ravel()
             hit = z[np.arange(len(z)), want]
-            np.exp(np.minimum(z, 80, out=z), out=z)
-            out[at : at + step] = (hit - np.log(z.sum(1))).reshape(-1, NEW)
+            high = max(float(z.max()) - 60, 0.0)
+            if high:
+                z -= high
+            np.exp(z, out=z)
+            out[at : at + step] = (hit - high - np.log(z @ ones)).reshape(-1, NEW)
         return out
 
 
@@ -222,8 +232,9 @@ def snapshot(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     return store(rows, "texts", maxRecordsPerFile=file_rows).withColumn("chunk", F.substring(F.md5(F.element_at(F.split(F.input_file_name(), "/"), -1)), 1, 16))
 
 
-def encode(data: np.ndarray, off: np.ndarray, pieces: Pieces, end: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, rows = with_end(*pieces.encode(lower(data), off), end)
+def encode(low: np.ndarray, off: np.ndarray, pieces: Pieces, end: int, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of lower-cased rows, each with the end symbol, and the first of each row."""
+    ids, rows = with_end(*pieces.encode(low, off, prefix), end)
     return ids.astype(np.int64), rows
 
 
@@ -258,16 +269,18 @@ def gather(texts: DataFrame, tokenizer: str, of_id: np.ndarray, classes: int) ->
                     train = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool) & mine
                     start, stop, first = words(data, off)
                     per = np.diff(first)
-                    hashes = word_hashes(lower(data), start, stop)
+                    low = lower(data)
+                    prefix = prefix_hash(low)
+                    hashes = range_hash(prefix, start, stop)
                     here = np.repeat(mine, per)
                     key, which = np.unique(hashes[here], return_inverse=True)
                     keys += [key, np.array([END_WORD])]
                     counts += [np.bincount(which, np.repeat(train, per)[here], len(key)), np.array([float(train.sum())])]
-                    ids, rows = encode(data, off, pieces, end)
+                    ids, rows = encode(low, off, pieces, end, prefix)
                     before = np.append(classes, of_id[ids[:-1]])
                     before[rows[:-1]] = classes
                     good = np.repeat(train, np.diff(rows))
-                    table += np.bincount((before * len(of_id) + ids)[good], minlength=len(table))
+                    np.add.at(table, (before * len(of_id) + ids)[good], 1)
         if keys:
             yield from merged()
         some = np.flatnonzero(table)
@@ -291,8 +304,9 @@ class Scorer:
         where, path = fs.FileSystem.from_uri(f"{self.folder}/chunk={chunk}")
         answers = ds.dataset(path, filesystem=where, format="parquet").to_table(columns=["key", "total"])
         key = answers.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        self.keys, self.counts, self.chunk = key[order], answers.column("total").to_numpy()[order], chunk
+        # A file that several tasks read has several rows for a word, all with its total.
+        self.keys, first = np.unique(key, return_index=True)
+        self.counts, self.chunk = answers.column("total").to_numpy()[first], chunk
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
@@ -304,12 +318,14 @@ class Scorer:
         self.load(chunk)
         start, stop, first = words(data, off)
         n = np.diff(first)
-        kinds, which = np.unique(word_hashes(lower(data), start, stop), return_inverse=True)
+        low = lower(data)
+        prefix = prefix_hash(low)
+        kinds, which = np.unique(range_hash(prefix, start, stop), return_inverse=True)
         c = self.count(kinds)
         end = int(self.count(np.array([END_WORD]))[0])
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
         base = sums(np.log10(c + 0.5)[which]) + np.log10(end + 0.5) + (n + 1) * self.base
-        ids, rows = encode(data, off, Pieces.load(self.tokenizer), self.attention.start_id - 1)
+        ids, rows = encode(low, off, Pieces.load(self.tokenizer), self.attention.start_id - 1, prefix)
         a = self.attention
         inputs, targets, exists, row = doc_windows(ids, rows, a.start_id)
         log = a.log_class(inputs, targets) + self.inner[a.class_before[inputs[:, BACK:]], targets]
@@ -324,7 +340,8 @@ def score_texts(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS,
     pieces = Pieces.load(tokenizer)
     n_ids = pieces.tokenizer.get_vocab_size() + 1  # the last is the end of a text
     sample = texts.where("NOT held_out").select("text", F.xxhash64("doc_id", "text").alias("place")).orderBy("place", "text").limit(sample_docs).toArrow()
-    ids, rows = encode(*text_buffer(sample.column("text")), pieces, n_ids - 1)
+    data, off = text_buffer(sample.column("text"))
+    ids, rows = encode(lower(data), off, pieces, n_ids - 1)
     attention = Attention(n_ids, cluster(ids, n_ids, classes), classes)
     attention.train(ids, rows)
     attention.prepare()
@@ -334,7 +351,7 @@ def score_texts(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS,
     table[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
     inner = inner_table(table.reshape(classes + 1, n_ids), attention.of_id, classes)
     by_word = W.partitionBy("key")
-    answers = counted.where("chunk IS NOT NULL").groupBy("chunk", "key").agg(F.sum("n").alias("n"))
+    answers = counted.where("chunk IS NOT NULL")
     answers = answers.withColumn("total", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("chunk")) == 1)
     folder = fresh_dir(spark, "answers")
     answers.repartition("chunk").write.partitionBy("chunk").parquet(folder)

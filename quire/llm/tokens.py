@@ -45,8 +45,8 @@ class Pieces:
             _LOADED[path] = cls(path)
         return _LOADED[path]
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows of a text buffer, and the first id of each row (one more than rows)."""
+    def encode(self, data: np.ndarray, off: np.ndarray, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a text buffer, and the first id of each row (one more than rows); ``prefix`` is its prefix hash, if known."""
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
@@ -55,7 +55,7 @@ class Pieces:
         fresh[: n - 1] |= ((data[:-1] == 32) | (data[:-1] == 10)) & ~_MAYBE_SPACE[data[1:]]
         start = np.flatnonzero(fresh[:n])
         end = np.append(start[1:], n)
-        keys = range_hash(prefix_hash(data), start, end)
+        keys = range_hash(prefix_hash(data) if prefix is None else prefix, start, end)
         kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
         self._remember(kinds, data, start[first], end[first])
         at = np.searchsorted(self.keys, kinds)
