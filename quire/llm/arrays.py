@@ -161,8 +161,8 @@ def pass_through(docs: DataFrame, column: str, kind: str, make) -> DataFrame:
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("made").alias(column))
 
 
-def read_words(batch: pa.RecordBatch, column: str, fold: bool = True) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def read_words(batch: pa.RecordBatch, column: str, fold: bool = True, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch with the hash of each word and the first word of each row."""
-    for part, data, off in slices(batch, column):
+    for part, data, off in slices(batch, column, limit):
         start, end, first = words(data, off)
         yield part, word_hashes(lower(data) if fold else data, start, end), first

@@ -32,6 +32,7 @@ from quire.llm.shared import row_key, store
 SLOTS, BANDS = 128, 32
 PERCENT = 80
 MAPS = 4
+SLICE = 1 << 20  # permutations of short texts' elements take more room than other arrays
 _STEP = 0x9E3779B97F4A7C15
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -77,7 +78,7 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def shingle_sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Sorted distinct shingle hashes of each row."""
-    for part, word, first in read_words(batch, column):
+    for part, word, first in read_words(batch, column, limit=SLICE):
         grams, begin = gram_hashes(word, first, k)
         sets = []
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
