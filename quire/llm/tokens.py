@@ -15,7 +15,7 @@ import numpy as np
 
 from quire.llm.arrays import prefix_hash, range_hash
 
-REMEMBERED = 2_500_000
+REMEMBERED = 1_200_000
 _PLAIN = re.compile(r"[ \n][^\s<]+")
 _TOGETHER = 512
 # Bytes that may begin white space, or that are it: no cut stands before them.
