@@ -2,15 +2,22 @@
 
 The attention model predicts the class of the next subword and then the subword within its class:
 P(id | context) = P(class | context) * P(id | class, class before). Classes are clusters of ids by their neighbours. The class
-comes from one layer of masked self-attention with relative position biases over the last 16 to 31 ids, trained in numpy with
-Adam on a bounded sample of training documents. The id within its class comes from counts over all training documents,
-smoothed by the counts without the class before, and those by a uniform share, so that every text has a probability.
+comes from one layer of masked self-attention with relative position biases over the last 16 to 31 ids. The id within its class
+comes from counts over all training documents, smoothed by the counts without the class before, and those by a uniform share,
+so that every text has a probability.
+
+Everything is learnt from all training documents, where they lie. Neighbour counts are added up over all tasks, and what the
+driver sees of them are the sums of products of their columns and a few coordinates of each id. The weights are trained in
+rounds: each document is in one of ROUNDS parts, and a round takes one part. Every file's rows of that part are run through
+with Adam from the weights of the round before; weights and moments are averaged by key on the executors, those of an id by how
+often a file met it, and only the averages come to the driver and are sent out again. Weights follow from the rows of each
+file, so a table that lies in other files gives slightly other ones.
 
 Texts are scored in overlapping windows: each holds 16 ids that are scored once and the 15 to 16 before them as context. Windows
 of many texts are one batch.
 
-Word counts are exact over all training words. Documents are first written to the shared folder in files of bounded size; each
-file asks for the counts of its own distinct words, the counts are added up by word, and each file's answers are written beside
+Word counts are exact over all training words. Documents are first written to the shared folder with their ids, in files of
+bounded size; each file asks for the counts of its own distinct words, the counts are added up by word, and each file's answers are written beside
 it, so that scoring looks up words in one sorted array of its file. No text is shuffled, and no vocabulary is sent whole.
 
 Null and empty texts are their end token alone. Repeated rows count and score as often as they occur. Without training rows
@@ -19,6 +26,7 @@ all counts are zero and the attention model is uniform over classes. Other colum
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +37,13 @@ from pyspark.sql import functions as F
 
 from quire.llm.arrays import lower, prefix_hash, range_hash, slices, text_buffer, words
 from quire.llm.shared import fresh_dir, store
-from quire.llm.tokens import Pieces, with_end
+from quire.llm.tokens import Pieces, forget, with_end
 
 NEW, BACK = 16, 15
 WIDE = NEW + BACK
 DIM, CLASSES = 16, 48
-SAMPLE_DOCS, EPOCHS, BATCH = 1200, 3, 512
+EPOCHS, BATCH, ROUNDS, RATE = 3, 512, 4, 0.01
+ID_BYTES = 1 << 19
 FILE_ROWS = 8000
 END_WORD = np.uint64(0x6E64)  # stands for the end token among word hashes
 
@@ -59,38 +68,70 @@ def doc_windows(ids: np.ndarray, rows: np.ndarray, start_id: int) -> tuple[np.nd
     return inputs, targets, exists, row
 
 
-def cluster(ids: np.ndarray, n_ids: int, classes: int, least: int = 5, contexts: int = 512, dims: int = 32) -> np.ndarray:
-    """Class of every id from the ids around it in a sample; ids seen too seldom share class 0."""
-    out = np.zeros(n_ids, np.int64)
-    seen = np.bincount(ids, minlength=n_ids)
+LEAST, CONTEXTS, DIMS = 5, 512, 32
+
+
+def neighbours(ids: np.ndarray, line: np.ndarray, column: np.ndarray, table: np.ndarray) -> None:
+    """Adds to ``table`` (line, column) how often each id with a line stands after and before each id with a column."""
+    contexts = table.shape[1] // 2
+    for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], contexts)):
+        good = (line[a] >= 0) & (column[b] >= 0)
+        np.add.at(table.reshape(-1), line[a][good] * (2 * contexts) + column[b][good] + shift, 1)
+
+
+def places(seen: np.ndarray, least: int, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids that are met often enough, the line of every id among them, and its column among the most frequent (-1 for none)."""
     kinds = np.flatnonzero(seen >= least)
-    if len(kinds) < classes:
-        return out
+    line, column = np.full(len(seen), -1), np.full(len(seen), -1)
+    line[kinds] = np.arange(len(kinds))
     top = np.argsort(-seen, kind="stable")[:contexts]
-    column = np.full(n_ids, -1)
     column[top] = np.arange(len(top))
-    line = np.full(n_ids, -1)
-    line[kinds] = np.arange(len(kinds))
-    table = np.zeros((len(kinds), 2 * contexts))
-    for a, b, shift in ((ids[1:], ids[:-1], 0), (ids[:-1], ids[1:], contexts)):
-        good = (line[a] >= 0) & (column[b] >= 0)
-        np.add.at(table, (line[a][good], column[b][good] + shift), 1)
-    table = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1))
-    table -= table.mean(0)
-    values, vectors = np.linalg.eigh(table.T @ table)
-    points = table @ vectors[:, -dims:]
-    order = np.argsort(-seen[kinds], kind="stable")
-    centres = points[order[: classes - 1]]
+    return kinds, line, column
+
+
+def shares(table: np.ndarray) -> np.ndarray:
+    return np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1))
+
+
+def axes(products: np.ndarray, total: np.ndarray, n: int, dims: int = DIMS) -> np.ndarray:
+    """Main directions of n rows about their mean, from the sum of their products and their sum."""
+    return np.linalg.eigh(products - np.outer(total, total) / max(n, 1))[1][:, -dims:]
+
+
+def k_means(points: np.ndarray, seen: np.ndarray, classes: int) -> np.ndarray:
+    """Cluster of each point, from 0 to ``classes`` - 2, weighted by how often its id is met."""
+    centres = points[np.argsort(-seen, kind="stable")[: classes - 1]]
     for _ in range(20):
         near = ((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)).argmin(1)
         total = np.zeros_like(centres)
-        np.add.at(total, near, points * seen[kinds][:, None])
-        mass = np.bincount(near, seen[kinds], classes - 1)
+        np.add.at(total, near, points * seen[:, None])
+        mass = np.bincount(near, seen, classes - 1)
         centres = np.where(mass[:, None] > 0, total / np.maximum(mass, 1)[:, None], centres)
-    out[kinds] = near + 1
+    return near
+
+
+def cluster(ids: np.ndarray, n_ids: int, classes: int, least: int = LEAST, contexts: int = CONTEXTS, dims: int = DIMS) -> np.ndarray:
+    """Class of every id from the ids around it, where all ids are at hand; ids met too seldom share class 0."""
+    out = np.zeros(n_ids, np.int64)
+    seen = np.bincount(ids, minlength=n_ids)
+    kinds, line, column = places(seen, least, contexts)
+    if len(kinds) < classes:
+        return out
+    table = np.zeros((len(kinds), 2 * contexts))
+    neighbours(ids, line, column, table)
+    table = shares(table)
+    out[kinds] = k_means(table @ axes(table.T @ table, table.sum(0), len(table), dims), seen[kinds], classes) + 1
     return out
 
 
+def sum_by(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in ``index`` and the sums of their rows of ``values``."""
+    order = np.argsort(index.astype(np.uint16) if index.max() < 1 << 16 else index, kind="stable")
+    index = index[order]
+    start = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+    return index[start], np.add.reduceat(values[order], start, axis=0)
+
+
 class Attention:
     """Parameters, training and batched scoring of the class model."""
 
@@ -120,7 +161,8 @@ class Attention:
         y /= y.sum(2, keepdims=True)
         return e, q, k, v, w, h, before, y
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, exists: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, exists: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Gradients, of the embedding only for the ids that are met; those ids; and the loss."""
         p = self.p
         e, q, k, v, w, h, before, y = self.forward(inputs)
         want = self.of_id[targets]
@@ -130,7 +172,8 @@ class Attention:
         np.put_along_axis(dz, want[..., None], np.take_along_axis(dz, want[..., None], 2) - 1, 2)
         dz *= (exists / np.float32(n))[..., None].astype(np.float32)
         g = {"out": h.reshape(-1, DIM).T @ dz.reshape(-1, dz.shape[2]), "pair": np.zeros_like(p["pair"])}
-        np.add.at(g["pair"], before.ravel(), dz.reshape(-1, dz.shape[2]))
+        classes, sums = sum_by(before.ravel(), dz.reshape(-1, dz.shape[2]))
+        g["pair"][classes] = sums
         dh = dz @ p["out"].T
         dw, dv = dh @ v.transpose(0, 2, 1), w.transpose(0, 2, 1) @ dh
         ds = w * (dw - (dw * w).sum(2, keepdims=True))
@@ -141,39 +184,40 @@ class Attention:
         g |= {"q": flat(e[:, BACK:]).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
         de = dk @ p["k"].T + dv @ p["v"].T
         de[:, BACK:] += dq @ p["q"].T + dh
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], inputs.ravel(), flat(de))
-        return g, float(loss)
-
-    def train(self, ids: np.ndarray, rows: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = 0.01) -> list[float]:
+        met, g["embed"] = sum_by(inputs.ravel(), flat(de))
+        return g, met, float(loss)
+
+    def start(self) -> None:
+        """Moments of Adam and the number of steps."""
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        self.t = 0.0
+
+    def step(self, inputs: np.ndarray, targets: np.ndarray, exists: np.ndarray, rate: float) -> float:
+        g, met, loss = self.gradients(inputs, targets, exists)
+        self.t += 1
+        for k, d in g.items():
+            at = met if k == "embed" else slice(None)
+            m = self.m[k][at] + np.float32(0.1) * (d - self.m[k][at])
+            s = self.s[k][at] + np.float32(0.01) * (d * d - self.s[k][at])
+            self.m[k][at], self.s[k][at] = m, s
+            self.p[k][at] -= (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+        return loss
+
+    def run(self, ids: np.ndarray, rows: np.ndarray, rng: np.random.Generator, batch: int = BATCH, rate=lambda i: RATE) -> list[float]:
+        """Steps over all windows of the rows, in random order; ``rate`` tells the rate of the i-th."""
         inputs, targets, exists, _ = doc_windows(ids, rows, self.start_id)
-        if not len(inputs):
-            return []
-        seen = np.unique(inputs)  # rows of the embedding that have gradients; the others stay as drawn
-        small = np.zeros(self.start_id + 1, np.int64)
-        small[seen] = np.arange(len(seen))
-        whole, before, start = self.p["embed"], self.class_before, self.start_id
-        self.p["embed"], self.class_before = whole[seen].copy(), before[seen]
-        inputs = small[inputs]
-        # The class before is that of the id, which keeps its own number.
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        rng, losses, t = np.random.default_rng(11), [], 0
-        total = epochs * -(-len(inputs) // batch)
+        order = rng.permutation(len(inputs))
+        parts = [order[at : at + batch] for at in range(0, len(order), batch)]
+        return [self.step(inputs[x], targets[x], exists[x], rate(i)) for i, x in enumerate(parts)]
+
+    def train(self, ids: np.ndarray, rows: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE) -> list[float]:
+        """Training where all ids are at hand."""
+        self.start()
+        rng, losses = np.random.default_rng(11), []
+        total = epochs * -(-int((-(-np.diff(rows) // NEW)).sum()) // batch)
         for _ in range(epochs):
-            order = rng.permutation(len(inputs))
-            for at in range(0, len(order), batch):
-                part = order[at : at + batch]
-                g, loss = self.gradients(inputs[part], targets[part], exists[part])
-                losses.append(loss)
-                t += 1
-                now = rate * (1 - 0.9 * t / total)
-                for k, d in g.items():
-                    m[k] += 0.1 * (d - m[k])
-                    s[k] += 0.01 * (d * d - s[k])
-                    self.p[k] -= (now * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        whole[seen] = self.p["embed"]
-        self.p["embed"], self.class_before, self.start_id = whole, before, start
+            done = len(losses)
+            losses += self.run(ids, rows, rng, batch, lambda i: rate * (1 - 0.9 * (done + i + 1) / total))
         return losses
 
     def prepare(self) -> None:
@@ -226,10 +270,219 @@ def inner_table(counts: np.ndarray, of_id: np.ndarray, classes: int, strength: f
     return out
 
 
-def snapshot(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
-    """The documents, written in files of bounded size, with the file each row is in."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return store(rows, "texts", maxRecordsPerFile=file_rows).withColumn("chunk", F.substring(F.md5(F.element_at(F.split(F.input_file_name(), "/"), -1)), 1, 16))
+def id_kind(n_ids: int) -> np.dtype:
+    return np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
+
+
+def snapshot(docs: DataFrame, tokenizer: str, n_ids: int, file_rows: int = FILE_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """The documents with their ids and training part, written in files of bounded size, with the file each row is in."""
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).cast("int").alias("part")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), part, F.col("text").cast("string").alias("text"))
+    kind = id_kind(n_ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces.load(tokenizer)
+        for batch in batches:
+            for part, data, off in slices(batch, "text"):
+                ids, first = encode(lower(data), off, pieces, n_ids - 1)
+                cells = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((first * kind.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([*part.columns, cells], names=["doc_id", "held_out", "part", "text", "ids"])
+
+    made = rows.mapInArrow(run, "doc_id long, held_out boolean, part int, text string, ids binary")
+    return store(made, "texts", maxRecordsPerFile=file_rows).withColumn("chunk", F.substring(F.md5(F.element_at(F.split(F.input_file_name(), "/"), -1)), 1, 16))
+
+
+def read_ids(batches: Iterator[pa.RecordBatch], n_ids: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with their ids and the first of each row."""
+    kind = id_kind(n_ids)
+    for batch in batches:
+        for part, data, off in slices(batch, "ids", ID_BYTES):
+            yield part, data.view(kind).astype(np.int64), off // kind.itemsize
+
+
+def counts(texts: DataFrame, n_ids: int, size: int, add, kind: type = np.int64) -> DataFrame:
+    """``key`` and ``n`` of a table of ``size`` numbers, which ``add(table, ids, rows)`` fills for all training rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        table = np.zeros(size, kind)
+        for _, ids, rows in read_ids(batches, n_ids):
+            add(table, ids, rows)
+        some = np.flatnonzero(table)
+        for at in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(some[at : at + 100_000]), pa.array(table[some[at : at + 100_000]].astype(np.int64))], names=["key", "n"])
+
+    made = texts.where("NOT held_out").select("ids").mapInArrow(run, "key long, n long")
+    return made.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def fetch(counted: DataFrame, size: int) -> np.ndarray:
+    out, got = np.zeros(size, np.int64), counted.toArrow()
+    out[got.column("key").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def classes_of(texts: DataFrame, n_ids: int, classes: int, least: int = LEAST, contexts: int = CONTEXTS, dims: int = DIMS) -> np.ndarray:
+    """What ``cluster`` gives for the ids of all training rows, without gathering them."""
+    spark, wide = texts.sparkSession, 2 * contexts
+    seen = fetch(counts(texts, n_ids, n_ids, lambda table, ids, rows: np.add.at(table, ids, 1)), n_ids)
+    out = np.zeros(n_ids, np.int64)
+    kinds, line, column = places(seen, least, contexts)
+    if len(kinds) < classes:
+        return out
+    shared = spark.sparkContext.broadcast((line, column))
+
+    def add(table: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        neighbours(ids, *shared.value, table.reshape(-1, wide))
+
+    pairs = counts(texts, n_ids, len(kinds) * wide, add, np.uint32)
+    lines = pairs.groupBy(F.expr(f"key div {wide}").alias("line")).agg(F.collect_list("key").alias("key"), F.collect_list("n").alias("n"))
+    lines = store(lines, "neighbours")
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                table = np.zeros((part.num_rows, wide))
+                row = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy())
+                table[row, part.column(1).flatten().to_numpy() % wide] = part.column(2).flatten().to_numpy()
+                yield part, shares(table)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((wide + 1, wide))
+        for _, table in dense(batches):
+            sums[:wide] += table.T @ table
+            sums[wide] += table.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["sums"])
+
+    sums = np.zeros((wide + 1, wide))
+    for r in lines.coalesce(4).mapInArrow(multiply, "sums binary").toLocalIterator():
+        sums += np.frombuffer(r.sums).reshape(sums.shape)
+    # Ids with a line but no neighbour among the columns are rows of zeros.
+    base = axes(sums[:wide], sums[wide], len(kinds), dims)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, table in dense(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in table @ base], pa.binary())], names=["line", "point"])
+
+    points, got = np.zeros((len(kinds), dims)), lines.mapInArrow(project, "line long, point binary").toArrow()
+    if got.num_rows:
+        points[got.column("line").to_numpy()] = np.frombuffer(b"".join(got.column("point").to_pylist())).reshape(-1, dims)
+    out[kinds] = k_means(points, seen[kinds], classes) + 1
+    return out
+
+
+REST = ("q", "k", "v", "near", "out", "pair")
+
+
+def flat_state(a: Attention) -> np.ndarray:
+    """All weights but the embedding, with both moments."""
+    return np.concatenate([x[k].ravel() for x in (a.p, a.m, a.s) for k in REST])
+
+
+def set_flat_state(a: Attention, values: np.ndarray) -> None:
+    for x in (a.p, a.m, a.s):
+        for k in REST:
+            x[k], values = values[: x[k].size].reshape(x[k].shape).astype(np.float32), values[x[k].size :]
+
+
+def copy_of(a: Attention) -> Attention:
+    b = copy.copy(a)
+    b.p, b.m, b.s = ({k: v.copy() for k, v in x.items()} for x in (a.p, a.m, a.s))
+    return b
+
+
+def one_round(rows: DataFrame, attention: Attention, n_ids: int, rate: float, batch: int = BATCH) -> int:
+    """Trains every file's rows from the same weights and leaves their average in ``attention``; the number of windows."""
+    shared = rows.sparkSession.sparkContext.broadcast(attention)
+    schema, wide = "key int, weight double, steps double, state binary", 3 * DIM
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        mine = chunk = None
+        embed, weight = np.zeros((n_ids + 1, wide)), np.zeros(n_ids + 1)
+        rest = np.zeros(len(flat_state(shared.value)))
+        rest_weight = steps = windows = 0.0
+        met = np.zeros(n_ids + 1)
+
+        def close() -> None:
+            nonlocal rest, rest_weight, steps, windows
+            at = np.flatnonzero(met)
+            embed[at] += met[at, None] * np.concatenate([x["embed"][at] for x in (mine.p, mine.m, mine.s)], 1)
+            weight[at] += met[at]
+            rest += windows * flat_state(mine)
+            steps += windows * (mine.t - shared.value.t)
+            rest_weight += windows
+            met[:], windows = 0, 0.0
+
+        for part, ids, first in read_ids(batches, n_ids):
+            names = part.column(1).to_pylist()
+            cuts = [i for i, x in enumerate(names) if not i or names[i - 1] != x] + [len(names)]
+            for a, b in zip(cuts, cuts[1:]):
+                if names[a] != chunk:
+                    if mine is not None:
+                        close()
+                    mine, chunk, rng = copy_of(shared.value), names[a], np.random.default_rng(11)
+                own, start = ids[first[a] : first[b]], first[a : b + 1] - first[a]
+                mine.run(own, start, rng, batch, lambda i: rate)
+                met += np.bincount(own, minlength=n_ids + 1)
+                met[n_ids] += b - a
+                windows += float((-(-np.diff(start) // NEW)).sum())
+        if mine is None:
+            return
+        close()
+        at = np.flatnonzero(weight)
+        state = [x.tobytes() for x in (embed[at] / weight[at, None]).astype(np.float32)] + [(rest / rest_weight).astype(np.float32).tobytes()]
+        yield pack(np.append(at, -1), np.append(weight[at], rest_weight), steps, state)
+
+    def pack(key: np.ndarray, weight: np.ndarray, steps: float, state: list[bytes]) -> pa.RecordBatch:
+        # The number of steps goes with the other weights.
+        columns = [pa.array(key.astype(np.int32)), pa.array(weight.astype(float)), pa.array(np.where(key < 0, steps, 0.0)), pa.array(state, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "weight", "steps", "state"])
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed, weight = np.zeros((n_ids + 1, wide)), np.zeros(n_ids + 1)
+        rest, rest_weight, steps = 0.0, 0.0, 0.0
+        for b in batches:
+            key, w = b.column(0).to_numpy(), b.column(1).to_numpy()
+            state = b.column(3).to_pylist()
+            some = np.flatnonzero(key >= 0)
+            if len(some):
+                np.add.at(embed, key[some], w[some, None] * np.frombuffer(b"".join(state[i] for i in some), np.float32).reshape(-1, wide))
+                np.add.at(weight, key[some], w[some])
+            for i in np.flatnonzero(key < 0):
+                rest = rest + w[i] * np.frombuffer(state[i], np.float32)
+                rest_weight += w[i]
+                steps += b.column(2)[int(i)].as_py()
+        at = np.flatnonzero(weight)
+        if len(at):
+            yield pack(at, weight[at], 0.0, [x.tobytes() for x in (embed[at] / weight[at, None]).astype(np.float32)])
+        if rest_weight:
+            yield pack(np.array([-1]), np.array([rest_weight]), steps, [(rest / rest_weight).astype(np.float32).tobytes()])
+
+    got = rows.mapInArrow(local, schema).repartition("key").mapInArrow(average, schema).toArrow()
+    shared.unpersist()
+    key, state, n = got.column("key").to_numpy(), got.column("state").to_pylist(), 0
+    some = np.flatnonzero(key >= 0)
+    if len(some):
+        values = np.frombuffer(b"".join(state[i] for i in some), np.float32).reshape(-1, wide)
+        for j, x in enumerate((attention.p, attention.m, attention.s)):
+            x["embed"][key[some]] = values[:, j * DIM : (j + 1) * DIM]
+    for i in np.flatnonzero(key < 0).tolist():
+        set_flat_state(attention, np.frombuffer(state[i], np.float32))
+        n = int(got.column("weight")[i].as_py())
+        attention.t += got.column("steps")[i].as_py() / n
+    return n
+
+
+def train_on(texts: DataFrame, attention: Attention, n_ids: int, epochs: int = EPOCHS, rounds: int = ROUNDS, rate: float = RATE) -> list[int]:
+    """Trains on all training rows, each once an epoch; the windows of each round."""
+    attention.start()
+    rows, done = texts.where("NOT held_out"), []
+    for i in range(epochs * rounds):
+        now = rate * (1 - 0.9 * (i + 0.5) / (epochs * rounds))
+        done.append(one_round(rows.where(F.col("part") == i % rounds).select("ids", "chunk"), attention, n_ids, now))
+    return done
 
 
 def encode(low: np.ndarray, off: np.ndarray, pieces: Pieces, end: int, prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -238,17 +491,14 @@ def encode(low: np.ndarray, off: np.ndarray, pieces: Pieces, end: int, prefix: n
     return ids.astype(np.int64), rows
 
 
-def gather(texts: DataFrame, tokenizer: str, of_id: np.ndarray, classes: int) -> DataFrame:
-    """Counts in training rows: of words by file (``chunk``, ``key``, ``n``; held-out words with 0), and of (class before, id), without a file."""
-    spark, end = texts.sparkSession, len(of_id) - 1
-    shared = spark.sparkContext.broadcast(of_id)
+def gather(texts: DataFrame) -> DataFrame:
+    """Counts of words in training rows, by file: ``chunk``, ``key``, ``n``; held-out words with 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, of_id = Pieces.load(tokenizer), shared.value
-        table = np.zeros((classes + 1) * len(of_id), np.int64)
+        forget()
         keys, counts, chunk = [], [], None
 
-        def pack(name: str | None, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def pack(name: str, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.view(np.int64)), pa.array(n)], names=["chunk", "key", "n"])
 
         def merged() -> Iterator[pa.RecordBatch]:
@@ -269,29 +519,20 @@ def gather(texts: DataFrame, tokenizer: str, of_id: np.ndarray, classes: int) ->
                     train = ~part.column(1).to_numpy(zero_copy_only=False).astype(bool) & mine
                     start, stop, first = words(data, off)
                     per = np.diff(first)
-                    low = lower(data)
-                    prefix = prefix_hash(low)
-                    hashes = range_hash(prefix, start, stop)
+                    hashes = range_hash(prefix_hash(lower(data)), start, stop)
                     here = np.repeat(mine, per)
                     key, which = np.unique(hashes[here], return_inverse=True)
                     keys += [key, np.array([END_WORD])]
                     counts += [np.bincount(which, np.repeat(train, per)[here], len(key)), np.array([float(train.sum())])]
-                    ids, rows = encode(low, off, pieces, end, prefix)
-                    before = np.append(classes, of_id[ids[:-1]])
-                    before[rows[:-1]] = classes
-                    good = np.repeat(train, np.diff(rows))
-                    np.add.at(table, (before * len(of_id) + ids)[good], 1)
         if keys:
             yield from merged()
-        some = np.flatnonzero(table)
-        yield pack(None, some, table[some])
 
     return texts.select("text", "held_out", "chunk").mapInArrow(run, "chunk string, key long, n long")
 
 
 class Scorer:
-    def __init__(self, attention: Attention, inner: np.ndarray, base: float, folder: str, tokenizer: str) -> None:
-        self.attention, self.inner, self.base, self.folder, self.tokenizer = attention, inner, base, folder, tokenizer
+    def __init__(self, attention: Attention, inner: np.ndarray, base: float, folder: str) -> None:
+        self.attention, self.inner, self.base, self.folder = attention, inner, base, folder
         self.chunk: str | None = None
 
     def load(self, chunk: str) -> None:
@@ -314,18 +555,15 @@ class Scorer:
             raise ValueError(f"the words of file {self.chunk} are not all in its counts")
         return self.counts[at]
 
-    def __call__(self, data: np.ndarray, off: np.ndarray, chunk: str) -> list[np.ndarray]:
+    def __call__(self, data: np.ndarray, off: np.ndarray, chunk: str, ids: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         self.load(chunk)
         start, stop, first = words(data, off)
         n = np.diff(first)
-        low = lower(data)
-        prefix = prefix_hash(low)
-        kinds, which = np.unique(range_hash(prefix, start, stop), return_inverse=True)
+        kinds, which = np.unique(range_hash(prefix_hash(lower(data)), start, stop), return_inverse=True)
         c = self.count(kinds)
         end = int(self.count(np.array([END_WORD]))[0])
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[first])
         base = sums(np.log10(c + 0.5)[which]) + np.log10(end + 0.5) + (n + 1) * self.base
-        ids, rows = encode(low, off, Pieces.load(self.tokenizer), self.attention.start_id - 1, prefix)
         a = self.attention
         inputs, targets, exists, row = doc_windows(ids, rows, a.start_id)
         log = a.log_class(inputs, targets) + self.inner[a.class_before[inputs[:, BACK:]], targets]
@@ -333,47 +571,51 @@ class Scorer:
         return [n + 1, sums((c > 0)[which]) + int(end > 0), base, score]
 
 
-def score_texts(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS, classes: int = CLASSES, file_rows: int = FILE_ROWS) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer: str, classes: int = CLASSES, file_rows: int = FILE_ROWS) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
     spark = docs.sparkSession
-    texts = snapshot(docs, file_rows)
-    pieces = Pieces.load(tokenizer)
-    n_ids = pieces.tokenizer.get_vocab_size() + 1  # the last is the end of a text
-    sample = texts.where("NOT held_out").select("text", F.xxhash64("doc_id", "text").alias("place")).orderBy("place", "text").limit(sample_docs).toArrow()
-    data, off = text_buffer(sample.column("text"))
-    ids, rows = encode(lower(data), off, pieces, n_ids - 1)
-    attention = Attention(n_ids, cluster(ids, n_ids, classes), classes)
-    attention.train(ids, rows)
+    n_ids = Pieces.load(tokenizer).tokenizer.get_vocab_size() + 1  # the last is the end of a text
+    texts = snapshot(docs, tokenizer, n_ids, file_rows)
+    of_id = classes_of(texts, n_ids, classes)
+    attention = Attention(n_ids, of_id, classes)
+    train_on(texts, attention, n_ids)
+    attention.m = attention.s = None
     attention.prepare()
-    counted = store(gather(texts, tokenizer, attention.of_id, classes), "counts")
-    pairs = counted.where("chunk IS NULL").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((classes + 1) * n_ids)
-    table[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
-    inner = inner_table(table.reshape(classes + 1, n_ids), attention.of_id, classes)
+
+    def add(table: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        before = np.append(classes, of_id[ids[:-1]])
+        before[rows[:-1]] = classes
+        np.add.at(table, before * n_ids + ids, 1)
+
+    table = fetch(counts(texts, n_ids, (classes + 1) * n_ids, add), (classes + 1) * n_ids).astype(float)
+    inner = inner_table(table.reshape(classes + 1, n_ids), of_id, classes)
+    counted = store(gather(texts), "counts")
     by_word = W.partitionBy("key")
-    answers = counted.where("chunk IS NOT NULL")
-    answers = answers.withColumn("total", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("chunk")) == 1)
+    answers = counted.withColumn("total", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("chunk")) == 1)
     folder = fresh_dir(spark, "answers")
     answers.repartition("chunk").write.partitionBy("chunk").parquet(folder)
     if answers_empty(counted):
         return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     total = spark.read.parquet(folder).agg(F.sum("n").alias("n"), F.sum((F.col("first") & (F.col("total") > 0)).cast("long")).alias("v")).first()
     base = -float(np.log10(total["n"] + 0.5 * (total["v"] + 1)))
-    shared = spark.sparkContext.broadcast(Scorer(attention, inner, base, folder, tokenizer))
+    shared = spark.sparkContext.broadcast(Scorer(attention, inner, base, folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value
+        forget()
+        scorer, kind = shared.value, id_kind(n_ids)
         for batch in batches:
             # Rows of one file follow one another.
             names = batch.column(3).to_pylist()
             cuts = [i for i, x in enumerate(names) if not i or names[i - 1] != x] + [len(names)]
             for a, b in zip(cuts, cuts[1:]):
                 for part, data, off in slices(batch.slice(a, b - a), "text", 1 << 20):
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, scorer(data, off, names[a]))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+                    cells, at = text_buffer(part.column(4))
+                    made = scorer(data, off, names[a], cells.view(kind).astype(np.int64), at // kind.itemsize)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, made)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = texts.select("doc_id", "held_out", "text", "chunk").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = texts.select("doc_id", "held_out", "text", "chunk", "ids").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(int(total["n"])).cast("long"))
 
 
 def answers_empty(counted: DataFrame) -> bool:
-    return counted.where("chunk IS NOT NULL").isEmpty()
+    return counted.isEmpty()

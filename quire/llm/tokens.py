@@ -24,6 +24,11 @@ _MAYBE_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0xC2, 0xE1, 0xE2, 0xE3]] =
 _LOADED: dict[str, "Pieces"] = {}
 
 
+def forget() -> None:
+    """Frees what a worker remembers, for steps that encode no more."""
+    _LOADED.clear()
+
+
 class Pieces:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

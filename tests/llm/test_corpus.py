@@ -361,6 +361,33 @@ def test_attention_is_a_distribution_and_scores_each_id_once():
     assert np.allclose(model.log_class(changed, targets)[:, :-1], model.log_class(inputs, targets)[:, :-1], atol=1e-5)
 
 
+def test_attention_learns_from_every_training_row(spark, word_bpe):
+    from quire.llm.arrays import lower, text_buffer
+    from quire.llm.attention_lm import CLASSES, Attention, classes_of, cluster, doc_windows, encode, snapshot, train_on
+    from quire.llm.tokens import Pieces
+    import pyarrow as pa
+
+    texts = [(i, prose(3000 + i, 12)) for i in range(1800)]
+    training = [t for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 1]
+    assert len(training) > 1300
+    pieces = Pieces.load(word_bpe)
+    n_ids = pieces.tokenizer.get_vocab_size() + 1
+    data, off = text_buffer(pa.array(training))
+    ids, rows = encode(lower(data), off, pieces, n_ids - 1)
+    written = snapshot(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), word_bpe, n_ids, 200)
+    of_id = classes_of(written, n_ids, CLASSES)
+    # Rows lie in another order, which only changes what stands beside an end symbol; ids met five times all have a class.
+    assert ((of_id > 0) == (cluster(ids, n_ids, CLASSES) > 0)).all() and (of_id > 0).sum() == (np.bincount(ids, minlength=n_ids) >= 5).sum()
+    model = Attention(n_ids, of_id, CLASSES)
+    inputs, targets, exists, _ = doc_windows(ids, rows, n_ids)
+    drawn = model.p["embed"].copy()
+    first = model.gradients(inputs, targets, exists)[-1]
+    done = train_on(written, model, n_ids, epochs=2, rounds=4)
+    assert sum(done[:4]) == sum(done[4:]) == len(inputs)
+    assert set(np.flatnonzero((model.p["embed"] != drawn).any(1))) == set(np.unique(inputs)) - {n_ids - 1}  # nothing is told from an end
+    assert model.gradients(inputs, targets, exists)[-1] < first
+
+
 # Toxicity
 
 
