@@ -5,7 +5,9 @@ suffixes that still share a rank are sorted on. Neighbouring suffixes get the le
 hashes of doubling length. A maximal repeated substring is an interval of suffixes whose common prefixes have at least its
 length; the longest one that begins at a word is the larger of its two neighbours' prefixes, so the union of all intervals'
 spans is the union of those. A document is rejected where such repeats of at least ``min_words`` words cover more than
-``max_covered`` of its words or one of them is longer than ``max_longest``, or where the base counts fail.
+``max_covered`` of its words, where one of them is longer than ``max_share`` of its words and than ``short`` words, or than
+``max_longest`` words, or where the base counts fail. Every word of a long repeat is also one of a repeat of five words, so
+a limit on the former decides something only where it is below the base rule's limit on the latter.
 
 Null and empty texts have no words and fail the base rule. Rows are judged alone: repeated rows, other columns and their
 names do not matter. Ties do not arise. An empty table gives no rows.
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.arrays import free_name, mix, pass_through, prefix_hash, range_hash, word_hashes, words
 
-MIN_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.2, 100
+MIN_WORDS, MAX_COVERED, MAX_LONGEST = 8, 0.1, 100
+MAX_SHARE, SHORT = 0.04, 25  # below half of MAX_COVERED: two copies side by side cover twice their length
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -183,16 +186,17 @@ def base_failed(counts: str = "quality_counts"):
     return (F.col(f"{counts}.n_words") < 10) | (100 * F.col(f"{counts}.n_repeat_words") > 20 * F.col(f"{counts}.n_words"))
 
 
-def passes(counts: str = "quality_counts", max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST):
+def passes(counts: str = "quality_counts", max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, max_share: float = MAX_SHARE, short: int = SHORT):
     """The verdict: the base rules hold and the repeats are few and short."""
-    few = F.col(f"{counts}.covered_words") <= max_covered * F.col(f"{counts}.n_words")
-    return ~base_failed(counts) & few & (F.col(f"{counts}.longest_repeat") <= max_longest)
+    n_words, longest = F.col(f"{counts}.n_words"), F.col(f"{counts}.longest_repeat")
+    few = F.col(f"{counts}.covered_words") <= max_covered * n_words
+    return ~base_failed(counts) & few & (longest <= F.least(F.lit(max_longest), F.greatest(F.lit(short), max_share * n_words)))
 
 
-def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+def quality(docs: DataFrame, min_words: int = MIN_WORDS, **limits) -> DataFrame:
     """``doc_id``, the counts, ``base_failed`` and ``kept`` of every row."""
     measured = measure(docs.select("doc_id", "text"), min_words)
-    return measured.select(F.col("doc_id").cast("long"), "quality_counts.*", base_failed().alias("base_failed"), passes("quality_counts", max_covered, max_longest).alias("kept"))
+    return measured.select(F.col("doc_id").cast("long"), "quality_counts.*", base_failed().alias("base_failed"), passes("quality_counts", **limits).alias("kept"))
 
 
 def keep_good(docs: DataFrame, min_words: int = MIN_WORDS, **limits) -> DataFrame:

@@ -248,6 +248,22 @@ def test_quality(docs, none):
     assert quality(none).count() == 0
 
 
+def test_repeats_fail_where_the_base_rule_passes(spark):
+    from quire.llm.repetition import keep_good, quality
+
+    def twice(size: int, rest: int) -> str:
+        passage = " ".join(f"p{i}" for i in range(size))
+        plain = [f"w{i}" for i in range(rest)]
+        return " ".join([*plain[: rest // 3], passage, *plain[rest // 3 : rest // 2], passage, *plain[rest // 2 :]])
+
+    texts = {1: twice(9, 132), 2: twice(28, 544), 3: twice(9, 282), 4: twice(24, 552), 5: twice(60, 1880), 6: twice(0, 200), 7: twice(7, 136), 8: twice(101, 4000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality(docs).collect()}
+    # 1 fails by the words covered alone, 2 by its longest repeat alone, 8 by a hundred words; the others stay.
+    assert got == {i: (False, i not in (1, 2, 8)) for i in texts}
+    assert {r.doc_id for r in keep_good(docs).collect()} == {3, 4, 5, 6, 7}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("ab c".split() + ["a"]), max_size=14), min_size=1, max_size=4))
 def test_suffix_arrays(rows):
