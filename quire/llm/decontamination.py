@@ -1,8 +1,10 @@
 """Benchmark passages in documents, by greedy string tiling.
 
 Tokens are runs of ASCII letters (in lower case), digits and non-ASCII bytes. Shared runs of ``least`` tokens are the seeds:
-documents and benchmark items meet on them. What the seeds of an item cover bounds what any tiling can cover, so a document
-goes on with an item only where that reaches the threshold. Then tiles are marked, longest first: windows of a length are
+documents and benchmark items meet on them. An item counts where tiles inside a stretch of the document of at most ``spread``
+times its length cover ``percent`` of it, so chance matches far apart do not add up, or where one run of ``long`` tokens is
+shared, so a long item that leaks in part is found. What the seeds of a stretch cover bounds what any tiling of it can cover, so
+a stretch goes on with an item only where that reaches the threshold. Then tiles are marked, longest first: windows of a length are
 compared by running Karp-Rabin hashes, matches are extended over tokens not yet marked, marked in order of length, and the
 length is halved until it is ``least``. Since tiles may lie in any order, passages that were cut up and reordered are caught.
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.arrays import free_name, gram_hashes, lower, pass_through, text_buffer, word_hashes, words
 
-LEAST, PERCENT = 4, 50
+LEAST, PERCENT, LONG, SPREAD = 4, 50, 13, 3
 BLOCK_BYTES = 16 << 20
 LEAK = "struct<item_id: bigint, item_tokens: bigint, covered: bigint, n_tiles: bigint, longest: bigint>"
 _GAP = np.ones(256, bool)
@@ -105,6 +107,28 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = LEAST) -> list[tuple[i
         size = max(least, size // 2)
 
 
+def stretches(place: np.ndarray, at: np.ndarray, size: int, least: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins of stretches of ``wide`` tokens, one at each seed of an item, and how many of its tokens their seeds cover; most first.
+
+    ``place`` and ``at`` are the seeds' places in the item and in the text, in the order of the text.
+    """
+    times, last = [0] * size, 0
+    covered, bounds = 0, []
+    places, ats = place.tolist(), at.tolist()
+    for first in range(len(ats)):
+        while last < len(ats) and ats[last] + least <= ats[first] + wide:
+            for i in range(places[last], places[last] + least):
+                covered += not times[i]
+                times[i] += 1
+            last += 1
+        bounds.append(covered)
+        for i in range(places[first], places[first] + least):
+            times[i] -= 1
+            covered -= not times[i]
+    order = np.argsort(-np.array(bounds), kind="stable")
+    return at[order], np.array(bounds)[order]
+
+
 class Block:
     """Items of the benchmark with their seeds, sorted by hash."""
 
@@ -122,8 +146,8 @@ class Block:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.seed >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def leaks(self, data: np.ndarray, off: np.ndarray, percent: int) -> list[list[dict]]:
-        """For each row the items that it covers to the threshold."""
+    def leaks(self, data: np.ndarray, off: np.ndarray, percent: int, long: int = LONG, spread: int = SPREAD) -> list[list[dict]]:
+        """For each row the items that it covers to the threshold in one stretch, or with which it shares a long run."""
         out: list[list[dict]] = [[] for _ in range(len(off) - 1)]
         token, first = tokens(data, off)
         grams, begin = gram_hashes(token, first, self.least)
@@ -134,19 +158,42 @@ class Block:
             return out
         n = high - low
         hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        row = np.repeat(np.searchsorted(begin, at, side="right") - 1, n)
-        met = np.unique(np.stack([row, self.item[hit], self.place[hit]], 1), axis=0)
-        cut = np.flatnonzero(np.append(True, (met[1:, :2] != met[:-1, :2]).any(1)))
-        for a, b in zip(cut.tolist(), np.append(cut[1:], len(met)).tolist()):
-            r, i = int(met[a, 0]), int(met[a, 1])
+        which = np.repeat(at, n)
+        row = np.searchsorted(begin, which, side="right") - 1
+        item, place, where = self.item[hit], self.place[hit], which - begin[row]
+        # Seeds that follow one another on one diagonal are one run.
+        order = np.lexsort((where, where - place, item, row))
+        line = np.stack([row, item, where - place, where - np.arange(len(where))[np.argsort(order)]], 1)[order]
+        head = np.flatnonzero(np.append(True, (line[1:] != line[:-1]).any(1)))
+        size = np.diff(np.append(head, len(line))) + self.least - 1
+        begins = order[head[size >= long]]
+        runs: dict[tuple[int, int], int] = {}
+        for i in begins[np.argsort(size[size >= long], kind="stable")].tolist():
+            runs[int(row[i]), int(item[i])] = int(where[i])  # the longest comes last
+        order = np.lexsort((where, item, row))
+        row, item, place, where = row[order], item[order], place[order], where[order]
+        cut = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+        for a, b in zip(cut.tolist(), np.append(cut[1:], len(row)).tolist()):
+            r, i = int(row[a]), int(item[a])
             size = int(self.size[i])
-            step = np.minimum(np.diff(np.append(met[a:b, 2], size)), self.least)
-            if 100 * int(step.sum()) < percent * size:
+            step = np.minimum(np.diff(np.append(np.unique(place[a:b]), size)), self.least)
+            if 100 * int(step.sum()) < percent * size and (r, i) not in runs:
                 continue
-            tiles = tile(self.token[self.first[i] : self.first[i + 1]], token[first[r] : first[r + 1]], self.least)
-            covered = sum(t[2] for t in tiles)
-            if 100 * covered >= percent * size:
-                out[r].append({"item_id": self.ids[i], "item_tokens": size, "covered": covered, "n_tiles": len(tiles), "longest": max(t[2] for t in tiles)})
+            text, own = token[first[r] : first[r + 1]], self.token[self.first[i] : self.first[i + 1]]
+            best, most = [], 0
+            for begin_at, bound in zip(*stretches(place[a:b], where[a:b], size, self.least, spread * size)):
+                if bound <= most or 100 * bound < percent * size:
+                    break
+                tiles = tile(own, text[begin_at : begin_at + spread * size], self.least)
+                covered = sum(t[2] for t in tiles)
+                if covered > most:
+                    best, most = tiles, covered
+            if 100 * most < percent * size:
+                if (r, i) not in runs:
+                    continue
+                best = tile(own, text[runs[r, i] : runs[r, i] + spread * size], self.least)
+                most = sum(t[2] for t in best)
+            out[r].append({"item_id": self.ids[i], "item_tokens": size, "covered": most, "n_tiles": len(best), "longest": max(t[2] for t in best)})
         return out
 
 
@@ -163,8 +210,8 @@ def blocks(benchmark: DataFrame, least: int, block_bytes: int = BLOCK_BYTES) ->
         yield Block(ids, texts, least)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, column: str = "leaks") -> DataFrame:
-    """``docs`` with one more column, ``leaks``: the items whose tokens it covers to ``percent`` or more."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, column: str = "leaks", long: int = LONG, spread: int = SPREAD) -> DataFrame:
+    """``docs`` with one more column, ``leaks``: the items of which a stretch covers ``percent`` or more, or shares ``long`` tokens in a row."""
     spark, names = docs.sparkSession, docs.columns
     kind = pa.list_(pa.struct([(x.split(": ")[0], pa.int64()) for x in LEAK[7:-1].split(", ")]))
     out, parts = docs, []
@@ -172,7 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, percen
         shared = spark.sparkContext.broadcast(block)
 
         def make(data: np.ndarray, off: np.ndarray, shared=shared) -> pa.Array:
-            return pa.array(shared.value.leaks(data, off, percent), kind)
+            return pa.array(shared.value.leaks(data, off, percent, long, spread), kind)
 
         parts.append(free_name(out, f"leaks_{len(parts)}"))
         out = pass_through(out, parts[-1], f"array<{LEAK}>", make)

@@ -83,7 +83,7 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_decontamination")
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and benchmark item of which the document covers half or more."""
+    """Every document and benchmark item of which the document covers half in one stretch, or shares 13 tokens in a row."""
     from quire.llm.decontamination import contaminated
 
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

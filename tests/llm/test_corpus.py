@@ -455,6 +455,23 @@ def test_decontamination(spark, docs, none):
     assert keep_clean(docs, bench.where("false")).count() == len(TEXTS) and contaminated(none, bench).count() == 0
 
 
+def test_part_of_a_long_item_leaks_and_scattered_chance_does_not(spark):
+    from quire.llm.decontamination import contaminated, keep_clean
+
+    own = lambda name, n: [f"{name}{i}" for i in range(n)]
+    long, short = own("l", 1000), own("s", 16)
+    far, fill = own("f", 900), own("g", 30)
+    texts = {
+        1: own("a", 50) + long[300:700] + own("b", 50), 2: own("a", 50) + long[300:312] + own("b", 50), 3: long[5:18], 4: far + short[:4] + far + short[8:12] + far,
+        5: far + short[8:12] + fill + short[:4] + far, 6: far + short[:4] + own("h", 20) + short[:4] + fill[:5] + short[8:12] + far + short[8:12],
+    }
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.covered, r.n_tiles, r.longest) for r in contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (400, 1, 400), (3, 1): (13, 1, 13), (5, 2): (8, 2, 4), (6, 2): (8, 2, 4)}
+    assert {r.doc_id for r in keep_clean(docs, bench).collect()} == {2, 4}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=16), st.lists(st.integers(0, 3), max_size=24))
 def test_tiles_are_real_and_do_not_overlap(a, b):
