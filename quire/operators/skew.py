@@ -46,6 +46,14 @@ def salted_left_join(
     return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
 
 
+def fold_lists(volumes: DataFrame, keys: Sequence[str], lists: Sequence[str], *more: Column) -> DataFrame:
+    """One row per key with its volumes' lists joined in their order; ``more`` are aggregates over its volumes."""
+    parts = F.array_sort(F.collect_list(F.struct("volume", *lists)))
+    gathered = volumes.groupBy(*keys).agg(parts.alias("__parts"), *more)
+    whole = [F.flatten(F.col("__parts")[c]).alias(c) for c in lists]
+    return gathered.select(*[c for c in gathered.columns if c != "__parts"], *whole)
+
+
 def ordered_concat(
     df: DataFrame,
     keys: Sequence[str],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.dims import INDIC_LANGUAGES, STAGES, WORLD_LANGUAGES, supported_target, translation_languages
@@ -14,6 +15,7 @@ from quire.operators import review as V
 from quire.operators import status as T
 from quire.operators import summarize as Z
 from quire.operators import translate as L
+from quire.operators.skew import fold_lists
 from quire.plans.registry import (
     NL, NL2, NON_WS_SQL, WS_SQL, blank, cte, digest, digest_sql, filled, mean_sql, query, rnd, sql_view, strip, stripped, table, view,
 )
@@ -48,15 +50,19 @@ def k1(spark, sf):
 )
 def s6(spark, sf):
     nested = G.get_documents(view(spark, sf, "v_scored_docs"), view(spark, sf, "v_scored_pages"))
-    paths = F.array_join(F.transform("pages", lambda p: p["image_path"]), ",")
-    return nested.select("document_id", "initial_qs", F.size("pages").alias("n_pages"), paths.alias("paths"))
+    volumes = nested.select("document_id", "initial_qs", "volume", F.size("pages").alias("n"), F.transform("pages", lambda p: p["image_path"]).alias("paths"))
+    whole = fold_lists(volumes, ["document_id", "initial_qs"], ["paths"], F.sum("n").cast("int").alias("n_pages"))
+    return whole.select("document_id", "initial_qs", "n_pages", F.array_join("paths", ",").alias("paths"))
 
 
 @query("q_w6_page_order", cte("v_scored_pages") + " SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_index) - 1 AS INT) AS place, page_index FROM v_scored_pages")
 def w6(spark, sf):
     nested = G.get_documents(view(spark, sf, "v_scored_docs"), view(spark, sf, "v_scored_pages"))
-    rows = nested.select("document_id", F.posexplode("pages").alias("place", "p")).where("p.passes is not null")
-    return rows.select("document_id", "place", F.col("p.page_index").alias("page_index"))
+    # A volume's places go on where the volumes before it end; a volume may have gaps, so pages are counted.
+    earlier = W.partitionBy("document_id").orderBy("volume").rowsBetween(W.unboundedPreceding, -1)
+    counted = nested.withColumn("before", F.coalesce(F.sum(F.size("pages")).over(earlier), F.lit(0)).cast("int"))
+    rows = counted.select("document_id", "before", F.posexplode("pages").alias("place", "p")).where("p.passes is not null")
+    return rows.select("document_id", (F.col("before") + F.col("place")).alias("place"), F.col("p.page_index").alias("page_index"))
 
 
 @query("q_s7_read_page", cte("v_scored_pages") + " SELECT document_id, page_index, image_path FROM v_scored_pages WHERE document_id = (SELECT max(l_orderkey) FROM lineitem) AND page_index = (SELECT min(l_linenumber) - 1 FROM lineitem WHERE l_orderkey = (SELECT max(l_orderkey) FROM lineitem))")
@@ -301,7 +307,7 @@ def a8(spark, sf):
         F.floor(F.col("doc_id") / 4).cast("bigint").alias("document_id"), (F.col("doc_id") % 4).cast("int").alias("page_index"),
         F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("engine"), F.expr(_HINT).alias("hint"),
     )
-    payload = O.ocr_payload(runs, F.lit(None).cast("string"))
+    payload = fold_lists(O.ocr_payload(runs, F.lit(None).cast("string")), ["document_id", "lang"], ["engines", "hints"], F.sum("pages").alias("pages"))
     return payload.select("document_id", "pages", F.array_join("engines", "|").alias("engines"), F.array_join("hints", "|").alias("hints"), "lang")
 
 

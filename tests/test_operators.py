@@ -350,6 +350,22 @@ def test_chain_reports_documents_without_pages(spark):
     assert [(r.document_id, r.raw_ocr) for r in result.documents.collect()] == [(1, "=== PAGE 1 ===\nbudget speech")]
 
 
+def test_volumes_do_not_change_results(spark, monkeypatch):
+    from functools import partial
+
+    from quire.plans import all_queries
+
+    all_queries()  # in the order in which the parts of their SQL build on one another
+    from quire.plans import queries_state as S
+
+    folder = "/root/testdata/sf0.001"
+    rows = lambda: [sorted(map(tuple, f(spark, folder).collect())) for f in (S.s6, S.w6, S.a8)]
+    whole = rows()
+    monkeypatch.setattr(S.G, "get_documents", partial(S.G.get_documents, volume_pages=2))
+    monkeypatch.setattr(S.O, "ocr_payload", partial(S.O.ocr_payload, volume_pages=2))
+    assert rows() == whole
+
+
 def test_failed_run_goes_back_to_pending(spark):
     from quire.streaming.progress import settle_failed
 
