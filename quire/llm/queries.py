@@ -120,3 +120,12 @@ def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.attention_lm import score_texts
 
     return score_texts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+@register("op13_quality_classifier")
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    from quire.llm.quality_classifier import score, train
+
+    docs = documents(spark, sf_dir)
+    return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
