@@ -122,6 +122,14 @@ def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding; ``deviation_exact`` holds the deviation where it outgrows a long."""
+    from quire.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @register("op13_quality_classifier")
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score."""
