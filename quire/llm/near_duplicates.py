@@ -32,6 +32,8 @@ from quire.llm.shared import row_key, store
 SLOTS, BANDS = 128, 32
 PERCENT = 80
 MAPS = 4
+PLACES = 1 << 21
+HOPS = 3
 SLICE = 1 << 20  # permutations of short texts' elements take more room than other arrays
 _STEP = 0x9E3779B97F4A7C15
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -136,33 +138,35 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int = PERCENT) -
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _levels(texts: DataFrame, k: int, sample: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a bounded sample of the texts, sorted, and how frequent (as a logarithm)."""
+def _levels(texts: DataFrame, k: int, places: int = PLACES) -> np.ndarray:
+    """How frequent shingles are, as a logarithm, for each of ``places`` hashed places; counted over all the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(places, np.int64)
         for batch in batches:
             for _, sets in shingle_sets(batch, "text", k):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["gram"])
+                count += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(places)).astype(np.int64), minlength=places)
+        used = np.flatnonzero(count)
+        for at in range(0, len(used), 1 << 16):
+            part = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[part])], names=["place", "n"])
 
-    some = texts.select("cls", "text").orderBy("cls").limit(sample).select("text")
-    often = some.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "gram").limit(most).toArrow()
-    gram = often.column("gram").to_numpy().view(np.uint64)
-    order = np.argsort(gram)
-    return gram[order], np.log2(often.column("n").to_numpy()[order]).astype(np.uint8)
+    often = texts.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where("n > 1")
+    often = often.select(F.col("place").cast("int").alias("place"), F.floor(F.log2("n")).cast("byte").alias("level")).toArrow()
+    level = np.zeros(places, np.uint8)
+    level[often.column("place").to_numpy()] = often.column("level").to_numpy()
+    return level
 
 
-def _tokens(open_: DataFrame, k: int, percent: int, frequent: np.ndarray, level: np.ndarray) -> DataFrame:
+def _tokens(open_: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
     """Rare-first shingles of every open text: of its own set (``own``), and of its difference from its pivot's set."""
-    shared, maps = open_.sparkSession.sparkContext.broadcast((frequent, level)), [f"map{i}" for i in range(MAPS)]
+    shared, maps = open_.sparkSession.sparkContext.broadcast(level), [f"map{i}" for i in range(MAPS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, level = shared.value
+        level = shared.value
 
         def by_rank(s: np.ndarray) -> np.ndarray:
-            if not len(frequent):
-                return s
-            at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-            return s[np.lexsort((s, np.where(frequent[at] == s, level[at], 0)))]
+            return s[np.lexsort((s, level[(s % np.uint64(len(level))).astype(np.int64)]))]
 
         for batch in batches:
             right = [s for _, sets in shingle_sets(batch.select(["text"]), "text", k) for s in sets]
@@ -194,7 +198,7 @@ def _tokens(open_: DataFrame, k: int, percent: int, frequent: np.ndarray, level:
     return rows.mapInArrow(run, "gram long, cls binary, root binary, pivot binary, own boolean, place int, n int, d int, " + ", ".join(f"{m} long" for m in maps))
 
 
-def prefix_pairs(open_: DataFrame, k: int, percent: int = PERCENT, sample: int = 4000, most: int = 200_000) -> DataFrame:
+def prefix_pairs(open_: DataFrame, k: int, percent: int = PERCENT) -> DataFrame:
     """Pairs of open texts with different roots that may be similar; none that is gets lost.
 
     Under any one order of all shingles, two similar sets share one among the first n - ceil(percent * n / 100) + 1 of each,
@@ -206,9 +210,10 @@ def prefix_pairs(open_: DataFrame, k: int, percent: int = PERCENT, sample: int =
     (100 - percent) / (100 + percent) of the two sizes. Where one of the two is not linked with the pivot, as is so for any pair
     with different roots, similar texts share at least one difference.
     """
-    frequent, level = _levels(open_, k, sample, most)
-    tokens = store(_tokens(open_, k, percent, frequent, level), "prefixes")
-    several = tokens.groupBy("own", F.when(~F.col("own"), F.col("pivot")).alias("around"), "gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+    tokens = store(_tokens(open_, k, percent, _levels(open_, k)), "prefixes")
+    several = tokens.groupBy("own", F.when(~F.col("own"), F.col("pivot")).alias("around"), "gram").agg(*[f(c).alias(f"{c}_{n}") for c in ("root", "pivot") for n, f in (("least", F.min), ("most", F.max))])
+    # Only different roots make pairs; texts around one pivot meet by their differences, so own shingles need two pivots.
+    several = several.where("root_least < root_most AND (NOT own OR pivot_least < pivot_most)")
     own, differ = tokens.where("own").join(several.where("own").select("gram"), "gram"), tokens.where("NOT own").join(several.where("NOT own").select(F.col("around").alias("pivot"), "gram"), ["pivot", "gram"])
     # Not more is common than what follows the shared shingle on either side, nor than a side has without those of its elements
     # whose bit the other side lacks.
@@ -239,10 +244,21 @@ def links(docs: DataFrame, per_doc: DataFrame, k: int, percent: int = PERCENT) -
     compared = store(members.where("cls <> pivot").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct(), "pairs")
     linked = store(verify(compared, texts, k, percent), "linked")
     roots = components(linked)
+    # A pivot may itself stand in the bucket of one that meets more: what lies around it is compared with that one too, so that
+    # a family of copies gathers around one text before pairs are sought.
+    nearest = store(members.groupBy("cls").agg(F.min("top")["cls"].alias("pivot")), "nearest")
+    for _ in range(HOPS):
+        over = nearest.select(F.col("cls").alias("pivot"), F.col("pivot").alias("over"))
+        nearest = store(nearest.join(over, "pivot").select("cls", F.col("over").alias("pivot")), "nearest")
+    around = nearest.where("cls <> pivot").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b"))
+    around = store(around.join(compared, ["a", "b"], "left_anti"), "pairs")
+    found = store(verify(around, texts, k, percent), "linked")
+    if not found.isEmpty():
+        linked, compared = linked.union(found), compared.union(around)
+        roots = components(linked)
     # Buckets that hold more than one component still; all members of the others are connected.
     named = members.select("band", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     split = named.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
-    nearest = members.groupBy("cls").agg(F.min("top")["cls"].alias("pivot"))
     open_ = named.join(split, "band").select("cls", "root").distinct().join(nearest, "cls").join(texts, "cls")
     open_ = store(open_.join(texts.select(F.col("cls").alias("pivot"), F.col("text").alias("pivot_text")), "pivot"), "open")
     fresh = store(prefix_pairs(open_, k, percent).join(compared, ["a", "b"], "left_anti"), "pairs")
