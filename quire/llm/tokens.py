@@ -2,8 +2,9 @@
 
 A text is cut before every blank or line end that a character other than white space follows. No pre-token of the supported tokenizers
 (byte-level BPE, word BPE that drops white space) spans such a place, so the ids of the pieces, joined, are the ids of the
-text. A piece that was seen before costs a look-up in a sorted array; the others go to the ``tokenizers`` library, many in
-one call. What a worker remembers is bounded: it starts anew when it is full.
+text. A piece that was seen before costs a look-up by its hash in a sorted array and a comparison with the bytes remembered; the
+others go to the ``tokenizers`` library, many in one call, and so do pieces whose hash another piece holds already. What a worker
+remembers is bounded: it starts anew when it is full.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ class Pieces:
         self.begin = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
+        self.place = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.text = np.zeros(0, np.uint8)
 
     @classmethod
     def load(cls, path: str) -> "Pieces":
@@ -64,11 +68,20 @@ class Pieces:
         kinds, first, which = np.unique(keys, return_index=True, return_inverse=True)
         self._remember(kinds, data, start[first], end[first])
         at = np.searchsorted(self.keys, kinds)
-        begin, count = self.begin[at][which], self.count[at][which].astype(np.int64)
+        begin, count, ids = self.begin[at][which], self.count[at][which].astype(np.int64), self.ids
+        # Equal hashes are no proof: the bytes must be those that the ids were made from.
+        size, place = end - start, self.place[at][which]
+        known = np.minimum(np.repeat(place - start, size) + np.arange(n), len(self.text) - 1)
+        other = np.flatnonzero((self.size[at][which] != size) | np.logical_or.reduceat(self.text[known] != data, start))
+        if len(other):
+            raw = data.tobytes()
+            own, sizes = self._ask([raw[a:b].decode() for a, b in zip(start[other].tolist(), end[other].tolist())])
+            begin[other], count[other] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.concatenate([ids, own])
         stop = np.cumsum(count)
         source = np.repeat(begin - (stop - count), count) + np.arange(stop[-1])
         rows = np.concatenate([[0], stop])[np.searchsorted(start, off)]
-        return self.ids[source], rows
+        return ids[source], rows
 
     def _remember(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         def unknown() -> np.ndarray:
@@ -89,6 +102,10 @@ class Pieces:
         self.begin = np.insert(self.begin, where, begin)
         self.count = np.insert(self.count, where, count)
         self.ids = np.concatenate([self.ids, ids])
+        size = (end - start)[todo]
+        self.place = np.insert(self.place, where, len(self.text) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, where, size)
+        self.text = np.concatenate([self.text, data[np.repeat(start[todo] - (np.cumsum(size) - size), size) + np.arange(size.sum())]])
 
     def _ask(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, joined in their order, and the number of each.
