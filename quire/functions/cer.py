@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from pyspark.sql import types as T
 from quire.functions.text import is_blank, strip_ws
 
 PREVIEW_CHARS = 16000
-# Pairs with a longer text than this are compared by bit vectors.
-LONG_TEXT = 256
+# Rough costs of the two ways to compare, in nanoseconds: a step by diagonals and each diagonal in it; a column of bit vectors
+# and each of its characters. They decide how far the diagonals are followed, never what comes out.
+DIAGONAL_STEP, DIAGONAL_EACH, COLUMN_STEP, COLUMN_EACH = 100_000, 60, 3_000, 0.6
+_TOGETHER = 6
 
 
 def _shared_start(a: str, b: str) -> int:
@@ -66,22 +69,96 @@ def _bit_parallel_distance(a: str, b: str) -> int:
     return distance
 
 
-def _long_distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = (_without_shared_ends(x or "", y or "") for x, y in zip(a, b))
-    return pd.Series([_bit_parallel_distance(x, y) for x, y in pairs], dtype="int32")
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _equal_run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many characters from ``a[i]`` and ``b[j]`` on are equal, in chunks that double."""
+    begin, size = i, 64
+    while True:
+        n = min(size, len(a) - i, len(b) - j)
+        if n <= 0:
+            return i - begin
+        differ = a[i : i + n] != b[j : j + n]
+        at = int(differ.argmax())
+        if differ[at]:
+            return i - begin + at
+        i, j, size = i + n, j + n, size * 2
+
+
+def _distance_by_diagonals(a: str, b: str, most: float) -> int | None:
+    """Edit distance by the furthest place that each number of edits reaches on each diagonal (Ukkonen 1985).
+
+    After ``e`` edits only ``2 * e + 1`` diagonals are open, and each keeps one number: so the cost follows the edits, not the
+    product of the lengths. All diagonals step together; the few on which many characters are equal run on in chunks.
+    ``a`` is the shorter one. None when the work would pass ``most`` nanoseconds.
+    """
+    x, y = _codes(a), _codes(b)
+    n, m = len(x), len(y)
+    # A sign past either end that equals nothing stops every run there.
+    ends_x, ends_y = np.append(x, np.uint32(0xFFFFFFFF)), np.append(y, np.uint32(0xFFFFFFFE))
+
+    def extend(reach: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        open_ = np.arange(len(reach))
+        for _ in range(_TOGETHER):
+            i = reach[open_]
+            open_ = open_[ends_x[i] == ends_y[i + diagonal[open_]]]
+            if not len(open_):
+                return reach
+            reach[open_] += 1
+        for k in open_.tolist():
+            i = int(reach[k])
+            reach[k] += _equal_run(x, y, i, i + int(diagonal[k]))
+        return reach
+
+    low = high = 0
+    reach = extend(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    edits, spent, goal = 0, 0.0, m - n
+    while not (low <= goal <= high and reach[goal - low] >= n):
+        edits += 1
+        spent += DIAGONAL_STEP + DIAGONAL_EACH * len(reach)
+        if spent > most:
+            return None
+        wide = np.full(len(reach) + 4, -2, np.int64)
+        wide[2:-2] = reach
+        # On a diagonal one edit takes from itself (both go on), from the next (a character of a is left out), or from the one before.
+        fresh = np.maximum(np.maximum(wide[1:-1] + 1, wide[2:] + 1), wide[:-2])
+        diagonal = np.arange(low - 1, high + 2)
+        keep = (diagonal >= -n) & (diagonal <= m) & (fresh >= 0)
+        fresh, diagonal = fresh[keep], diagonal[keep]
+        low, high = int(diagonal[0]), int(diagonal[-1])
+        reach = extend(np.minimum(fresh, np.minimum(n, m - diagonal)), diagonal)
+    return edits
+
+
+def distance(a: str, b: str) -> int:
+    """Exact edit distance of two texts of any length.
+
+    Shared ends go first. Diagonals are followed as long as they have cost less than bit vectors would in all; texts that turn
+    out to have little in common are compared by those, so a pair costs at most twice the better of the two.
+    """
+    a, b = _without_shared_ends(a, b)
+    if not a:
+        return len(b)
+    columns = len(b) * (COLUMN_STEP + COLUMN_EACH * len(a))
+    found = _distance_by_diagonals(a, b, columns)
+    return _bit_parallel_distance(a, b) if found is None else found
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Exact edit distance, whole texts.
 
-    Equal texts cost nothing and short ones are compared in the JVM. Long pairs, where
-    the matrix would take seconds each, go to bit vectors in Arrow batches; all other
-    rows send nulls there.
+    Equal texts cost nothing; all other pairs go through one Arrow function, and equal ones send nulls there. Batches are
+    bounded in bytes by ``spark.sql.execution.arrow.maxBytesPerBatch``.
     """
-    long = (a != b) & (F.greatest(F.length(a), F.length(b)) > LONG_TEXT)
-    compare = F.pandas_udf(_long_distances, T.IntegerType())
-    distance = compare(F.when(long, a), F.when(long, b))
-    return F.when(a == b, F.lit(0)).when(long, distance).otherwise(F.levenshtein(a, b))
+    differ = a != b
+    compare = F.pandas_udf(_distances, T.IntegerType())
+    return F.when(differ, compare(F.when(differ, a), F.when(differ, b))).when(a == b, F.lit(0))
 
 
 def cer(reference: Column, hypothesis: Column) -> Column:

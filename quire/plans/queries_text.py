@@ -383,12 +383,13 @@ def g3_pages(spark, sf):
   SELECT document_id, string_agg('=== PAGE ' || CAST(page_index + 1 AS VARCHAR) || ' ===' || {NL} || {strip("coalesce(corrected_ocr_text_english, '')")}, {NL2} ORDER BY page_index) AS j
   FROM r_corrected_pages WHERE document_id IN (SELECT document_id FROM s_patches) GROUP BY document_id)
 SELECT d.document_id, md5(coalesce(r.corrected_text, d.corrected_ocr)) AS ocr_md5,
-  md5(coalesce(j.j, r.corrected_english, d.corrected_ocr_english)) AS english_md5
+  md5(coalesce(j.j, r.corrected_english, d.corrected_ocr_english)) AS english_md5,
+  CASE WHEN r.corrected_text IS NOT NULL THEN {rnd('100 * ' + _cer_sql('r.corrected_text', 'd.raw_ocr'), 2)} ELSE d.ocr_cer END AS ocr_cer
 FROM v_text_docs d LEFT JOIN s_requests r USING (document_id) LEFT JOIN joined j USING (document_id)""",
 )
 def g3_docs(spark, sf):
     docs, _ = V.correct_ocr(view(spark, sf, "v_text_docs"), view(spark, sf, "v_text_pages"), _requests(spark, sf), _patches(spark, sf, "corrected_ocr_text_english"))
-    return docs.select("document_id", F.md5("corrected_ocr").alias("ocr_md5"), F.md5("corrected_ocr_english").alias("english_md5"))
+    return docs.select("document_id", F.md5("corrected_ocr").alias("ocr_md5"), F.md5("corrected_ocr_english").alias("english_md5"), "ocr_cer")
 
 
 # Model and corrected abstracts are whole page texts that differ by the blank before some sentences.
@@ -434,7 +435,8 @@ texts AS (SELECT document_id, string_agg('=== PAGE ' || CAST(page_index + 1 AS V
 rates AS (SELECT document_id, avg(CASE WHEN coalesce(page_abstract, '') <> '' THEN {_cer_sql('corrected_page_abstract', 'page_abstract')} END) AS m FROM pages GROUP BY document_id)
 SELECT d.document_id, md5(coalesce(t.j, d.corrected_abstract)) AS abstract_md5,
   CASE WHEN d.document_id % 6 = 0 THEN 'reviewed' ELSE d.corrected_overall_abstract END AS overall,
-  CASE WHEN r.m IS NOT NULL AND (d.document_id % 6 = 0 OR d.document_id IN (SELECT document_id FROM touched)) THEN {rnd('100 * r.m', 2)} END AS page_cer
+  CASE WHEN d.document_id % 6 = 0 OR d.document_id IN (SELECT document_id FROM touched) THEN coalesce({rnd('100 * r.m', 2)},
+    CASE WHEN coalesce(d.abstract, '') <> '' THEN {rnd('100 * ' + _cer_sql('coalesce(t.j, d.corrected_abstract)', 'd.abstract'), 2)} END) END AS abstract_cer
 FROM v_text_docs d LEFT JOIN texts t USING (document_id) LEFT JOIN rates r USING (document_id)""",
 )
 def g4(spark, sf):
@@ -443,9 +445,5 @@ def g4(spark, sf):
     requests = docs.where("document_id % 6 = 0").select(
         "document_id", F.lit(None).cast("string").alias("corrected_abstract"), F.lit("reviewed").alias("corrected_overall_abstract")
     )
-    new_docs, new_pages, _ = V.correct_abstract(docs, pages, requests, _patches(spark, sf, "corrected_page_abstract"))
-    has_pages = new_pages.where("coalesce(page_abstract, '') <> ''").select("document_id").distinct().withColumn("__p", F.lit(True))
-    return new_docs.join(has_pages, "document_id", "left").select(
-        "document_id", F.md5("corrected_abstract").alias("abstract_md5"), F.col("corrected_overall_abstract").alias("overall"),
-        F.when(F.col("__p"), F.col("abstract_cer")).alias("page_cer"),
-    )
+    new_docs, _, _ = V.correct_abstract(docs, pages, requests, _patches(spark, sf, "corrected_page_abstract"))
+    return new_docs.select("document_id", F.md5("corrected_abstract").alias("abstract_md5"), F.col("corrected_overall_abstract").alias("overall"), "abstract_cer")

@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "quire") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
