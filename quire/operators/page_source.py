@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import first_filled, is_blank, stripped_or_null
-from quire.operators.pages import PAGE_KEY, split_marked_pages
+from quire.operators.pages import PAGE_KEY, split_marked_texts
 
 NO_TEXT = "no_ocr_text"
 
@@ -18,14 +18,10 @@ NO_TEXT = "no_ocr_text"
 def _with_slices(pages: DataFrame, docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Pages with their slice of each given document text as extra columns.
 
-    Slices travel keyed by document *and* page, so a document with very many pages
-    spreads over tasks; all the joins share that one partitioning of the pages.
+    Slices travel keyed by document *and* page, so a document with very many pages spreads over tasks. All texts are split in
+    one pass over the documents and meet the pages in one join.
     """
-    out = pages
-    for name, text in columns.items():
-        prepared = docs.select("document_id", text.alias("__text")).where(~is_blank(F.col("__text")))
-        out = out.join(split_marked_pages(prepared, "__text", out=name), PAGE_KEY, "left")
-    return out
+    return pages.join(split_marked_texts(docs, columns), PAGE_KEY, "left")
 
 
 def page_text(docs: DataFrame, pages: DataFrame) -> DataFrame:

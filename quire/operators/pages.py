@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.scores import mean_score
-from quire.functions.text import is_blank, marked_block, marked_entries, strip_ws
+from quire.functions.text import is_blank, let, marked_block, marked_entries, strip_ws
 from quire.operators.skew import VOLUME_PAGES, ordered_concat, salted_left_join
 
 PAGE_KEY = ["document_id", "page_index"]
@@ -41,6 +41,32 @@ def split_marked_pages(df: DataFrame, text: str, keys: Sequence[str] = ("documen
     return df.select(*keys, entry).where("__e is not null").select(*keys, F.col("__e.page_index").alias("page_index"), F.col("__e.body").alias(out))
 
 
+def split_marked_texts(df: DataFrame, texts: dict[str, Column], keys: Sequence[str] = ("document_id",)) -> DataFrame:
+    """One row ``(keys, page_index, *texts)`` per page that any of several page-marked texts names. No shuffle.
+
+    All texts of a row are split and brought together page by page inside the row, so the pages leave it once, however many
+    texts there are. A page that a text does not name is null there.
+    """
+    names = list(texts)
+
+    def tagged(which: int, text: Column) -> Column:
+        return F.transform(marked_entries(text), lambda e: F.struct(e["page_index"].alias("page_index"), F.lit(which).alias("which"), e["body"].alias("body")))
+
+    def by_page(entries: Column) -> Column:
+        # In page order a page's entries are neighbours, at most one of each text.
+        def at_head(e: Column, i: Column) -> Column:
+            near = [F.get(entries, i + j) for j in range(len(names))]
+            own = lambda which: F.coalesce(*[F.when((x["page_index"] == e["page_index"]) & (x["which"] == which), x["body"]) for x in near])
+            head = (i == 0) | (F.get(entries, i - 1)["page_index"] != e["page_index"])
+            return F.when(head, F.struct(e["page_index"].alias("page_index"), *[own(w).alias(n) for w, n in enumerate(names)]))
+
+        return F.filter(F.transform(entries, at_head), lambda p: p.isNotNull())
+
+    entries = F.array_sort(F.concat(*[tagged(w, t) for w, t in enumerate(texts.values())]))
+    page = F.explode_outer(let(entries, by_page)).alias("__p")
+    return df.select(*keys, page).where("__p is not null").select(*keys, *[F.col("__p")[c].alias(c) for c in ("page_index", *names)])
+
+
 def join_marked_pages(
     pages: DataFrame, body: Column | str, keys: Sequence[str] = ("document_id",), out: str = "text"
 ) -> DataFrame:
