@@ -23,7 +23,7 @@ def test_equal_to_splitting_each_text_alone(spark):
         one = split_marked_pages(docs, c, out=c)
         want = one if want is None else want.join(one, PAGE_KEY, "full")
     as_rows = lambda df: sorted(tuple(r) for r in df.select(*PAGE_KEY, F.struct("x", "y", "z").cast("string")).collect())
-    assert as_rows(got) == as_rows(want) and got.count() == got.select(*PAGE_KEY).distinct().count() == 8
+    assert as_rows(got) == as_rows(want) and got.count() == got.select(*PAGE_KEY).distinct().count() == 9
 
 
 def test_many_pages_in_one_text(spark):
