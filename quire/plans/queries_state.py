@@ -657,3 +657,35 @@ def g7(spark, sf):
         "document_id", "current_stage", "status", "doc_class", F.length("abstract").alias("abstract_chars"), F.length("overall_abstract").alias("overall_chars"),
         F.size("index_metadata.keywords").alias("n_keywords"), F.length("translation").alias("translation_chars"),
     )
+
+
+# Documents with page rows, and the same texts once more as documents without any.
+_BARE = 10_000_000
+
+
+@query(
+    "q_g7_stage_runs",
+    cte("v_text_docs", "v_text_pages") + f""", d AS (
+  SELECT document_id, raw_ocr FROM v_text_docs UNION ALL SELECT document_id + {_BARE}, raw_ocr FROM v_text_docs),
+t AS (SELECT document_id, count(*) AS n, bool_or({stripped(filled('corrected_ocr_text', 'ocr_text'))} IS NOT NULL) AS has,
+    string_agg('=== PAGE ' || CAST(page_index + 1 AS VARCHAR) || ' ===' || {NL} || {strip(f"coalesce({filled('corrected_ocr_text', 'ocr_text')}, '')")}, {NL2} ORDER BY page_index) AS j
+  FROM v_text_pages GROUP BY document_id),
+s AS (SELECT d.document_id, coalesce(t.n, 0) AS n, CASE WHEN t.n IS NULL THEN NOT {blank('d.raw_ocr')} ELSE t.has END AS goes, CASE WHEN t.n IS NULL THEN d.raw_ocr ELSE t.j END AS txt
+  FROM d LEFT JOIN t USING (document_id)),
+r AS (
+  SELECT document_id, 'ocr' AS stage, 'qc_pending' AS status, '{{"pages":' || CAST(n AS VARCHAR) || '}}' AS note, goes, txt FROM s
+  UNION ALL SELECT document_id, stage, CASE WHEN stage = 'lingua' THEN 'approved' ELSE 'qc_pending' END, NULL, goes, txt FROM s, (VALUES ('doc_class'), ('index_genius'), ('abstractor'), ('lingua')) AS x(stage) WHERE goes
+  UNION ALL SELECT document_id, 'doc_class', 'error', CASE WHEN n = 0 THEN 'No OCR text yet' ELSE 'No OCR text on any page' END, goes, txt FROM s WHERE NOT goes)
+SELECT document_id, stage, status, note, CASE WHEN goes THEN md5(txt) END AS text_md5 FROM r""",
+)
+def g7_runs(spark, sf):
+    """Every stage run and refusal of the chain, with the text that each document went through with."""
+    from quire.plans.chain import run_chain
+
+    own = view(spark, sf, "v_text_docs").select("document_id", "raw_ocr")
+    docs = own.union(own.select((F.col("document_id") + _BARE).alias("document_id"), "raw_ocr"))
+    pages = view(spark, sf, "v_text_pages").select("document_id", "page_index", "ocr_text", "corrected_ocr_text")
+    result = run_chain(docs, pages, _translations(spark, sf, "en").union(_translations(spark, sf, "hi")))
+    runs = result.runs.where("payload IS NULL OR payload NOT LIKE '%action%'").select("document_id", "stage", "status", F.col("payload").alias("note"))
+    refused = result.errors.select("document_id", "stage", F.lit("error").alias("status"), F.col("message").alias("note"))
+    return runs.union(refused).join(result.documents.select("document_id", F.md5("raw_ocr").alias("text_md5")), "document_id", "left")
