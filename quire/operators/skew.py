@@ -19,7 +19,7 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> Data
     result safe to broadcast.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg((F.count(F.lit(1)) * share).alias("__floor"))
+    total = counts.agg((F.sum("__n") * share).alias("__floor"))
     return counts.where(F.col("__n") > total.scalar()).select(*on)
 
 

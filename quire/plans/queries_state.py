@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,11 +17,13 @@ from quire.operators import review as V
 from quire.operators import status as T
 from quire.operators import summarize as Z
 from quire.operators import translate as L
-from quire.operators.skew import fold_lists
+from quire.operators.skew import VOLUME_PAGES, fold_lists
 from quire.plans.registry import (
     NL, NL2, NON_WS_SQL, WS_SQL, blank, cte, digest, digest_sql, filled, mean_sql, query, rnd, sql_view, strip, stripped, table, view,
 )
+from quire.session import checkpoint_dir
 from quire.sources import tables as B
+from quire.sources.keyed import KeyedTable
 from quire.streaming import progress as R
 
 # --- tables ---------------------------------------------------------------------------
@@ -123,6 +127,27 @@ def s10(spark, sf):
     return merged.select("document_id", "status", "owner_id", F.coalesce("updated_at", F.lit(1)).alias("updated_at"))
 
 
+@query(
+    "q_s10_keyed_table",
+    """WITH changes AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS w, 0 AS q FROM orders
+      UNION ALL SELECT l_orderkey + 100, 'X' || CAST(l_linenumber AS VARCHAR), NULL, 2 * l_linenumber FROM lineitem
+      UNION ALL SELECT o_orderkey, NULL, -1, 3 FROM orders WHERE o_totalprice > 200000)
+    SELECT k AS document_id, arg_max(s, q) FILTER (WHERE s IS NOT NULL) AS status, arg_max(w, q) FILTER (WHERE w IS NOT NULL) AS owner_id
+    FROM changes WHERE q > 5 OR k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY k""",
+)
+def s10_keyed(spark, sf):
+    """Batches out of order: a base, changes, a deletion at 5, and owners that come late, from 3."""
+    table_ = KeyedTable(spark, f"{checkpoint_dir(spark)}/keyed-{uuid4().hex}", ["document_id"], "document_id bigint, status string, owner_id bigint", buckets=16)
+    orders = table(spark, sf, "orders").withColumn("document_id", F.col("o_orderkey"))
+    table_.put(orders.select("document_id", F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("owner_id"), F.lit(0).alias("seq")))
+    table_.compact(0.5)
+    lines = table(spark, sf, "lineitem")
+    table_.put(lines.select((F.col("l_orderkey") + 100).alias("document_id"), F.concat(F.lit("X"), "l_linenumber").alias("status"), (F.col("l_linenumber") * 2).alias("seq")))
+    table_.put(orders.where("o_orderstatus = 'P'").select("document_id", F.lit(5).alias("seq"), F.lit(True).alias("deleted")))
+    table_.put(orders.where("o_totalprice > 200000").select("document_id", F.lit(-1).alias("owner_id"), F.lit(3).alias("seq")))
+    return table_.read()
+
+
 @query("q_s11_evolve_schema", cte("v_docs") + " SELECT document_id, status, CAST(NULL AS VARCHAR) AS overall_abstract, CAST(NULL AS DOUBLE) AS ocr_cer FROM v_docs")
 def s11(spark, sf):
     return B.evolve_schema(view(spark, sf, "v_docs"), B.DOCUMENTS).select("document_id", "status", "overall_abstract", "ocr_cer")
@@ -571,32 +596,42 @@ def x6(spark, sf):
 
 @query("q_j10_chunk_lookup", cte("t_table") + f" SELECT doc_id, CAST(no AS INT) AS chunk_no, md5(tr) AS tr_md5, err AS error FROM ({_chunk_sql('documents', 'text')}) LEFT JOIN t_table USING (chunk)")
 def j10(spark, sf):
-    from quire.operators.skew import salted_left_join
-
-    chunks = L.chunk_rows(table(spark, sf, "documents"), ["doc_id"], "text", F.lit("xx"))
-    found = salted_left_join(chunks.drop("chunk"), _translations(spark, sf, "hi"), ["chunk_hash", "target"], ["doc_id", "chunk_no"])
-    return found.select("doc_id", "chunk_no", F.md5("translated").alias("tr_md5"), "error")
+    found = L.look_up(table(spark, sf, "documents"), ["doc_id"], "text", F.lit("xx"), _translations(spark, sf, "hi"))
+    return found.where("chunk_no is not null").select("doc_id", "chunk_no", F.md5("translated").alias("tr_md5"), "error")
 
 
 _NATIVE = f"coalesce({filled('corrected_ocr_text', 'ocr_text')}, '')"
 sql_view("t_pages", f"SELECT document_id * 4 + page_index AS doc_id, document_id, page_index, lang, source, {strip(_NATIVE)} AS src FROM v_pages", "v_pages")
 sql_view("t_page_tr", f"SELECT p.document_id, p.page_index, coalesce(t, '') AS tr FROM t_pages p LEFT JOIN ({_TRANSLATED.replace('CHUNKS', _chunk_sql('t_pages', 'src'))}) ON k = p.doc_id", "t_pages", "t_table")
 
+_TRANSLATED_VOLUMES = f"""SELECT document_id, CAST(page_index // {VOLUME_PAGES} AS INT) AS volume, string_agg('=== PAGE ' || CAST(page_index + 1 AS VARCHAR) || ' ===' || {NL} || {strip('tr')}, {NL2} ORDER BY page_index) AS t
+  FROM t_page_tr GROUP BY document_id, page_index // {VOLUME_PAGES}"""
+
 
 @query(
     "q_x8_ocr_to_english",
-    cte("t_page_tr") + f""" SELECT document_id, {digest_sql('t')} FROM (SELECT document_id, string_agg('=== PAGE ' || CAST(page_index + 1 AS VARCHAR) || ' ===' || {NL} || {strip('tr')}, {NL2} ORDER BY page_index) AS t FROM t_page_tr GROUP BY document_id)""",
+    cte("t_page_tr") + f" SELECT document_id, volume, {digest_sql('t')} FROM ({_TRANSLATED_VOLUMES})",
 )
 def x8(spark, sf):
     _, docs = L.ocr_to_english(view(spark, sf, "v_pages"), _translations(spark, sf, "en"))
-    return docs.select("document_id", *digest(F.col("corrected_ocr_english")))
+    return docs.select("document_id", "volume", *digest(F.col("corrected_ocr_english")))
 
 
-@query("q_x7_page_translations", cte("t_page_tr") + f" SELECT document_id, page_index, {digest_sql('tr')} FROM t_page_tr")
-def x7(spark, sf):
+def _page_translations(spark, sf):
     source = strip_ws(F.coalesce(first_filled(F.col("corrected_ocr_text"), F.col("ocr_text")), F.lit("")))
     pages = view(spark, sf, "v_pages").select("document_id", "page_index", source.alias("translate_source"))
-    per_page, _ = L.page_translations(pages, F.lit("hi"), _translations(spark, sf, "hi"))
+    return L.page_translations(pages, F.lit("hi"), _translations(spark, sf, "hi"))
+
+
+@query("q_x7_document_translations", cte("t_page_tr") + f" SELECT document_id, volume, {digest_sql('t')} FROM ({_TRANSLATED_VOLUMES})")
+def x7_documents(spark, sf):
+    _, docs = _page_translations(spark, sf)
+    return docs.select("document_id", "volume", *digest(F.col("translation")))
+
+
+@query("q_x7_page_translations", cte("t_page_tr") + f" SELECT document_id, page_index, {digest_sql('tr')} FROM t_page_tr")
+def x7(spark, sf):
+    per_page, _ = _page_translations(spark, sf)
     return per_page.select("document_id", "page_index", *digest(F.col("page_translation")))
 
 
