@@ -8,7 +8,7 @@ that bounded set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -86,42 +86,69 @@ def candidate_union(*phases: DataFrame) -> DataFrame:
     return out
 
 
+def _step(state: Column, c: Column, target_qs: float, min_gain: float, stall_window: int) -> Column:
+    """The state of a page after one more candidate: best score, score before polishing, stall count, winner."""
+    best, phase, qs = state["best"], c["phase"], c["qs"]
+    below = best < target_qs
+    running = (phase == "pass") & below & (state["stall"] < stall_window)
+    takes = (
+        F.when(phase == "clean", qs >= best)
+        .when(phase == "pass", running & (qs > best))
+        .when(phase == "polish", (state["polish_from"] < target_qs) & (qs > best))
+        .otherwise(below & (qs > best))
+    )
+    small = F.greatest(best, qs) - best < min_gain
+    after = F.when(takes, qs).otherwise(best)
+    return F.struct(
+        after.alias("best"),
+        # Both polish clips are tried when the passes end below the target.
+        F.when(phase == "polish", state["polish_from"]).otherwise(after).alias("polish_from"),
+        F.when(running, F.when(small, state["stall"] + 1).otherwise(0)).otherwise(state["stall"]).alias("stall"),
+        F.when(takes, c).otherwise(state["won"]).alias("won"),
+    )
+
+
 def select_candidate(
-    candidates: DataFrame, pages: DataFrame, target_qs: float = TARGET_QS
+    candidates: DataFrame,
+    pages: DataFrame,
+    target_qs: float = TARGET_QS,
+    max_passes: int = MAX_PASSES,
+    min_gain: float = MIN_GAIN,
+    stall_window: int = STALL_WINDOW,
 ) -> DataFrame:
     """The winning candidate of a page with its verdict.
 
     ``pages`` gives ``page_key, original_qs, start_qs, washed, final_qs`` (the score of
     the file as written; null takes the winner's). A clean polish wins when at least as
     good, any other candidate only when strictly better. Later phases are considered
-    only while the best is below the target, and a result below the original is rolled
-    back. Where a page has a clean polish, no other candidate competes.
+    only while the best is below the target, passes only until ``stall_window`` small gains
+    in a row, and a result below the original is rolled back. Where a page has a clean
+    polish, no other candidate competes. A null score never wins; phases of other names are left out.
+
+    The candidates of a page, few by rule, are gathered in order and walked once.
     """
     rank = F.create_map(*[F.lit(x) for i, p in enumerate(PHASES) for x in (p, i)])
-    joined = candidates.join(pages, "page_key").withColumn("__phase", F.try_element_at(rank, F.col("phase")))
-    by_phase = Window.partitionBy("page_key").orderBy("__phase")
-    by_step = Window.partitionBy("page_key").orderBy("__phase", "pos")
-    before_phase = F.max("qs").over(by_phase.rangeBetween(Window.unboundedPreceding, -1))
-    before_step = F.max("qs").over(by_step.rowsBetween(Window.unboundedPreceding, -1))
-    reached = F.when(F.col("phase") == "polish", before_phase).otherwise(before_step)
-    open_step = (F.col("phase") == "clean") | (F.greatest(F.col("start_qs"), F.coalesce(reached, F.col("start_qs"))) < target_qs)
-    # A page that gets the clean-document polish gets nothing else.
-    only_clean = F.max((F.col("phase") == "clean").cast("int")).over(Window.partitionBy("page_key")) == 1
-    considered = joined.withColumns({"__open": open_step, "__clean": only_clean}).where("__open AND (phase = 'clean' OR NOT __clean)")
-    wins = (F.col("qs") > F.col("start_qs")) | ((F.col("phase") == "clean") & (F.col("qs") >= F.col("start_qs")))
-    top = F.max(F.when(wins, F.struct("qs", (-F.col("__phase")).alias("p"), (-F.col("pos")).alias("s"), "phase", "label")))
-    picked = considered.groupBy("page_key").agg(top.alias("__t"))
+    known = candidates.where(F.col("phase").isin(PHASES) & ((F.col("phase") != "pass") | (F.col("pos") <= limited_passes(max_passes))))
+    step = F.struct(F.try_element_at(rank, F.col("phase")).alias("rank"), F.col("pos").cast("int").alias("pos"), "label", F.col("qs").cast("double").alias("qs"), "phase")
+    gathered = known.groupBy("page_key").agg(F.array_sort(F.collect_list(step)).alias("__steps"))
+    kind = "struct<rank:int,pos:int,label:string,qs:double,phase:string>"
+    steps = F.coalesce("__steps", F.array().cast(f"array<{kind}>"))
+    clean = F.filter(steps, lambda c: c["phase"] == "clean")
+    start = F.col("start_qs").cast("double")
+    begin = F.struct(start.alias("best"), start.alias("polish_from"), F.lit(0).alias("stall"), F.lit(None).cast(kind).alias("won"))
+    walked = F.aggregate(F.when(F.size(clean) > 0, clean).otherwise(steps), begin, lambda state, c: _step(state, c, target_qs, min_gain, max(2, stall_window)))
+    picked = pages.join(gathered, "page_key", "left").withColumn("__t", walked["won"])
     verdict = (
         F.when(F.col("__t").isNull(), F.when(F.col("washed"), F.lit("washed_recovery")).otherwise(F.lit("no_change")))
         .when(F.col("__t.phase") == "clean", F.lit("clean_doc_polish"))
-        .when(F.col("__t.phase") == "pass", F.concat(F.lit("iterative_pass_"), (-F.col("__t.s")).cast("string")))
+        .when(F.col("__t.phase") == "pass", F.concat(F.lit("iterative_pass_"), F.col("__t.pos").cast("string")))
         .when(F.col("__t.phase") == "polish", F.concat(F.lit("polish_clip_"), F.col("__t.label")))
         .otherwise(F.concat(F.lit("escalation:"), F.col("__t.label")))
     )
     best = F.coalesce(F.col("__t.qs"), F.col("start_qs"))
     final = F.coalesce(F.col("final_qs"), best)
     rolled_back = final < F.col("original_qs")
-    return pages.join(picked, "page_key", "left").select(
+    return picked.select(
         "page_key",
         best.alias("best_qs"),
         F.when(rolled_back, F.col("original_qs")).otherwise(final).alias("final_qs"),

@@ -187,26 +187,25 @@ def w3(spark, sf):
     return ran.select("page_key", "pass", F.round("best_qs", 6).alias("best_qs"), "stall_count", "met_target")
 
 
-_PHASES_SQL = """SELECT page_key, 'pass' AS phase, pass AS pos, CAST(pass AS VARCHAR) AS label, qs FROM v_passes WHERE pass <= 16 AND page_key % 5 <> 0
+_PHASES_SQL = """SELECT page_key, 'pass' AS phase, pass AS pos, CAST(pass AS VARCHAR) AS label, qs FROM v_passes WHERE pass <= 16
   UNION ALL SELECT page_key, 'clean', 1, 'clean', qs FROM v_passes WHERE pass = 1 AND page_key % 5 = 0
-  UNION ALL SELECT page_key, 'polish', pass - 16, CASE pass WHEN 17 THEN '2.3' ELSE '2.6' END, qs * 1.01 FROM v_passes WHERE pass IN (17, 18) AND page_key % 5 <> 0
-  UNION ALL SELECT page_key, 'escalation', pass - 18, 'recipe_' || CAST(pass - 18 AS VARCHAR), qs * 1.02 FROM v_passes WHERE pass > 18 AND page_key % 5 <> 0"""
+  UNION ALL SELECT page_key, 'polish', pass - 16, CASE pass WHEN 17 THEN '2.3' ELSE '2.6' END, qs * 1.01 FROM v_passes WHERE pass IN (17, 18)
+  UNION ALL SELECT page_key, 'escalation', pass - 18, 'recipe_' || CAST(pass - 18 AS VARCHAR), qs * 1.02 FROM v_passes WHERE pass > 18"""
 sql_view("w_cand", _PHASES_SQL, "v_passes")
 
 
 def _candidates(spark, sf):
     p = view(spark, sf, "v_passes")
-    many = p.where("page_key % 5 <> 0")
 
     def phase(rows, name, pos, label, factor):
         return rows.select("page_key", F.lit(name).alias("phase"), pos.cast("int").alias("pos"), label.alias("label"), (F.col("qs") * factor).alias("qs"))
 
     k = F.col("pass")
     return L.candidate_union(
-        phase(many.where(k <= 16), "pass", k, k.cast("string"), 1.0),
+        phase(p.where(k <= 16), "pass", k, k.cast("string"), 1.0),
         phase(p.where((k == 1) & (F.col("page_key") % 5 == 0)), "clean", F.lit(1), F.lit("clean"), 1.0),
-        phase(many.where(k.isin(17, 18)), "polish", k - 16, F.when(k == 17, "2.3").otherwise("2.6"), 1.01),
-        phase(many.where(k > 18), "escalation", k - 18, F.concat(F.lit("recipe_"), (k - 18).cast("string")), 1.02),
+        phase(p.where(k.isin(17, 18)), "polish", k - 16, F.when(k == 17, "2.3").otherwise("2.6"), 1.01),
+        phase(p.where(k > 18), "escalation", k - 18, F.concat(F.lit("recipe_"), (k - 18).cast("string")), 1.02),
     )
 
 
@@ -226,16 +225,17 @@ sql_view(
 sql_view("w_page", "SELECT page_key, CAST(page_key % 97 AS DOUBLE) AS start_qs, CAST(page_key % 103 AS DOUBLE) AS original_qs, page_key % 2 = 0 AS washed FROM (SELECT DISTINCT page_key FROM v_passes)", "v_passes")
 sql_view(
     "w_choice",
-    f"""SELECT * FROM (WITH RECURSIVE c(page_key, seq, best, at_polish, verdict) AS (
-        SELECT page_key, CAST(0 AS BIGINT), start_qs, start_qs, CASE WHEN washed THEN 'washed_recovery' ELSE 'no_change' END FROM w_page
+    f"""SELECT * FROM (WITH RECURSIVE c(page_key, seq, best, at_polish, stall, verdict) AS (
+        SELECT page_key, CAST(0 AS BIGINT), start_qs, start_qs, 0, CASE WHEN washed THEN 'washed_recovery' ELSE 'no_change' END FROM w_page
         UNION ALL
         SELECT c.page_key, o.seq, CASE WHEN {{take}} THEN o.qs ELSE c.best END,
           CASE WHEN o.phase IN ('clean', 'pass') THEN CASE WHEN {{take}} THEN o.qs ELSE c.best END ELSE c.at_polish END,
+          CASE WHEN o.phase <> 'pass' OR c.stall >= 2 THEN c.stall WHEN greatest(c.best, o.qs) - c.best < 0.12 THEN c.stall + 1 ELSE 0 END,
           CASE WHEN {{take}} THEN CASE o.phase WHEN 'clean' THEN 'clean_doc_polish' WHEN 'pass' THEN 'iterative_pass_' || o.label WHEN 'polish' THEN 'polish_clip_' || o.label ELSE 'escalation:' || o.label END ELSE c.verdict END
         FROM c JOIN w_order o ON o.page_key = c.page_key AND o.seq = c.seq + 1)
       SELECT * FROM c) QUALIFY row_number() OVER (PARTITION BY page_key ORDER BY seq DESC) = 1""".replace(
         "{take}",
-        f"(CASE o.phase WHEN 'clean' THEN o.qs >= c.best WHEN 'polish' THEN c.at_polish < {_TARGET} AND o.qs > c.best ELSE c.best < {_TARGET} AND o.qs > c.best END)",
+        f"(CASE o.phase WHEN 'clean' THEN o.qs >= c.best WHEN 'polish' THEN c.at_polish < {_TARGET} AND o.qs > c.best WHEN 'pass' THEN c.stall < 2 AND c.best < {_TARGET} AND o.qs > c.best ELSE c.best < {_TARGET} AND o.qs > c.best END)",
     ),
     "w_order", "w_page",
 )

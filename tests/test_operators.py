@@ -373,3 +373,23 @@ def test_failed_run_goes_back_to_pending(spark):
     outcomes = spark.createDataFrame([("a", "failed"), ("b", "failed"), ("c", "success")], "run_id string, outcome string")
     docs = spark.createDataFrame([(1, "processing"), (2, "processing"), (3, "processing")], "document_id long, status string")
     assert sorted(tuple(r) for r in settle_failed(docs, events, outcomes).collect()) == [(1, "pending"), (2, "processing"), (3, "processing")]
+
+
+def test_stalled_passes_do_not_compete(spark):
+    from quire.operators.selection import select_candidate
+
+    rows = [
+        # Two small gains end the passes, so the third is never run; the polish is.
+        *[("stalled", "pass", i, str(i), q) for i, q in ((1, 50.0), (2, 50.1), (3, 50.05), (4, 90.0))],
+        ("stalled", "polish", 1, "2.3", 60.0),
+        # A large gain in between starts the count anew.
+        *[("gains", "pass", i, str(i), q) for i, q in ((1, 50.0), (2, 50.05), (3, 70.0), (4, 70.05), (5, 80.0))],
+        # The target ends everything; a null score and an unknown phase never win.
+        *[("target", "pass", i, str(i), q) for i, q in ((1, None), (2, 99.0), (3, 99.9))],
+        ("target", "escalation", 1, "x", 99.95),
+        ("target", "other", 1, "y", 100.0),
+    ]
+    candidates = spark.createDataFrame(rows, "page_key string, phase string, pos int, label string, qs double")
+    pages = spark.createDataFrame([(k, 1.0, 10.0, False, None) for k in ("stalled", "gains", "target", "alone")], "page_key string, original_qs double, start_qs double, washed boolean, final_qs double")
+    got = {r.page_key: (r.best_qs, r.verdict) for r in select_candidate(candidates, pages, target_qs=98.0).collect()}
+    assert got == {"stalled": (60.0, "polish_clip_2.3"), "gains": (80.0, "iterative_pass_5"), "target": (99.0, "iterative_pass_2"), "alone": (10.0, "no_change")}
