@@ -46,6 +46,17 @@ def _texts(spark, sf):
     return view(spark, sf, "v_meta_text").select("document_id", "text").unionByName(d)
 
 
+# The same with a class; every document ends with a passage of its class's fields, so they stand at the end of long texts too.
+_CLASSED_DOCUMENTS = """SELECT -1 - doc_id AS document_id, CASE CAST(doc_id % 4 AS INT) WHEN 0 THEN 'Bulletin' WHEN 1 THEN 'Resolutions' WHEN 2 THEN 'Government Bill' ELSE 'Memo' END AS doc_class,
+  CASE WHEN text <> '' THEN concat(text, ' Tenth Legislative Assembly (Third Session) Part - ', CASE WHEN doc_id % 2 = 0 THEN 'I' ELSE '2' END, ' of 3rd May, 2011') ELSE '' END AS text FROM {documents}"""
+sql_view("s_classed", "SELECT document_id, doc_class, text FROM v_meta_text UNION ALL " + _CLASSED_DOCUMENTS.replace("{documents}", "documents"), "v_meta_text")
+
+
+def _classed(spark, sf):
+    d = spark.sql(_CLASSED_DOCUMENTS, documents=table(spark, sf, "documents"))
+    return view(spark, sf, "v_meta_text").select("document_id", "doc_class", "text").unionByName(d)
+
+
 def _pattern_query(name, fn, pattern, group=0, ascii_boundaries=False):
     text = ascii_words("text") if ascii_boundaries else "text"
     sql = cte("s_texts") + f" SELECT document_id, {_joined(text, pattern, group)} AS found, CAST(len({_found(text, pattern, group)}) AS INT) AS n FROM s_texts"
@@ -204,16 +215,16 @@ def part_sql(x: str) -> str:
     return f"'Bulletin Part ' || CASE {t} WHEN '1' THEN 'I' WHEN '2' THEN 'II' WHEN '3' THEN 'III' ELSE {t} END"
 
 
-@query("q_m9_bulletin_part", cte("v_meta_text") + f" SELECT document_id, {part_sql('text')} AS part FROM v_meta_text")
+@query("q_m9_bulletin_part", cte("s_classed") + f" SELECT document_id, {part_sql(ascii_words('text'))} AS part FROM s_classed")
 def m9(spark, sf):
-    return view(spark, sf, "v_meta_text").select("document_id", X.bulletin_part(F.col("text")).alias("part"))
+    return _classed(spark, sf).select("document_id", X.bulletin_part(F.col("text")).alias("part"))
 
 
 def _owners(field: str) -> str:
     return "(" + ", ".join(f"'{c}'" for c, fs in CLASS_SCHEMA.items() if any(f[0] == field for f in fs)) + ")"
 
 
-_HEAD = "text"
+_HEAD = ascii_words("text")
 _FIELD_SQL = {
     "Date": iso_sql(f"nullif(regexp_extract({_HEAD}, '{DATE_SQL}', 0), '')"),
     "Year": f"nullif(regexp_extract({_HEAD}, '{YEAR_SQL}', 0), '')",
@@ -225,8 +236,8 @@ sql_view(
     "r_fields",
     "SELECT document_id, doc_class, text, "
     + ", ".join(f"CASE WHEN doc_class IN {_owners(n)} THEN {e} END AS f_{n.lower().replace(' ', '_')}" for n, e in _FIELD_SQL.items())
-    + " FROM v_meta_text",
-    "v_meta_text",
+    + " FROM s_classed",
+    "s_classed",
 )
 
 
@@ -235,7 +246,7 @@ sql_view(
     cte("r_fields") + " SELECT document_id, f_date, f_year, f_assembly, f_session, f_bulletin_parts FROM r_fields",
 )
 def m10(spark, sf):
-    fields = view(spark, sf, "v_meta_text").withColumn("m", M.class_fields(F.col("text"), F.col("doc_class")))
+    fields = _classed(spark, sf).withColumn("m", M.class_fields(F.col("text"), F.col("doc_class")))
     return fields.select(
         "document_id", *[F.try_element_at("m", F.lit(n)).alias("f_" + n.lower().replace(" ", "_")) for n in _FIELD_SQL]
     )
@@ -243,14 +254,15 @@ def m10(spark, sf):
 
 # --- keywords -------------------------------------------------------------------------
 
-sql_view(
-    "r_keywords",
-    f"""SELECT document_id, term, n, first_pos, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first_pos) AS rank FROM (
+for _name, _of in (("r_keywords", "s_texts"), ("r_class_keywords", "s_classed")):
+    sql_view(
+        _name,
+        f"""SELECT document_id, term, n, first_pos, row_number() OVER (PARTITION BY document_id ORDER BY n DESC, first_pos) AS rank FROM (
       SELECT document_id, term, count(*) AS n, min(pos) AS first_pos FROM (
-        SELECT document_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT document_id, regexp_extract_all({ascii_words('text')}, '{KEYWORD_SQL}') AS w FROM s_texts))
+        SELECT document_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT document_id, regexp_extract_all({ascii_words('text')}, '{KEYWORD_SQL}') AS w FROM {_of}))
       GROUP BY document_id, term)""",
-    "s_texts",
-)
+        _of,
+    )
 
 
 @query("q_a9_top_keywords", cte("r_keywords") + " SELECT document_id, term, n, CAST(first_pos AS INT) AS first_pos, CAST(rank AS INT) AS rank FROM r_keywords WHERE rank <= 8")
@@ -348,14 +360,14 @@ _KNOWN = "(" + ", ".join(f"'{c}'" for c in CLASS_SCHEMA) + ")"
 
 @query(
     "q_m12_metadata",
-    cte("r_fields", "r_keywords") + f""" SELECT f.document_id, {_joined('text', EMAIL_SQL)} AS emails, {_joined('text', PHONE_SQL)} AS phones, {_joined('text', URL_SQL)} AS urls,
-    {_joined('text', MONEY_SQL)} AS amounts, {_joined('text', ID_SQL, 1)} AS identifiers,
-    array_to_string(list_transform({_found('text', DATE_SQL)}, lambda r: r || '=' || coalesce({iso_sql('r')}, '?')), ' | ') AS dates, k.keywords,
-    CASE WHEN doc_class IN {_KNOWN} THEN doc_class END AS known_class, f_date, f_year, f_assembly, f_session, f_bulletin_parts
-    FROM r_fields f LEFT JOIN (SELECT document_id, string_agg(term, ' ' ORDER BY rank) AS keywords FROM r_keywords WHERE rank <= 8 GROUP BY document_id) k USING (document_id)""",
+    cte("r_fields", "r_class_keywords") + f""" SELECT f.document_id, {_joined('text', EMAIL_SQL)} AS emails, {_joined('text', PHONE_SQL)} AS phones, {_joined('text', URL_SQL)} AS urls,
+    {_joined('text', MONEY_SQL)} AS amounts, {_joined(ascii_words('text'), ID_SQL, 1)} AS identifiers,
+    array_to_string(list_transform({_found(ascii_words('text'), DATE_SQL)}, lambda r: r || '=' || coalesce({iso_sql('r')}, '?')), ' | ') AS dates, k.keywords,
+    CASE WHEN doc_class IN {_KNOWN} OR text = '' THEN doc_class END AS known_class, f_date, f_year, f_assembly, f_session, f_bulletin_parts
+    FROM r_fields f LEFT JOIN (SELECT document_id, string_agg(term, ' ' ORDER BY rank) AS keywords FROM r_class_keywords WHERE rank <= 8 GROUP BY document_id) k USING (document_id)""",
 )
 def m12(spark, sf):
-    found = M.extract_metadata(view(spark, sf, "v_meta_text"), "text").select("document_id", "index_metadata.*")
+    found = M.extract_metadata(_classed(spark, sf), "text").select("document_id", "index_metadata.*")
     shown = F.transform("dates", lambda d: F.concat(d["raw"], F.lit("="), F.coalesce(d["iso"], F.lit("?"))))
     return found.select(
         "document_id", *[_join(F.col(c)).alias(c) for c in ("emails", "phones", "urls", "amounts", "identifiers")],
@@ -370,7 +382,7 @@ def m12(spark, sf):
     CASE WHEN document_id % 3 = 0 THEN 1 ELSE (f_date IS NOT NULL)::INT + (f_year IS NOT NULL)::INT + (f_assembly IS NOT NULL)::INT + (f_session IS NOT NULL)::INT + (f_bulletin_parts IS NOT NULL)::INT END AS n_fields FROM r_fields""",
 )
 def m13(spark, sf):
-    docs = M.extract_metadata(view(spark, sf, "v_meta_text"), "text")
+    docs = M.extract_metadata(_classed(spark, sf), "text")
     fields = F.create_map(F.lit("Assembly"), F.lit("corrected"), F.lit("Title"), F.lit(""))
     fixed = docs.where("document_id % 3 = 0").select("document_id", F.col("index_metadata").withField("class_fields", fields).alias("index_metadata"))
     out = M.correct_metadata(docs, fixed).select("document_id", F.coalesce("index_metadata.class_fields", F.create_map().cast("map<string,string>")).alias("m"))
