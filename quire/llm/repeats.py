@@ -108,8 +108,9 @@ def sort_runs(found: DataFrame, hot: int = HOT) -> DataFrame:
     by = W.partitionBy("anchor").orderBy("digest")
     every = W.partitionBy("anchor")
     seen = found.withColumn("before", F.lag("digest").over(by)).withColumn("after", F.lead("digest").over(by))
-    seen = seen.withColumn("others", F.min("digest").over(every) != F.max("digest").over(every)).withColumn("crowd", F.count("*").over(every))
+    seen = seen.withColumn("others", F.min("digest").over(every) != F.max("digest").over(every))
     first = F.col("before").isNull() | (F.col("before") != F.col("digest"))
+    seen = seen.withColumn("crowd", F.sum(first.cast("int")).over(every))  # runs that differ: copies are told by their digest
     repeated = F.coalesce(F.col("before") == F.col("digest"), F.lit(False)) | F.coalesce(F.col("after") == F.col("digest"), F.lit(False))
     out = seen.select("anchor", "row_key", "start", "windows", repeated.alias("repeated"), ((F.col("others") | F.col("twice")) & first).alias("asked"), (F.col("crowd") > hot).alias("crowded"))
     return out.where("repeated OR asked")
@@ -250,7 +251,7 @@ def find_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_bytes: bool = False) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of every row; ``with_bytes`` adds what is left, ``kept_bytes``."""
-    spans = find_spans(docs, length, gram, hot).groupBy("row_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = find_spans(docs, length, gram, hot).groupBy("row_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # equal rows have equal spans
     texts = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row_key"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

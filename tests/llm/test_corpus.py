@@ -1,6 +1,7 @@
 """Each corpus operator against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 WORDS = [bytes([97 + i % 26, 97 + i // 26 % 26, 97 + i * 7 % 26]).decode() for i in range(400)]
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -150,6 +152,18 @@ def test_remove_repeats(docs, none, hot):
     assert remove_repeats(none).count() == 0
 
 
+def test_remove_repeats_of_many_equal_rows(spark):
+    """A row that stands 4000 times costs 4000 times as much as once, not 16 million times; its neighbour shares a passage with it."""
+    from quire.llm.repeats import remove_repeats
+
+    rng = random.Random(5)
+    text, other = ("".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(2))
+    rows = spark.range(4000).select(F.lit(7).alias("doc_id"), F.lit(text).alias("text"))
+    docs = rows.union(spark.createDataFrame([(8, other + text[500:1500])], "doc_id int, text string"))
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans): r["count"] for r in remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()}
+    assert got == {(7, 3000, 3000, 1): 4000, (8, 4000, 1000, 1): 1}
+
+
 def test_remove_repeats_of_other_lengths(spark):
     from quire.llm.repeats import remove_repeats
 
