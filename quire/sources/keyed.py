@@ -33,6 +33,9 @@ class KeyedTable:
 
     ``schema`` is DDL text or a schema of keys and further columns. A table opened with more columns than before reads the new ones
     as null. The number of ``buckets`` stays as the table was first opened with. One writer at a time; any number of readers.
+
+    Two external tables of the current database, named by a hash of path and columns, tell Spark of the buckets;
+    dropping them leaves the files, and opening the table makes them anew.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: str | T.StructType, buckets: int = 64):
