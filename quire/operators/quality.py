@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,97 +18,144 @@ AUTO_ENHANCE_THRESHOLD = 75.0
 HISTOGRAM_BINS = 16
 PAPER_GRAY, INK_GRAY = 230, 100
 
-STATS_FIELDS = (
-    "width_px int, height_px int, mean_gray double, std_gray double, laplacian_variance double, noise_std double, "
-    "paper_share double, ink_share double, histogram array<double>"
-)
-REPORT_FIELDS = (
-    "pct_pixels_changed double, paper_lift double, ink_deepen double, mean_shift double, "
-    "hist_before array<double>, hist_after array<double>"
-)
+# Pixels of a strip: what one step of the measuring holds, however large the page is.
+STRIP_PIXELS = 1 << 20
 
 
-def _gray(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
-    """8-bit luminance of a BGR(A) or gray raster, in the usual 15-bit fixed point."""
-    if height is None or height <= 0 or width <= 0:
-        return None
-    pixels = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)
-    if channels == 1:
+def _strips(images: DataFrame, keys: list[str], image: str, border: int = 0) -> DataFrame:
+    """Rows ``first`` to ``last`` (exclusive) of each raster with up to ``border`` rows around them, as ``data`` from row ``top`` on.
+
+    A raster that could not be decoded is one strip without data, number 0 as every first strip.
+    """
+    height, width, channels, data = (F.col(f"{image}.{f}") for f in ("height", "width", "nChannels", "data"))
+    readable = (height > 0) & (width > 0)
+    rows = F.greatest(F.lit(1), F.floor(F.lit(STRIP_PIXELS) / F.greatest(width, F.lit(1)))).cast("int")
+
+    def cut(first: Column) -> Column:
+        last = F.least(first + rows, height)
+        top, bottom = F.greatest(first - border, F.lit(0)), F.least(last + border, height)
+        part = F.substring(data, top * width * channels + 1, (bottom - top) * width * channels)
+        return F.struct(
+            F.floor(first / rows).cast("int").alias("__strip"), first.alias("__first"), last.alias("__last"), top.alias("__top"), part.alias("__data")
+        )
+
+    fields = "array<struct<__strip int, __first int, __last int, __top int, __data binary>>"
+    nothing = F.array(F.struct(F.lit(0), *[F.lit(None)] * 4)).cast(fields)
+    strips = F.transform(F.sequence(F.lit(0), F.greatest(height, F.lit(1)) - 1, rows), cut).cast(fields)
+    sizes = [F.when(readable, c).alias(n) for c, n in ((height, "__height"), (width, "__width"), (channels, "__channels"))]
+    return images.select(*keys, *sizes, F.inline(F.when(readable, strips).otherwise(nothing)))
+
+
+def _gray(width: int, channels: int, data: bytes) -> np.ndarray:
+    """8-bit luminance of BGR(A) or gray rows, in the usual 15-bit fixed point."""
+    pixels = np.frombuffer(data, dtype=np.uint8).reshape(-1, int(width), int(channels))
+    if pixels.shape[2] == 1:
         return pixels[:, :, 0]
-    b, g, r = (pixels[:, :, i].astype(np.int64) for i in range(3))
+    b, g, r = (pixels[:, :, i].astype(np.int32) for i in range(3))
     return ((b * 3735 + g * 19235 + r * 9798 + (1 << 14)) >> 15).astype(np.uint8)
 
 
-def _padded(gray: np.ndarray, by: int) -> np.ndarray:
-    """Mirror border without repeating the edge; an edge pixel repeats where the side is too short."""
-    out = gray.astype(np.int64)
-    for axis in (0, 1):
-        width = [(0, 0), (0, 0)]
-        width[axis] = (by, by)
-        out = np.pad(out, width, mode="reflect" if gray.shape[axis] > 1 else "edge")
-    return out
+def _mirrored(start: int, stop: int, size: int) -> np.ndarray:
+    """Indices ``start`` to ``stop`` of a side that mirrors at its ends without repeating the edge; a side of one repeats it."""
+    if size == 1:
+        return np.zeros(stop - start, dtype=np.int64)
+    at = np.arange(start, stop) % (2 * size - 2)
+    return np.minimum(at, 2 * size - 2 - at)
 
 
-def _laplacian(gray: np.ndarray) -> np.ndarray:
-    p = _padded(gray, 1)
-    return p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]
+def _laplacian(p: np.ndarray) -> np.ndarray:
+    return p[1:-3, 2:-2] + p[3:-1, 2:-2] + p[2:-2, 1:-3] + p[2:-2, 3:-1] - 4 * p[2:-2, 2:-2]
 
 
-def _blurred(gray: np.ndarray) -> np.ndarray:
+def _blurred(p: np.ndarray) -> np.ndarray:
     """5x5 binomial blur, rounded to whole gray levels."""
     kernel = (1, 4, 6, 4, 1)
-    p = _padded(gray, 2)
-    rows = sum(k * p[i : i + gray.shape[0], :] for i, k in enumerate(kernel))
-    full = sum(k * rows[:, i : i + gray.shape[1]] for i, k in enumerate(kernel))
+    rows = sum(k * p[i : len(p) - 4 + i, :] for i, k in enumerate(kernel))
+    full = sum(k * rows[:, i : p.shape[1] - 4 + i] for i, k in enumerate(kernel))
     return (full + 128) >> 8
 
 
-def _histogram(gray: np.ndarray) -> list[float]:
-    counts = np.bincount(gray.ravel() >> 4, minlength=HISTOGRAM_BINS)
-    return [float(c) / gray.size for c in counts]
+def _bins(gray: np.ndarray) -> list[int]:
+    return [int(n) for n in np.bincount(gray.ravel() >> 4, minlength=HISTOGRAM_BINS)]
 
 
-def _shares(name: str) -> Column:
-    return F.transform(name, lambda share: F.round(share, 6))
+def _powers(values: np.ndarray) -> list[int]:
+    """Sum and sum of squares."""
+    return [int(values.sum(dtype=np.int64)), int(np.square(values, dtype=np.int64).sum())]
 
 
-def _statistics(gray: np.ndarray | None) -> list:
-    if gray is None or gray.size == 0:
-        return [None] * 9
+def _moments(height: int, width: int, channels: int, first: int, last: int, top: int, data: bytes) -> list[int]:
+    """Whole-number sums over the pixels of a strip: those of any cut of a raster add up to the raster's."""
+    gray = _gray(width, channels, data)
+    across = _mirrored(-2, int(width) + 2, int(width))
+    around = gray[_mirrored(int(first) - 2, int(last) + 2, int(height)) - int(top)][:, across].astype(np.int32)
+    own = around[2:-2, 2:-2]
     return [
-        gray.shape[1],
-        gray.shape[0],
-        float(gray.mean()),
-        float(gray.std()),
-        float(_laplacian(gray).var()),
-        float((gray.astype(np.int64) - _blurred(gray)).std()),
-        float((gray > PAPER_GRAY).mean()),
-        float((gray < INK_GRAY).mean()),
-        _histogram(gray),
+        own.size, *_powers(own), *_powers(_laplacian(around)), *_powers(own - _blurred(around)),
+        int((own > PAPER_GRAY).sum()), int((own < INK_GRAY).sum()), *_bins(own),
     ]
 
 
-def raster_stats(images: DataFrame, keys: list[str], image: str = "image") -> DataFrame:
-    """Statistics of each raster; null throughout for one that could not be decoded.
+def _bin_names(tag: str) -> list[str]:
+    return [f"__{tag}_{i}" for i in range(HISTOGRAM_BINS)]
+
+
+def _shares(tag: str) -> Column:
+    """Histogram from summed bins; null without pixels."""
+    counts = F.array(*[F.round(F.col(c) / F.col("__n"), 6) for c in _bin_names(tag)])
+    return F.when(F.col("__n") > 0, counts)
+
+
+def _variance(tag: str) -> Column:
+    """Population variance from exact sums: only the last division rounds."""
+    n, s1, s2 = (F.col(c).cast("decimal(19,0)") for c in ("__n", f"__{tag}1", f"__{tag}2"))
+    return F.when(F.col("__n") > 0, (n * s2 - s1 * s1).cast("double") / F.col("__n") / F.col("__n"))
 
-    Each image is handled on its own inside the map task: no shuffle.
-    """
-    flat = images.select(*keys, *[F.col(f"{image}.{f}").alias(f"__{f}") for f in ("height", "width", "nChannels", "data")])
-    names = [f.name for f in T.StructType.fromDDL(STATS_FIELDS).fields]
+
+def _sums(strips: DataFrame, keys: list[str], names: list[str], measure: Callable, inputs: list[str]) -> DataFrame:
+    """Rows of ``names``, one for each strip, by ``measure`` over ``inputs``; zeros where it gives nothing."""
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                _statistics(_gray(h, w, c, d))
-                for h, w, c, d in zip(batch["__height"], batch["__width"], batch["__nChannels"], batch["__data"])
-            ]
-            stats = pd.DataFrame(rows, columns=names)
-            for whole in ("width_px", "height_px"):
-                stats[whole] = stats[whole].astype("Int32")
-            yield pd.concat([batch[keys].reset_index(drop=True), stats], axis=1)
+            rows = [measure(*values) or [0] * len(names) for values in zip(*[batch[c] for c in inputs])]
+            yield pd.concat([batch[kept].reset_index(drop=True), pd.DataFrame(rows, columns=names, dtype="int64")], axis=1)
+
+    kept = [*keys, "__height", "__width"]
+    for c in ("__height", "__width"):
+        strips = strips.withColumn(c, F.col(c).cast("double"))
+    schema = T.StructType([strips.schema[k] for k in kept] + [T.StructField(n, T.LongType()) for n in names])
+    return strips.mapInPandas(compute, schema)
+
+
+def raster_stats(images: DataFrame, keys: list[str], image: str = "image", spread: bool = False) -> DataFrame:
+    """Statistics of each raster; null throughout for one that could not be decoded.
 
-    schema = T.StructType([flat.schema[k] for k in keys] + T.StructType.fromDDL(STATS_FIELDS).fields)
-    return flat.mapInPandas(compute, schema).withColumn("histogram", _shares("histogram"))
+    Rasters are measured in strips of about STRIP_PIXELS pixels with two rows around them. Strips give whole-number sums, which
+    are combined in their task before the shuffle: one row of numbers for each raster, and results do not depend on the cut.
+    ``spread`` deals the strips of each raster over the tasks first, for few and very large pages. ``keys`` name one raster;
+    repeated rows of one count as one.
+    """
+    strips = _strips(images, keys, image, border=2)
+    if spread:
+        strips = strips.repartition(*keys, "__strip")
+    names = ["__n", "__g1", "__g2", "__l1", "__l2", "__r1", "__r2", "__paper", "__ink", *_bin_names("h")]
+
+    def measure(height, width, channels, first, last, top, data) -> list[int] | None:
+        return None if data is None else _moments(height, width, channels, first, last, top, data)
+
+    inputs = ["__height", "__width", "__channels", "__first", "__last", "__top", "__data"]
+    total = _sums(strips, keys, names, measure, inputs).groupBy(*keys).agg(
+        F.max("__height").cast("int").alias("height_px"), F.max("__width").cast("int").alias("width_px"), *[F.sum(n).alias(n) for n in names]
+    )
+
+    def share(name: str) -> Column:
+        return F.when(F.col("__n") > 0, F.col(name) / F.col("__n"))
+
+    return total.select(
+        *keys, "width_px", "height_px", share("__g1").alias("mean_gray"), F.sqrt(_variance("g")).alias("std_gray"),
+        _variance("l").alias("laplacian_variance"), F.sqrt(_variance("r")).alias("noise_std"),
+        share("__paper").alias("paper_share"), share("__ink").alias("ink_share"), _shares("h").alias("histogram"),
+    )
 
 
 def page_profile(stats: DataFrame, lenient: bool = False) -> DataFrame:
@@ -131,44 +178,64 @@ def page_flags(stats: DataFrame) -> DataFrame:
     ).withColumn("is_washed", S.is_washed(F.col("mean_gray"), F.col("std_gray")))
 
 
-def _report(before: np.ndarray | None, after: np.ndarray | None) -> list:
-    if before is None or after is None or before.shape != after.shape:
-        return [None] * 6
-    diff = after.astype(np.int64) - before
-    paper, ink = before >= PAPER_GRAY, before < INK_GRAY
-    return [
-        float((np.abs(diff) >= 1).mean()),
-        float(diff[paper].mean()) if paper.any() else 0.0,
-        float(diff[ink].mean()) if ink.any() else 0.0,
-        float(diff.mean()),
-        _histogram(before),
-        _histogram(after),
-    ]
+def _gray_strips(images: DataFrame, keys: list[str], image: str) -> DataFrame:
+    """``(keys, __strip, __height, __width, __gray)``: a third of the bytes of a colour raster, made where the raster lies."""
+    strips = _strips(images, keys, image).select(*keys, "__strip", "__height", "__width", "__channels", "__data")
 
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = zip(batch["__width"], batch["__channels"], batch["__data"])
+            batch["__gray"] = [None if d is None else _gray(w, c, d).tobytes() for w, c, d in parts]
+            for c in ("__height", "__width"):
+                batch[c] = batch[c].astype("Int32")
+            yield batch.drop(columns=["__channels", "__data"])
 
-def enhancement_report(before: DataFrame, after: DataFrame, keys: list[str], image: str = "image") -> DataFrame:
-    """What changed between two rasters of a page; null for different sizes or unreadable files."""
-    parts = ("height", "width", "nChannels", "data")
+    schema = T.StructType([f for f in strips.schema.fields if f.name not in ("__channels", "__data")] + [T.StructField("__gray", T.BinaryType())])
+    return strips.mapInPandas(compute, schema)
 
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*keys, *[F.col(f"{image}.{f}").alias(f"__{tag}_{f}") for f in parts])
 
-    joined = side(before, "a").join(side(after, "b"), keys)
-    names = [f.name for f in T.StructType.fromDDL(REPORT_FIELDS).fields]
+def _changes(before: bytes | None, after: bytes | None) -> list[int] | None:
+    """Whole-number sums over the pixels of two strips of one shape."""
+    if before is None or after is None:
+        return None
+    old, new = (np.frombuffer(d, dtype=np.uint8) for d in (before, after))
+    diff = new.astype(np.int32) - old
+    paper, ink = old >= PAPER_GRAY, old < INK_GRAY
+    tones = [int(v) for mask in (paper, ink) for v in (mask.sum(), diff[mask].sum(dtype=np.int64))]
+    return [old.size, int((diff != 0).sum()), *tones, int(diff.sum(dtype=np.int64)), *_bins(old), *_bins(new)]
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sides = [zip(*[batch[f"__{tag}_{f}"] for f in parts]) for tag in ("a", "b")]
-            rows = [_report(_gray(*a), _gray(*b)) for a, b in zip(*sides)]
-            yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-
-    schema = T.StructType([joined.schema[k] for k in keys] + T.StructType.fromDDL(REPORT_FIELDS).fields)
-    digits = {"pct_pixels_changed": 4, "paper_lift": 2, "ink_deepen": 2, "mean_shift": 2}
-    return joined.mapInPandas(compute, schema).withColumns(
-        {
-            **{name: F.round(name, n) for name, n in digits.items()},
-            **{name: _shares(name) for name in ("hist_before", "hist_after")},
-        }
+
+def enhancement_report(before: DataFrame, after: DataFrame, keys: list[str], image: str = "image") -> DataFrame:
+    """What changed between two rasters of a page; null for different sizes or unreadable files.
+
+    Both sides become gray in strips where they lie; gray strips meet by key and strip number, and their sums by key. ``keys``
+    name one raster on each side.
+    """
+    size = ["__height", "__width"]
+    sides = [
+        _gray_strips(df, keys, image).select(*keys, "__strip", *[F.col(c).alias(c + tag) for c in (*size, "__gray")])
+        for df, tag in ((before, ""), (after, "_after"))
+    ]
+    # Every raster has a strip 0, so a page of two sizes meets at least there.
+    differ = ~(F.col("__height").eqNullSafe(F.col("__height_after")) & F.col("__width").eqNullSafe(F.col("__width_after")))
+    joined = sides[0].join(sides[1], [*keys, "__strip"]).withColumn("__other", differ)
+    # A size of -1 marks the strips of a page that cannot be compared.
+    marked = joined.withColumns({c: F.when(F.col("__other"), F.lit(-1)).otherwise(F.col(c)) for c in size}).withColumn(
+        "__gray_after", F.when(~F.col("__other"), F.col("__gray_after"))
+    )
+    names = ["__n", "__changed", "__paper", "__lift", "__ink", "__deepen", "__shift", *_bin_names("a"), *_bin_names("b")]
+    total = _sums(marked, keys, names, _changes, ["__gray", "__gray_after"]).groupBy(*keys).agg(
+        F.min("__height").alias("__height"), *[F.sum(n).alias(n) for n in names]
+    ).withColumn("__n", F.when(F.col("__height") > 0, F.col("__n")))
+
+    def mean(value: str, count: str, digits: int) -> Column:
+        share = F.when(F.col(count) > 0, F.col(value) / F.col(count)).otherwise(0.0)
+        return F.when(F.col("__n") > 0, F.round(share, digits))
+
+    return total.select(
+        *keys, mean("__changed", "__n", 4).alias("pct_pixels_changed"), mean("__lift", "__paper", 2).alias("paper_lift"),
+        mean("__deepen", "__ink", 2).alias("ink_deepen"), mean("__shift", "__n", 2).alias("mean_shift"),
+        _shares("a").alias("hist_before"), _shares("b").alias("hist_after"),
     )
 
 

@@ -340,7 +340,21 @@ def a11(spark, sf):
     return stats.select("doc_id", F.posexplode_outer("histogram").alias("bin", "share")).where("share > 0")
 
 
-@query("q_q4_page_profile")
+sql_view(
+    "i_stats",
+    f"""SELECT p.*, l.laplacian_variance, n.noise_std FROM (SELECT doc_id, max(h) AS h, avg(g) AS mean_gray, stddev_pop(g) AS std_gray FROM i_px GROUP BY doc_id) p
+      JOIN (SELECT doc_id, var_pop(v) AS laplacian_variance FROM i_lap GROUP BY doc_id) l USING (doc_id)
+      JOIN (SELECT doc_id, stddev_pop(v) AS noise_std FROM i_res GROUP BY doc_id) n USING (doc_id)""",
+    "i_px", "i_lap", "i_res",
+)
+
+
+@query(
+    "q_q4_page_profile",
+    cte("i_stats") + f""", scored AS (SELECT doc_id, {_qs_sql((50.0, 1300.0), (20.0, 82.0), (2.0, 20.0), _STRICT_B)}, {_W} AS width_px, CAST(h AS INT) AS height_px,
+        {rnd('mean_gray', 2)} AS mean_gray, {rnd('std_gray', 2)} AS std_gray, {rnd('laplacian_variance', 2)} AS laplacian_variance FROM i_stats)
+      SELECT * FROM (SELECT doc_id FROM documents) LEFT JOIN scored USING (doc_id)""",
+)
 def q4(spark, sf):
     p = Q.page_profile(Q.raster_stats(_rasters(spark, sf), ["doc_id"]))
     return p.select("doc_id", "qs_metrics.*", "image_params.*")
@@ -357,7 +371,16 @@ def q5(spark, sf):
     return flags.select("doc_id", "is_clean", "is_washed")
 
 
-sql_view("i_after", _pixels_sql("replace(text, 'e', 'E')"))
+# Short texts gain a row of pixels, so that both sides of their pages differ in size.
+_SHORT = 400
+_AFTER_SQL = f"replace(text, 'e', 'E') || CASE WHEN length(text) < {_SHORT} THEN repeat('x', {_W}) ELSE '' END"
+sql_view("i_after", _pixels_sql(_AFTER_SQL))
+
+
+def _report(spark, sf):
+    longer = F.when(F.length("text") < _SHORT, F.lit("x" * _W)).otherwise("")
+    after = F.concat(F.replace("text", F.lit("e"), F.lit("E")), longer)
+    return Q.enhancement_report(_rasters(spark, sf), _rasters(spark, sf, after), ["doc_id"])
 
 
 @query(
@@ -367,5 +390,17 @@ sql_view("i_after", _pixels_sql("replace(text, 'e', 'E')"))
       SELECT d.doc_id, {rnd('changed', 4)} AS pct_pixels_changed, {rnd('lift', 2)} AS paper_lift, {rnd('deepen', 2)} AS ink_deepen, {rnd('shift', 2)} AS mean_shift FROM documents d LEFT JOIN rep USING (doc_id)""",
 )
 def q6(spark, sf):
-    report = Q.enhancement_report(_rasters(spark, sf), _rasters(spark, sf, F.replace("text", F.lit("e"), F.lit("E"))), ["doc_id"])
-    return report.select("doc_id", "pct_pixels_changed", "paper_lift", "ink_deepen", "mean_shift")
+    return _report(spark, sf).select("doc_id", "pct_pixels_changed", "paper_lift", "ink_deepen", "mean_shift")
+
+
+@query(
+    "q_q6_histograms",
+    cte("i_px", "i_after") + f""", sizes AS (SELECT doc_id, h FROM i_px INTERSECT SELECT doc_id, h FROM i_after),
+      old AS (SELECT doc_id, g // 16 AS bin, count(*) AS n FROM i_px GROUP BY ALL), new AS (SELECT doc_id, g // 16 AS bin, count(*) AS n FROM i_after GROUP BY ALL)
+      SELECT s.doc_id, CAST(b.bin AS INT) AS bin, {rnd(f'coalesce(old.n, 0) / CAST(s.h * {_W} AS DOUBLE)', 6)} AS share_before, {rnd(f'coalesce(new.n, 0) / CAST(s.h * {_W} AS DOUBLE)', 6)} AS share_after
+      FROM sizes s JOIN range(16) b(bin) ON true LEFT JOIN old ON old.doc_id = s.doc_id AND old.bin = b.bin LEFT JOIN new ON new.doc_id = s.doc_id AND new.bin = b.bin""",
+)
+def q6_histograms(spark, sf):
+    both = F.arrays_zip("hist_before", "hist_after")
+    bins = _report(spark, sf).select("doc_id", F.posexplode(both).alias("bin", "shares"))
+    return bins.select("doc_id", "bin", F.col("shares.hist_before").alias("share_before"), F.col("shares.hist_after").alias("share_after"))
