@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from quire.operators.skew import SALTS
 # Fixed values.
 CONTEXT_CHARS = 30_000
 LAST_TURNS = 20
+SEPARATOR = "\n\n"
 TRIM_NOTE = "\n\n[...content trimmed for length...]\n\n"
 
 
@@ -24,51 +25,61 @@ def chat_page_text(use_english: bool = True) -> Column:
     return F.coalesce(english, native)
 
 
-def _outer_pages(blocks: DataFrame, half: int, newest: bool) -> DataFrame:
-    """The pages that can reach into one outer half of the context.
+def _ends(blocks: DataFrame, by: Sequence[str], half: int) -> DataFrame:
+    """Blocks that reach into one outer half of the joined blocks of ``by``: adds ``__before`` and ``__after``, the characters around.
 
-    Each used page takes at least its heading and a separator, which bounds their
-    number; the limit is applied before the shuffle, per salt, then per document.
+    Positions among a part of the pages are never beyond those among all, so a block left out of its part is out of the whole.
     """
-    limit = half // len("--- PAGE 1 ---\nx\n\n") + 1
-    order = F.desc("page_index") if newest else F.asc("page_index")
-    salt = F.pmod(F.xxhash64("page_index"), F.lit(SALTS)).alias("__salt")
-    near = blocks.select("*", salt).withColumn("__r", F.row_number().over(Window.partitionBy("document_id", "__salt").orderBy(order)))
-    near = near.where(F.col("__r") <= limit).drop("__r")
-    near = near.withColumn("__r", F.row_number().over(Window.partitionBy("document_id").orderBy(order)))
-    cut = F.right("__block", F.lit(half)) if newest else F.left("__block", F.lit(half))
-    parts = F.array_sort(F.collect_list(F.struct("page_index", cut.alias("t"))))
-    text = F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n")
-    side = F.right(text, F.lit(half)) if newest else F.left(text, F.lit(half))
-    return near.where(F.col("__r") <= limit).groupBy("document_id").agg(side.alias("__tail" if newest else "__head"))
+    size = F.col("__len") + F.lit(len(SEPARATOR))
+    upto = Window.partitionBy(*by).orderBy("page_index", "__cut").rowsBetween(Window.unboundedPreceding, 0)
+    placed = blocks.withColumn("__before", F.sum(size).over(upto) - size)
+    placed = placed.withColumn("__after", F.sum(size).over(Window.partitionBy(*by)) - F.col("__before") - size)
+    return placed.where((F.col("__before") < half) | (F.col("__after") < half))
 
 
 def chat_context(pages: DataFrame, use_english: bool = True, max_chars: int = CONTEXT_CHARS) -> DataFrame:
     """``(document_id, context, used_pages)``: page texts under their number, cut in the middle when long.
 
-    Only the pages that can show are ever gathered, so a document of any length costs
-    one bounded group.
+    Pages are read once and cut to what can show before they are dealt by document and salt. Each salt keeps the blocks of its
+    outer halves with its totals, and only those meet, so a document of any length is one bounded group.
     """
     half = max_chars // 2
     text = chat_page_text(use_english)
     body = F.concat(F.lit("--- PAGE "), (F.col("page_index") + 1).cast("string"), F.lit(" ---\n"), F.col("__text"))
+    cut = F.when(F.length("__block") > 2 * half, F.concat(F.left("__block", F.lit(half)), F.right("__block", F.lit(half)))).otherwise(F.col("__block"))
+    salt = F.pmod(F.xxhash64("page_index"), F.lit(SALTS))
     blocks = pages.select("document_id", "page_index", text.alias("__text")).where("__text is not null").select(
-        "document_id", "page_index", F.length(body).alias("__len"), body.alias("__block")
+        "document_id", "page_index", body.alias("__block")
+    ).select("document_id", "page_index", F.length("__block").cast("bigint").alias("__len"), cut.alias("__cut"), salt.alias("__salt"))
+    parts = ["document_id", "__salt"]
+    near = _ends(
+        blocks.withColumn("__total", F.sum("__len").over(Window.partitionBy(*parts))).withColumn("__pages", F.count(F.lit(1)).over(Window.partitionBy(*parts))),
+        parts, half,
     )
-    totals = blocks.groupBy("document_id").agg(
-        (F.sum("__len") + 2 * (F.count(F.lit(1)) - 1)).alias("__total"), F.count(F.lit(1)).alias("used_pages")
+    # The first block of a salt is always kept and carries its totals.
+    first = F.col("__before") == 0
+    near = near.withColumns({c: F.when(first, F.col(c)) for c in ("__total", "__pages")}).drop("__before", "__after")
+    whole = Window.partitionBy("document_id")
+    summed = near.withColumns({c: F.sum(c).over(whole) for c in ("__total", "__pages")})
+    gathered = _ends(summed, ["document_id"], half).groupBy("document_id").agg(
+        F.array_sort(F.collect_list(F.struct("page_index", "__cut", "__before", "__after"))).alias("__parts"),
+        (F.max("__total") + len(SEPARATOR) * (F.max("__pages") - 1)).alias("__total"), F.max("__pages").alias("used_pages"),
+    )
+
+    def side(place: str, end: Callable[[Column, Column], Column]) -> Column:
+        shown = F.transform(F.filter("__parts", lambda p: p[place] < half), lambda p: end(p["__cut"], F.lit(half)))
+        return end(F.array_join(shown, SEPARATOR), F.lit(half))
+
+    joined = gathered.select(
+        "document_id", "__total", "used_pages", side("__before", F.left).alias("__head"), side("__after", F.right).alias("__tail")
     )
-    head = _outer_pages(blocks, half, newest=False)
-    tail = _outer_pages(blocks, half, newest=True)
     # A context that fits is its first half followed by what the tail has beyond it.
     context = (
         F.when(F.col("__total") <= half, F.col("__head"))
         .when(F.col("__total") <= max_chars, F.concat(F.col("__head"), F.right("__tail", F.col("__total") - half)))
         .otherwise(F.concat(F.col("__head"), F.lit(TRIM_NOTE), F.col("__tail")))
     )
-    return totals.join(head, "document_id").join(tail, "document_id").select(
-        "document_id", context.alias("context"), "used_pages"
-    )
+    return joined.select("document_id", context.alias("context"), "used_pages")
 
 
 def last_turns(turns: DataFrame, keys: Sequence[str], order: str = "turn", n: int = LAST_TURNS) -> DataFrame:

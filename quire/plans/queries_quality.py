@@ -340,11 +340,16 @@ def a11(spark, sf):
     return stats.select("doc_id", F.posexplode_outer("histogram").alias("bin", "share")).where("share > 0")
 
 
+def _exact_variance(v: str) -> str:
+    """From whole-number sums: a running mean is off by some last digits, which shows where a value lies on a rounding tie."""
+    return f"CAST(count(*) * sum(CAST({v} AS HUGEINT) * {v}) - sum(CAST({v} AS HUGEINT)) * sum(CAST({v} AS HUGEINT)) AS DOUBLE) / count(*) / count(*)"
+
+
 sql_view(
     "i_stats",
-    f"""SELECT p.*, l.laplacian_variance, n.noise_std FROM (SELECT doc_id, max(h) AS h, avg(g) AS mean_gray, stddev_pop(g) AS std_gray FROM i_px GROUP BY doc_id) p
-      JOIN (SELECT doc_id, var_pop(v) AS laplacian_variance FROM i_lap GROUP BY doc_id) l USING (doc_id)
-      JOIN (SELECT doc_id, stddev_pop(v) AS noise_std FROM i_res GROUP BY doc_id) n USING (doc_id)""",
+    f"""SELECT p.*, l.laplacian_variance, n.noise_std FROM (SELECT doc_id, max(h) AS h, avg(g) AS mean_gray, sqrt({_exact_variance('g')}) AS std_gray FROM i_px GROUP BY doc_id) p
+      JOIN (SELECT doc_id, {_exact_variance('v')} AS laplacian_variance FROM i_lap GROUP BY doc_id) l USING (doc_id)
+      JOIN (SELECT doc_id, sqrt({_exact_variance('v')}) AS noise_std FROM i_res GROUP BY doc_id) n USING (doc_id)""",
     "i_px", "i_lap", "i_res",
 )
 

@@ -24,6 +24,7 @@ from quire.plans.registry import (
 from quire.session import checkpoint_dir
 from quire.sources import tables as B
 from quire.sources.keyed import KeyedTable
+from quire.sources.progress import read_progress_log, stream_progress_log
 from quire.streaming import progress as R
 
 # --- tables ---------------------------------------------------------------------------
@@ -36,14 +37,8 @@ def s5(spark, sf):
 
 @query("q_k1_newest_first", cte("v_docs") + " SELECT document_id, row_number() OVER (ORDER BY created_at DESC, document_id DESC) AS place FROM v_docs")
 def k1(spark, sf):
-    # Places within one time are numbered apart; how many documents are newer comes from a running sum over the few times.
-    from pyspark.sql import Window
-
     docs = view(spark, sf, "v_docs").select("document_id", "created_at")
-    times = docs.groupBy("created_at").agg(F.count("*").alias("n"))
-    newer = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("created_at")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("created_at").orderBy(F.desc("document_id")))
-    return docs.join(times.select("created_at", newer.alias("newer")), "created_at").select("document_id", (F.col("newer") + within).cast("bigint").alias("place"))
+    return B.with_places(docs, F.desc("created_at"), F.desc("document_id")).select("document_id", "place")
 
 
 @query(
@@ -451,6 +446,47 @@ def r3(spark, sf):
     return done.withColumn("post_qs", F.round("post_qs", 6)).withColumn("initial_qs", F.round("initial_qs", 6))
 
 
+def _progress_log(spark, sf) -> str:
+    """The progress events as NDJSON files in the shared folder, each event followed by a blank line and a broken one."""
+    path = f"{checkpoint_dir(spark)}/progress-{uuid4().hex}"
+    line = F.to_json(F.struct("*"))
+    view(spark, sf, "v_progress").select(F.concat(line, F.lit("\n\n{"), line).alias("value")).write.text(path)
+    return path
+
+
+_LOG_SQL = cte("v_progress") + f" SELECT run_id, seq, document_id, phase, page_index, page_index_zero, pass, {rnd('post_qs', 6)} AS post_qs, message, enhanced_path FROM v_progress"
+_LOG = ("run_id", "seq", "document_id", "phase", "page_index", "page_index_zero", "pass", "post_qs", "message", "enhanced_path")
+
+
+@query("q_s13_read_progress_log", _LOG_SQL)
+def s13(spark, sf):
+    return read_progress_log(spark, _progress_log(spark, sf)).select(*_LOG).withColumn("post_qs", F.round("post_qs", 6))
+
+
+@query("q_r1_stream_progress_log", _LOG_SQL)
+def r1(spark, sf):
+    """The log as a stream, a few files at a time, written where a batch job reads it."""
+    log, out = _progress_log(spark, sf), f"{checkpoint_dir(spark)}/stream-{uuid4().hex}"
+    events = stream_progress_log(spark, log, max_files=2).select(*_LOG)
+    run = events.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return spark.read.parquet(out).withColumn("post_qs", F.round("post_qs", 6))
+
+
+# All passes of every page, in order; those behind the stop are marked.
+@query(
+    "q_r6_stall_monitor",
+    cte("v_passes") + f""", g AS (SELECT page_key, pass, max(qs) OVER w AS best, max(qs) OVER w - coalesce(max(qs) OVER (PARTITION BY page_key ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gain
+        FROM v_passes WINDOW w AS (PARTITION BY page_key ORDER BY pass)),
+      i AS (SELECT *, sum((gain >= 0.12)::INT) OVER (PARTITION BY page_key ORDER BY pass) AS island FROM g),
+      c AS (SELECT *, sum((gain < 0.12)::INT) OVER (PARTITION BY page_key, island ORDER BY pass) AS stall FROM i),
+      t AS (SELECT *, coalesce(bool_or(stall >= 2 OR best >= 90.0) OVER (PARTITION BY page_key ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM c)
+      SELECT page_key, CAST(pass AS INT) AS pass, {rnd('best', 6)} AS best_qs, CAST(stall AS INT) AS stall_count, stopped OR pass > 16 AS after_stop FROM t""",
+)
+def r6(spark, sf):
+    return R.stall_monitor(view(spark, sf, "v_passes"), target_qs=90.0).withColumn("best_qs", F.round("best_qs", 6))
+
+
 @query(
     "q_r4_run_outcomes",
     cte("v_progress") + """, f AS (SELECT run_id, min(seq) FILTER (WHERE phase = 'error') AS e, min(seq) FILTER (WHERE phase = 'document') AS d FROM v_progress GROUP BY run_id)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.scores import QS_STRUCT
 from quire.operators.ocr_runs import BOX_TYPE
 from quire.operators.pages import last_of
+from quire.session import checkpoint_dir
 
 SCORES = "map<string,double>"
 REPORT = (
@@ -53,6 +55,28 @@ def newest_first(docs: DataFrame) -> DataFrame:
     return docs.orderBy(F.desc("created_at"), F.desc("document_id"))
 
 
+def with_places(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """Adds the place of each row, from 1, in the order of all rows; ties stand in any order.
+
+    Rows are sorted over ranges and written to the shared folder with their number in their range, so the ranges are the same
+    for all that follows. The counts of the ranges, at most one for each shuffle partition, then give how many rows come
+    before a range. No task sees more than its range. Number the keys of a wide table and join the places to it.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/places-{uuid4().hex}"
+    # The id holds the number of the range above 33 bits, and that of the row in it below.
+    df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("__range", F.shiftright("__id", 33)).withColumn("__row", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranges = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("__range", "n"))).alias("r"))
+    start = F.struct(F.lit(0).cast("bigint").alias("rows"), F.array().cast("array<struct<range:bigint,before:bigint>>").alias("list"))
+    added = F.aggregate("r", start, lambda acc, r: F.struct(
+        (acc["rows"] + r["n"]).alias("rows"), F.concat(acc["list"], F.array(F.struct(r["__range"].alias("range"), acc["rows"].alias("before")))).alias("list")
+    ))
+    before = ranges.select(F.inline(added["list"]))
+    placed = rows.join(F.broadcast(before), F.col("__range") == F.col("range"))
+    return placed.select(*df.columns, (F.col("before") + F.col("__row") + 1).alias(name))
+
+
 def evolve_schema(df: DataFrame, target: T.StructType | str) -> DataFrame:
     """Add the columns of ``target`` (a schema or its DDL) that ``df`` lacks, as typed nulls; extra columns stay."""
     if isinstance(target, str):
