@@ -473,18 +473,19 @@ def r1(spark, sf):
     return spark.read.parquet(out).withColumn("post_qs", F.round("post_qs", 6))
 
 
-# All passes of every page, in order; those behind the stop are marked.
+# All passes of every page; those behind the stop are marked, those beyond the limit have no score.
 @query(
     "q_r6_stall_monitor",
     cte("v_passes") + f""", g AS (SELECT page_key, pass, max(qs) OVER w AS best, max(qs) OVER w - coalesce(max(qs) OVER (PARTITION BY page_key ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gain
-        FROM v_passes WINDOW w AS (PARTITION BY page_key ORDER BY pass)),
+        FROM v_passes WHERE pass <= 16 AND qs IS NOT NULL WINDOW w AS (PARTITION BY page_key ORDER BY pass)),
       i AS (SELECT *, sum((gain >= 0.12)::INT) OVER (PARTITION BY page_key ORDER BY pass) AS island FROM g),
       c AS (SELECT *, sum((gain < 0.12)::INT) OVER (PARTITION BY page_key, island ORDER BY pass) AS stall FROM i),
       t AS (SELECT *, coalesce(bool_or(stall >= 2 OR best >= 90.0) OVER (PARTITION BY page_key ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM c)
-      SELECT page_key, CAST(pass AS INT) AS pass, {rnd('best', 6)} AS best_qs, CAST(stall AS INT) AS stall_count, stopped OR pass > 16 AS after_stop FROM t""",
+      SELECT page_key, CAST(p.pass AS INT) AS pass, {rnd('best', 6)} AS best_qs, CAST(stall AS INT) AS stall_count, p.pass > 16 OR stopped AS after_stop
+      FROM v_passes p LEFT JOIN t USING (page_key, pass) WHERE p.qs IS NOT NULL""",
 )
 def r6(spark, sf):
-    return R.stall_monitor(view(spark, sf, "v_passes"), target_qs=90.0).withColumn("best_qs", F.round("best_qs", 6))
+    return R.stall_monitor(view(spark, sf, "v_passes"), target_qs=90.0).drop("seen").withColumn("best_qs", F.round("best_qs", 6))
 
 
 @query(

@@ -6,12 +6,13 @@ stream in update or complete mode.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quire.operators.selection import MAX_PASSES, MIN_GAIN, STALL_WINDOW
 from quire.operators.skew import salted_left_join
@@ -106,44 +107,80 @@ def page_board(events: DataFrame, pages: DataFrame, ended_runs: DataFrame | None
     return joined.join(per_page, ["document_id", "page_index"], "left").select("document_id", "page_index", status.alias("state"))
 
 
+class _StallProcessor(StatefulProcessor):
+    """Keeps the passes of a page, at most ``max_passes`` numbers, and walks them anew from the first one that changed."""
+
+    def __init__(self, keys: list[str], target_qs: float, min_gain: float, window: int, max_passes: int, start_qs: float, idle_ms: int | None):
+        self.keys, self.idle_ms = keys, idle_ms
+        self.target_qs, self.min_gain, self.window, self.max_passes, self.start_qs = target_qs, min_gain, window, max_passes, start_qs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.passes = handle.getMapState("passes", "pass int", "qs double", self.idle_ms)
+
+    def walk(self, passes: list[tuple[int, float]]) -> Iterator[tuple[int, float, int, bool]]:
+        best, stall, stopped = self.start_qs, 0, self.start_qs >= self.target_qs
+        for number, qs in passes:
+            gain = max(0.0, qs - best)
+            best = max(best, qs)
+            stall = stall + 1 if gain < self.min_gain else 0
+            yield number, best, stall, stopped
+            stopped = stopped or stall >= self.window or best >= self.target_qs
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows)).groupby("number")["qs"].max()
+        known = {int(k[0]): float(v[0]) for k, v in self.passes.iterator()} if self.passes.exists() else {}
+        changed = {}
+        for number, qs in arrived.items():
+            if number <= self.max_passes and qs > known.get(int(number), float("-inf")):
+                changed[int(number)] = float(qs)
+        known |= changed
+        # The whole of a live page is written again, so that all its passes are given up together.
+        for number, qs in (known if self.idle_ms else changed).items():
+            self.passes.updateValue((number,), (qs,))
+        out = [(*key, *r, len(known)) for r in self.walk(sorted(known.items())) if r[0] >= min(changed, default=self.max_passes + 1)]
+        yield self.table(out + [(*key, int(n), None, None, True, 0) for n in arrived.index if n > self.max_passes])
+
+    def table(self, rows: list[tuple]) -> pd.DataFrame:
+        columns = [*self.keys, "pass", "best_qs", "stall_count", "after_stop", "seen"]
+        kinds = {"pass": "int32", "best_qs": "float64", "stall_count": "Int32", "after_stop": "bool", "seen": "int32"}
+        return pd.DataFrame(rows, columns=columns).astype(kinds)
+
+    def fold(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """The same for a page whose passes are all there, each once."""
+        passes = sorted(zip(rows["number"].astype(int), rows["qs"].astype(float)))
+        return self.table([(*key, *r, len(passes)) for r in self.walk(passes)])
+
+    def close(self) -> None:
+        pass
+
+
 def stall_monitor(
     events: DataFrame, target_qs: float, min_gain: float = MIN_GAIN, stall_window: int = STALL_WINDOW,
-    max_passes: int = MAX_PASSES, start_qs: float = 0.0, idle_ms: int | None = None,
+    max_passes: int = MAX_PASSES, start_qs: float = 0.0, idle_ms: int | None = None, keys: Sequence[str] = ("page_key",),
 ) -> DataFrame:
-    """Stall count and stop flag per page as pass events arrive.
+    """Best score, stall count and stop flag per page as pass events arrive; a table of events gives the same rows.
+
+    The state of a page is its passes, so a late one corrects those behind it: they are given again, and of the rows of a pass
+    the one with the largest ``seen``, the number of known passes, holds. Repeated events change nothing; of two scores of one pass
+    the higher counts. The result so does not depend on the order of arrival. Passes beyond ``max_passes`` are not run: they
+    are marked ``after_stop``, without score, and leave no state. Events without a pass or a score are left out. ``start_qs`` is
+    the score before the first pass. With ``idle_ms`` the state of a page is given up when it has had no event for that long;
+    without, it lasts as long as the query. ``keys`` name a page, by one or several columns.
 
-    State per page is two numbers: best score and small gains in a row. Events of a page that arrive in one batch are taken
-    in pass order. ``start_qs`` is the score before the first pass; the last pass is number ``max_passes``. With ``idle_ms``
-    the state of a page is given up when it has had no event for that long; without, it lasts as long as the query.
+    Streams need ``spark.sql.streaming.stateStore.providerClass`` set to Spark's RocksDB provider, and with ``idle_ms`` a trigger
+    that goes on: state that runs out keeps ``availableNow`` from ending.
     """
-    key_type = events.schema["page_key"].dataType.simpleString()
-    window = max(2, stall_window)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best, stall, stopped = state.get if state.exists else (start_qs, 0, start_qs >= target_qs)
-        arrived = pd.concat(list(batches)).sort_values("pass")
-        rows = []
-        for number, qs in zip(arrived["pass"], arrived["qs"]):
-            gain = max(0.0, qs - best)
-            best = max(best, qs)
-            stall = stall + 1 if gain < min_gain else 0
-            rows.append((key[0], int(number), float(best), int(stall), bool(stopped or number > max_passes)))
-            stopped = stopped or stall >= window or best >= target_qs
-        state.update((float(best), int(stall), bool(stopped)))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=["page_key", "pass", "best_qs", "stall_count", "after_stop"])
-
-    return events.groupBy("page_key").applyInPandasWithState(
-        step,
-        f"page_key {key_type}, pass int, best_qs double, stall_count int, after_stop boolean",
-        "best double, stall int, stopped boolean",
-        "append",
-        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
-    )
+    by = [events.schema[k] for k in keys]
+    schema = T.StructType(by + T.StructType.fromDDL("pass int, best_qs double, stall_count int, after_stop boolean, seen int").fields)
+    usable = events.where("pass is not null and qs is not null and not isnan(qs)").select(*keys, F.col("pass").cast("int").alias("number"), F.col("qs").cast("double").alias("qs"))
+    processor = _StallProcessor(list(keys), target_qs, min_gain, max(2, stall_window), max_passes, start_qs, idle_ms)
+    if not events.isStreaming:
+        # All passes are known, so a table needs no state: one row for each pass, and at most ``max_passes`` of them to a group.
+        once = usable.groupBy(*keys, "number").agg(F.max("qs").alias("qs"))
+        known = once.where(F.col("number") <= max_passes).groupBy(*keys).applyInPandas(lambda key, rows: processor.fold(key, rows), schema)
+        beyond = [F.lit(None).cast("double").alias("best_qs"), F.lit(None).cast("int").alias("stall_count"), F.lit(True).alias("after_stop")]
+        return known.unionByName(once.where(F.col("number") > max_passes).select(*keys, F.col("number").alias("pass"), *beyond, F.lit(0).alias("seen")))
+    return usable.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if idle_ms else "None")
 
 
 def upsert_sink(path: str, epoch: int = 0):
