@@ -33,8 +33,10 @@ YEAR = r"(?U)\b(?:19|20)\d{2}\b"
 KEYWORD = r"(?U)\b[A-Z][a-zA-Z]{3,}\b"
 ASSEMBLY_DIGIT = r"(?iU)\b(\d{1,3})(?:st|nd|rd|th)?\s+(?:Legislative\s+)?Assembly\b"
 SESSION_DIGIT = r"(?iU)\bSession[-\s]*(\d{1,3})\b|\b(\d{1,3})(?:st|nd|rd|th)?\s+Session\b"
-ASSEMBLY_WORDS = r"(?iU)\b([A-Za-z\- ]+?)\s+(?:Legislative\s+)?Assembly\b"
-SESSION_WORDS = r"(?iU)\(?\s*([A-Za-z\- ]+?)\s+Session\s*\)?"
+# A phrase that fails from the head of its run of letters fails from every later place in it. So these begin only at the head of a
+# run, or where the last match ended: what they find is the same as without that, but a run is read once and not from each place.
+ASSEMBLY_WORDS = r"(?iU)(?:\G|(?<![A-Za-z\- ]))(?>[A-Za-z\- ]*?\b)([A-Za-z\- ]+?)\s+(?:Legislative\s+)?Assembly\b"
+SESSION_WORDS = r"(?iU)(?:\G|(?<![A-Za-z\- ])|(?=\()|(?= *[\s&&[^ ]]))\(?\s*([A-Za-z\- ]+?)\s+Session\s*\)?"
 ASSEMBLY_FILLER = r"(?iU)\b(the|hon\.?ble|honourable|honorable|of|state|mizoram|legislative)\b"
 SESSION_FILLER = r"(?iU)\b(the|of|hon\.?ble|honourable|honorable)\b"
 PART = r"(?iU)\bPart\s*-?\s*(I{1,3}|IV|V|1|2|3)\b"
