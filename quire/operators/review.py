@@ -171,12 +171,14 @@ def correct_ocr(docs: DataFrame, pages: DataFrame, requests: DataFrame, patches:
 def mean_abstract_cer(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """``(document_id, abstract_cer)``: mean over pages with a model text, else of the whole, else null.
 
-    Per-page rates are computed before the grouping; identical texts cost nothing.
+    Per-page rates are computed before the grouping; identical texts cost nothing. Whole texts are compared only where no
+    page gives a rate: a function in Python runs for all rows, so what it is not needed for goes to it as null.
     """
     has_model = F.coalesce(F.col("page_abstract"), F.lit("")) != ""
-    per_page = F.when(has_model, cer(F.col("corrected_page_abstract"), F.col("page_abstract")))
+    per_page = F.when(has_model, cer(F.when(has_model, F.col("corrected_page_abstract")), F.col("page_abstract")))
     means = pages.select("document_id", per_page.alias("__cer")).groupBy("document_id").agg(F.avg("__cer").alias("__mean"))
-    whole = F.when(F.coalesce(F.col("abstract"), F.lit("")) != "", cer_percent(F.col("corrected_abstract"), F.col("abstract")))
+    needed = F.col("__mean").isNull() & (F.coalesce(F.col("abstract"), F.lit("")) != "")
+    whole = F.when(needed, cer_percent(F.when(needed, F.col("corrected_abstract")), F.when(needed, F.col("abstract"))))
     return docs.join(means, "document_id", "left").select(
         "document_id", F.coalesce(F.round(F.col("__mean") * 100, 2), whole).alias("abstract_cer")
     )
@@ -211,8 +213,8 @@ def correct_abstract(docs: DataFrame, pages: DataFrame, requests: DataFrame, pat
             "corrected_overall_abstract": F.coalesce("__overall", "corrected_overall_abstract"),
         }
     ).select(*docs.columns)
-    rates = mean_abstract_cer(new_pages, interim).join(touched.distinct(), "document_id", "left_semi")
-    rates = rates.withColumnRenamed("abstract_cer", "__rate")
+    touched = touched.distinct()
+    rates = mean_abstract_cer(*[f.join(touched, "document_id", "left_semi") for f in (new_pages, interim)]).withColumnRenamed("abstract_cer", "__rate")
     new_docs = interim.join(rates, "document_id", "left").withColumn(
         "abstract_cer", F.coalesce("__rate", "abstract_cer")
     ).select(*docs.columns)
