@@ -145,10 +145,11 @@ class _StallProcessor(StatefulProcessor):
         kinds = {"pass": "int32", "best_qs": "float64", "stall_count": "Int32", "after_stop": "bool", "seen": "int32"}
         return pd.DataFrame(rows, columns=columns).astype(kinds)
 
-    def fold(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """The same for a page whose passes are all there, each once."""
-        passes = sorted(zip(rows["number"].astype(int), rows["qs"].astype(float)))
-        return self.table([(*key, *r, len(passes)) for r in self.walk(passes)])
+    def fold(self, numbers: pd.Series, scores: pd.Series) -> pd.Series:
+        """The same for pages whose passes are all there, each once and in order: a list of rows for each page."""
+        names = ("pass", "best_qs", "stall_count", "after_stop")
+        pages = ([(int(n), float(q)) for n, q in zip(*page)] for page in zip(numbers, scores))
+        return pd.Series([[dict(zip(names, r)) for r in self.walk(page)] for page in pages], dtype=object)
 
     def close(self) -> None:
         pass
@@ -175,9 +176,13 @@ def stall_monitor(
     usable = events.where("pass is not null and qs is not null and not isnan(qs)").select(*keys, F.col("pass").cast("int").alias("number"), F.col("qs").cast("double").alias("qs"))
     processor = _StallProcessor(list(keys), target_qs, min_gain, max(2, stall_window), max_passes, start_qs, idle_ms)
     if not events.isStreaming:
-        # All passes are known, so a table needs no state: one row for each pass, and at most ``max_passes`` of them to a group.
+        # All passes are known, so a table needs no state: one row for each pass, and at most ``max_passes`` of them to a page.
+        # A call of Python takes a batch of pages, since a call for each page costs far more than its few passes.
         once = usable.groupBy(*keys, "number").agg(F.max("qs").alias("qs"))
-        known = once.where(F.col("number") <= max_passes).groupBy(*keys).applyInPandas(lambda key, rows: processor.fold(key, rows), schema)
+        fold = F.pandas_udf(processor.fold, "array<struct<pass:int,best_qs:double,stall_count:int,after_stop:boolean>>")
+        paged = once.where(F.col("number") <= max_passes).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("number", "qs"))).alias("__passes"))
+        walked = paged.select(*keys, F.size("__passes").alias("seen"), F.explode_outer(fold("__passes.number", "__passes.qs")).alias("__row"))
+        known = walked.select(*keys, "__row.*", "seen")
         beyond = [F.lit(None).cast("double").alias("best_qs"), F.lit(None).cast("int").alias("stall_count"), F.lit(True).alias("after_stop")]
         return known.unionByName(once.where(F.col("number") > max_passes).select(*keys, F.col("number").alias("pass"), *beyond, F.lit(0).alias("seen")))
     return usable.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if idle_ms else "None")
