@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.dims import INDIC_LANGUAGES, STAGES, WORLD_LANGUAGES, supported_target, translation_languages
-from quire.functions.text import first_filled, strip_ws
+from quire.functions.text import first_filled, let, strip_ws
 from quire.operators import chat as H
 from quire.operators import ocr_runs as O
 from quire.operators import page_source as P
@@ -19,7 +19,7 @@ from quire.operators import summarize as Z
 from quire.operators import translate as L
 from quire.operators.skew import VOLUME_PAGES, fold_lists
 from quire.plans.registry import (
-    NL, NL2, NON_WS_SQL, WS_SQL, blank, cte, digest, digest_sql, filled, mean_sql, query, rnd, sql_view, strip, stripped, table, view,
+    NL, NL2, NON_WS_SQL, WS_SQL, blank, cte, digest, digest_sql, filled, mean_sql, query, rnd, rows_where, sql_view, strip, stripped, table, view,
 )
 from quire.session import checkpoint_dir
 from quire.sources import tables as B
@@ -276,8 +276,8 @@ def a6(spark, sf):
 @query("q_k5_first_words", cte("o_shown") + f" SELECT doc_id, CAST(count(*) AS INT) AS words, md5(string_agg({strip('word')}, '|' ORDER BY pos)) AS words_md5 FROM o_shown GROUP BY doc_id")
 def k5(spark, sf):
     shown = O.shown_words(O.usable_boxes(F.col("words")))
-    rows = _engine_words(spark, sf).select("doc_id", F.transform(shown, lambda b: b["text"]).alias("w"))
-    return rows.select("doc_id", F.size("w").alias("words"), F.md5(F.array_join("w", "|")).alias("words_md5")).where("words > 0")
+    row = let(F.transform(shown, lambda b: b["text"]), lambda w: F.struct(F.size(w).alias("words"), F.md5(F.array_join(w, "|")).alias("words_md5")))
+    return rows_where(_engine_words(spark, sf), ["doc_id"], row, lambda r: r["words"] > 0)
 
 
 def _garbage_sql(x: str) -> str:

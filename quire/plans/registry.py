@@ -379,6 +379,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def rows_where(df: DataFrame, keys, row, keep) -> DataFrame:
+    """Keys and the fields of the struct ``row`` where ``keep`` holds for it, each row computed once.
+
+    A plain filter is pushed below the projection, where it computes the whole row a second time.
+    """
+    kept = F.explode_outer(F.filter(F.array(row), keep)).alias("__row")
+    return df.select(*keys, kept).where("__row is not null").select(*keys, "__row.*")
+
+
 def digest(c) -> list:
     """A text column as digest and length: the whole text is compared, little is carried."""
     return [F.md5(c).alias("text_md5"), F.length(c).cast("bigint").alias("n_chars")]
@@ -390,5 +399,5 @@ def digest_sql(x: str) -> str:
 
 __all__ = [
     "QUERIES", "SQL", "ascii_words", "MARK_SQL", "NL", "NL2", "NON_WS_SQL", "WS_SQL", "blank", "cte", "digest", "digest_sql", "filled", "mean_sql",
-    "query", "rnd", "slices_sql", "sql_view", "squash", "strip", "strip_ws", "stripped", "table", "view",
+    "query", "rnd", "rows_where", "slices_sql", "sql_view", "squash", "strip", "strip_ws", "stripped", "table", "view",
 ]
