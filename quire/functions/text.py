@@ -53,7 +53,8 @@ def stripped_or_null(c: Column) -> Column:
 
 def squash_ws(c: Column) -> Column:
     """Trim, fold each whitespace run to one blank, lower-case."""
-    return F.lower(F.regexp_replace(strip_ws(c), f"{WS}+", " "))
+    # A run that is one blank already is not written again.
+    return F.lower(F.regexp_replace(strip_ws(c), f"{WS}{{2,}}|[{WS_CLASS}&&[^ ]]", " "))
 
 
 def head_tail(c: Column, limit: int, separator: str) -> Column:

@@ -29,6 +29,7 @@ KEYWORD_WEIGHT = 0.32
 SHARPNESS = 14.0
 MAX_DF_SHARE = 0.98
 UNKNOWN = "Unknown"
+MAX_NAMED_TERMS = 5000  # a larger vocabulary is left to the join alone
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -36,7 +37,7 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 def prepare_text(c: Column, max_chars: int | None = None) -> Column:
     """Text as the classifier reads it: all of it, or its two outer halves where ``max_chars`` is given (``MAX_CHARS`` as published)."""
     squashed = squash_ws(F.coalesce(c, F.lit("")))
-    return strip_ws(head_tail(squashed, max_chars, " ") if max_chars else squashed)
+    return strip_ws(head_tail(squashed, max_chars, " ")) if max_chars else squashed
 
 
 def unigrams(prepared: Column) -> Column:
@@ -93,10 +94,24 @@ def keyword_intent(prepared: Column, hints: list[str]) -> Column:
     return F.least(F.lit(1.0), hits / F.lit(max(4.0, 0.35 * len(hints))))
 
 
+def keyword_intents(prepared: Column, hint_lists: list[list[str]]) -> Column:
+    """``keyword_intent`` of each class, as one array.
+
+    The phrases are a constant that is walked, so the code does not grow with them; spelled out, it passes what Spark compiles.
+    """
+    phrases = [F.array(*[F.lit(h.lower()) for h in hints]).cast("array<string>") for hints in hint_lists]
+    classes = F.array(*[F.struct(p.alias("hints"), F.lit(max(4.0, 0.35 * len(hints))).alias("most")) for p, hints in zip(phrases, hint_lists)])
+    return F.transform(classes, lambda c: F.least(F.lit(1.0), F.size(F.filter(c["hints"], lambda h: F.contains(prepared, h))) / c["most"]))
+
+
+def counts_of(prepared: Column) -> Column:
+    """``array<struct<term, tf>>`` over 1-grams and 2-grams, by term."""
+    return sorted_runs(let(unigrams(prepared), lambda w: F.sort_array(with_bigrams(w))))
+
+
 def term_counts(pages: DataFrame, prepared: str, out: str = "terms") -> DataFrame:
     """Adds ``out``: ``array<struct<term, tf>>`` over 1-grams and 2-grams, in the row."""
-    words = unigrams(F.col(prepared))
-    return pages.withColumn(out, sorted_runs(let(words, lambda w: F.sort_array(with_bigrams(w)))))
+    return pages.withColumn(out, counts_of(F.col(prepared)))
 
 
 def _vocabulary(spark: SparkSession, t: Taxonomy) -> DataFrame:
@@ -117,12 +132,21 @@ def _vocabulary(spark: SparkSession, t: Taxonomy) -> DataFrame:
 
 def _matched_terms(pages: DataFrame, key: list[str], text: str, t: Taxonomy) -> DataFrame:
     """Terms a page shares with the taxonomy, plus one row with a null term for the page itself."""
-    counted = term_counts(pages.select(*key, prepare_text(F.col(text)).alias("__low")), "__low", "__terms").select(
+    vocabulary = {term for x in t.prototypes.values() for term in _grams(x)}
+
+    def measured(terms: Column) -> Column:
+        # The norm takes all terms; of a taxonomy that is small enough to be named, the others need not leave the row.
+        shared = F.filter(terms, lambda r: r["term"].isin(sorted(vocabulary))) if len(vocabulary) <= MAX_NAMED_TERMS else terms
+        norm = F.aggregate(terms, F.lit(0.0), lambda acc, r: acc + F.pow(_sublinear(r["tf"]), 2))
+        return F.struct(norm.alias("sum_sq"), shared.alias("terms"))
+
+    prepared = pages.select(*key, prepare_text(F.col(text)).alias("__low"))
+    counted = prepared.withColumn("__measured", let(counts_of(F.col("__low")), measured)).select(
         *key,
         (F.col("__low") != "").alias("has_text"),
-        F.array(*[keyword_intent(F.col("__low"), t.hints.get(c, [])) for c in t.classes]).alias("keyword"),
-        F.aggregate("__terms", F.lit(0.0), lambda acc, r: acc + F.pow(_sublinear(r["tf"]), 2)).alias("__sum_sq"),
-        "__terms",
+        keyword_intents(F.col("__low"), [t.hints.get(c, []) for c in t.classes]).alias("keyword"),
+        F.col("__measured.sum_sq").alias("__sum_sq"),
+        F.col("__measured.terms").alias("__terms"),
     )
     carrier = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("int").alias("tf")))
     exploded = counted.select("*", F.explode_outer(F.concat(carrier, F.col("__terms"))).alias("__t")).select(

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from quire.dims import CLASS_HINTS, CLASS_PROTOTYPES
 from quire.functions.model_json import clean_json, metatags, summary_answer
+from quire.functions.text import let
 from quire.operators import classify as C
 from quire.operators import review as V
-from quire.plans.registry import cte, digest, digest_sql, query, rnd, sql_view, squash, strip, view
+from quire.plans.registry import cte, digest, digest_sql, query, rnd, rows_where, sql_view, squash, strip, view
 
 KEY = ["document_id", "page_index"]
 _TOKEN_SQL = r"[\pL\pN_]{2,}"
@@ -93,12 +94,14 @@ def _similar(spark, sf):
 
 @query("q_c1_tokens", cte("c_tf") + " SELECT document_id, page_index, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens, md5(string_agg(term || ':' || CAST(tf AS VARCHAR), '|' ORDER BY term)) AS terms_md5 FROM c_tf GROUP BY document_id, page_index")
 def c1(spark, sf):
-    counted = C.term_counts(_pages(spark, sf).select(*KEY, C.prepare_text(F.col("ocr_text")).alias("low")), "low")
-    spelled = F.transform("terms", lambda t: F.concat(t["term"], F.lit(":"), t["tf"].cast("string")))
-    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + t["tf"])
-    return counted.select(
-        *KEY, F.size("terms").cast("bigint").alias("n_terms"), total.alias("n_tokens"), F.md5(F.array_join(spelled, "|")).alias("terms_md5")
-    ).where("n_terms > 0")
+    prepared = _pages(spark, sf).select(*KEY, C.prepare_text(F.col("ocr_text")).alias("low"))
+
+    def spelled(terms):
+        total = F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, t: a + t["tf"])
+        text = F.array_join(F.transform(terms, lambda t: F.concat(t["term"], F.lit(":"), t["tf"].cast("string"))), "|")
+        return F.struct(F.size(terms).cast("bigint").alias("n_terms"), total.alias("n_tokens"), F.md5(text).alias("terms_md5"))
+
+    return rows_where(C.term_counts(prepared, "low"), KEY, let(F.col("terms"), spelled), lambda r: r["n_terms"] > 0)
 
 
 @query("q_c2_page_norm", cte("c_page_w") + f" SELECT document_id, page_index, {rnd('sqrt(sum(w * w))', 6)} AS norm FROM c_page_w GROUP BY document_id, page_index")
@@ -114,7 +117,8 @@ def c3(spark, sf):
 
 @query("q_c4_keyword_intent", cte("c_kw") + f" SELECT document_id, page_index, CAST(class_pos AS INT) AS class_pos, {rnd('keyword', 6)} AS keyword FROM c_kw")
 def c4(spark, sf):
-    return _similar(spark, sf).select(*KEY, F.posexplode("keyword").alias("class_pos", "k")).select(*KEY, "class_pos", F.round("k", 6).alias("keyword"))
+    # The outer form: from the plain one a filter on the array is derived, which computes it once more, over the unspread scan.
+    return _similar(spark, sf).select(*KEY, F.posexplode_outer("keyword").alias("class_pos", "k")).select(*KEY, "class_pos", F.round("k", 6).alias("keyword"))
 
 
 @query("q_c5_fused", cte("c_comb") + f" SELECT document_id, page_index, CAST(class_pos AS INT) AS class_pos, {rnd('combined', 6)} AS combined FROM c_comb")

@@ -58,3 +58,45 @@ def test_whole_abstracts_are_compared_only_where_needed(spark, monkeypatch, tmp_
     requests = spark.createDataFrame([(1, None, "o"), (2, None, "o")], "document_id long, corrected_abstract string, corrected_overall_abstract string")
     got = {r["document_id"]: r["abstract_cer"] for r in review.correct_abstract(docs, pages, requests)[0].select("document_id", "abstract_cer").collect()}
     assert got == {1: 50.0, 2: 50.0, 3: None} and sorted(os.listdir(seen)) == ["pa", "wb"]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def documents(spark, tmp_path) -> str:
+    rows = [(i, ["The budget of the house", "", " \n ", "Gazette  notice\tof the house  the house"][i % 4]) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'x' AS source", "length(text) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_rows_are_computed_once(spark, tmp_path):
+    from quire.plans import all_queries
+
+    sf = documents(spark, tmp_path)
+    counted, intents, words = (all_queries()[0][n](spark, sf) for n in ("q_c1_tokens", "q_c4_keyword_intent", "q_k5_first_words"))
+    assert plan_of(counted).count("regexp_extract_all") == 1
+    assert plan_of(words).count("split(text") == 1
+    assert plan_of(intents).count("contains(") == 1
+    assert (counted.count(), intents.count(), words.count()) == (6, 144, 6)
+
+
+def test_only_terms_of_the_taxonomy_leave_the_row(spark):
+    from quire.operators import classify
+
+    pages = spark.createDataFrame([(1, "the gazette " + " ".join(f"w{i}" for i in range(500)))], "page long, text string")
+    matched = classify._matched_terms(pages, ["page"], "text", classify.Taxonomy())
+    assert " IN (" in plan_of(matched) or "INSET" in plan_of(matched)
+    assert matched.where("term is null").count() == 1 and matched.where("term = 'gazette'").count() > 0
+
+
+def test_stall_monitor_calls_python_for_batches_of_pages(spark):
+    from quire.streaming.progress import stall_monitor
+
+    rows = [(1, 1, 50.0), (1, 2, 50.05), (1, 3, 50.1), (1, 4, 70.0), (1, 17, 80.0), (2, 1, 95.0), (2, 2, 96.0), (None, 1, 10.0), (2, 1, 90.0)]
+    df = stall_monitor(spark.createDataFrame(rows, "page_key long, pass int, qs double"), target_qs=92.0)
+    assert "FlatMapGroupsInPandas" not in plan_of(df)
+    got = sorted(map(tuple, df.collect()), key=str)
+    assert got == sorted(
+        [(1, 1, 50.0, 0, False, 4), (1, 2, 50.05, 1, False, 4), (1, 3, 50.1, 2, False, 4), (1, 4, 70.0, 0, True, 4), (1, 17, None, None, True, 0),
+         (2, 1, 95.0, 0, False, 2), (2, 2, 96.0, 0, True, 2), (None, 1, 10.0, 0, False, 1)], key=str)
