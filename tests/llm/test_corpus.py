@@ -164,6 +164,28 @@ def test_remove_repeats_of_many_equal_rows(spark):
     assert got == {(7, 3000, 3000, 1): 4000, (8, 4000, 1000, 1): 1}
 
 
+def test_many_variants_under_one_anchor_take_little_memory():
+    import tracemalloc
+
+    from quire.llm.repeats import compare_runs
+
+    rng = np.random.default_rng(3)
+    text, held = rng.integers(97, 123, 655, np.uint8), []
+    for i in range(400):
+        own = text.copy()
+        own[rng.integers(0, 655, 2)] = 65 + i % 26
+        held.append((i, 7 * i, 256, own.tobytes()))
+    compare_runs(held[:2])
+    tracemalloc.start()
+    got = compare_runs(held, batch=1000).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20  # the windows themselves are 41 million bytes, and were held several times
+    count = Counter(body[p : p + 400] for _, _, n, body in held for p in range(n))
+    flags = {(i, start + p) for i, start, n, body in held for p in range(n) if count[body[p : p + 400]] > 1}
+    assert flags == {(r["row_key"], p) for r in got for p in range(r["start"], r["stop"] - 399)}
+
+
 def test_remove_repeats_of_other_lengths(spark):
     from quire.llm.repeats import remove_repeats
 
