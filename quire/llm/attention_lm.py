@@ -43,6 +43,7 @@ NEW, BACK = 16, 15
 WIDE = NEW + BACK
 DIM, CLASSES = 16, 48
 EPOCHS, BATCH, ROUNDS, RATE = 3, 512, 4, 0.01
+BLOCK = 256
 ID_BYTES = 1 << 19
 FILE_ROWS = 8000
 END_WORD = np.uint64(0x6E64)  # stands for the end token among word hashes
@@ -57,14 +58,17 @@ def doc_windows(ids: np.ndarray, rows: np.ndarray, start_id: int) -> tuple[np.nd
     n = np.diff(rows)
     count = -(-n // NEW)
     row = np.repeat(np.arange(len(n)), count)
-    first = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * NEW
-    # Input place p of a window is the id before target p - BACK; before the text stands the start symbol.
-    place = first[:, None] + np.arange(WIDE) - BACK - 1
-    inside = (place >= 0) & (place < n[row][:, None])
-    inputs = np.where(inside, ids[np.minimum(rows[row][:, None] + np.maximum(place, 0), max(len(ids) - 1, 0))], start_id)
-    target = first[:, None] + np.arange(NEW)
-    exists = target < n[row][:, None]
-    targets = ids[np.minimum(rows[row][:, None] + target, max(len(ids) - 1, 0))]
+    within = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    # All rows in one line, each behind start symbols and filled up with them to whole windows: input place p of a window is the
+    # id before target p - BACK.
+    lead = BACK + 1
+    line = np.full(len(row) * NEW + len(n) * lead + WIDE, start_id)
+    begin = (np.cumsum(count) - count) * NEW + np.arange(len(n)) * lead
+    line[np.arange(rows[-1] - rows[0]) + np.repeat(begin + lead - rows[:-1] + rows[0], n)] = ids[rows[0] : rows[-1]]
+    at = np.arange(len(row)) * NEW + row * lead
+    inputs = np.lib.stride_tricks.sliding_window_view(line, WIDE)[at]
+    exists = within[:, None] * NEW + np.arange(NEW) < n[row][:, None]
+    targets = np.minimum(np.lib.stride_tricks.sliding_window_view(line, NEW)[at + lead], start_id - 1)
     return inputs, targets, exists, row
 
 
@@ -126,10 +130,11 @@ def cluster(ids: np.ndarray, n_ids: int, classes: int, least: int = LEAST, conte
 
 def sum_by(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct numbers in ``index`` and the sums of their rows of ``values``."""
-    order = np.argsort(index.astype(np.uint16) if index.max() < 1 << 16 else index, kind="stable")
-    index = index[order]
+    index = index.astype(np.uint16) if index.max() < 1 << 16 else index
+    order = np.argsort(index, kind="stable")
+    index = index.take(order)
     start = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
-    return index[start], np.add.reduceat(values[order], start, axis=0)
+    return index[start], np.add.reduceat(values.take(order, 0), start, axis=0)
 
 
 class Attention:
@@ -161,31 +166,87 @@ class Attention:
         y /= y.sum(2, keepdims=True)
         return e, q, k, v, w, h, before, y
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray, exists: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Gradients, of the embedding only for the ids that are met; those ids; and the loss."""
-        p = self.p
-        e, q, k, v, w, h, before, y = self.forward(inputs)
-        want = self.of_id[targets]
-        n = max(int(exists.sum()), 1)
-        loss = -np.log(np.maximum(np.take_along_axis(y, want[..., None], 2)[..., 0], 1e-30))[exists].sum() / n
-        dz = y
-        np.put_along_axis(dz, want[..., None], np.take_along_axis(dz, want[..., None], 2) - 1, 2)
-        dz *= (exists / np.float32(n))[..., None].astype(np.float32)
-        g = {"out": h.reshape(-1, DIM).T @ dz.reshape(-1, dz.shape[2]), "pair": np.zeros_like(p["pair"])}
-        classes, sums = sum_by(before.ravel(), dz.reshape(-1, dz.shape[2]))
-        g["pair"][classes] = sums
-        dh = dz @ p["out"].T
-        dw, dv = dh @ v.transpose(0, 2, 1), w.transpose(0, 2, 1) @ dh
-        ds = w * (dw - (dw * w).sum(2, keepdims=True))
-        g["near"] = np.bincount(self.back.ravel(), (ds.sum(0) * ~self.ahead).ravel(), WIDE).astype(np.float32)
-        ds *= np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = lambda x: x.reshape(-1, DIM)
-        g |= {"q": flat(e[:, BACK:]).T @ flat(dq), "k": flat(e).T @ flat(dk), "v": flat(e).T @ flat(dv)}
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, BACK:] += dq @ p["q"].T + dh
-        met, g["embed"] = sum_by(inputs.ravel(), flat(de))
-        return g, met, float(loss)
+    def distinct(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids that are met, and the place of each input among them."""
+        here = np.zeros(self.start_id + 1, bool)
+        here[inputs] = True
+        met = np.flatnonzero(here)
+        place = np.empty(len(here), np.intp)
+        place[met] = np.arange(len(met))
+        return met, place.take(inputs)
+
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, exists: np.ndarray, block: int = BLOCK) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Gradients, of the embedding only for the ids that are met; those ids; and the loss.
+
+        What follows from an id alone is computed once an id; windows go in blocks that fit the processor's cache. No maximum is
+        taken out of small logits.
+        """
+        p, classes = self.p, self.p["out"].shape[1]
+        n = np.float32(max(int(exists.sum()), 1))
+        met, places = self.distinct(inputs)
+        e, scale = p["embed"].take(met, 0), np.float32(DIM**-0.5)
+        turn, side = p["q"] * scale, np.concatenate([p["k"], p["v"]], 1)
+        asks, gives = np.concatenate([e @ turn, e], 1), np.concatenate([e @ side, e], 1)
+        class_before = self.class_before.take(met).astype(np.uint8 if classes < 256 else np.int64)  # short numbers sort faster
+        want, share = self.of_id.take(targets), exists / n
+        bias = np.ascontiguousarray(np.where(self.ahead, np.float32(-1e4), p["near"][self.back]).T)
+        g = {k: np.zeros_like(p[k]) for k in ("q", "out", "pair")} | {"side": np.zeros_like(side), "near": np.zeros_like(bias)}
+        de = np.empty((*inputs.shape, DIM), np.float32)
+        many, width, kinds = (np.ones(m, np.float32) for m in (WIDE, DIM, classes))
+        flat = lambda x: x.reshape(-1, x.shape[-1])
+        turned = lambda x: np.ascontiguousarray(x.transpose(0, 2, 1))
+        near, loss = float(np.abs(p["near"]).max()), 0.0
+        for at in range(0, len(inputs), block):
+            x = places[at : at + block]
+            own, every = asks.take(x[:, BACK:], 0), gives.take(x, 0)
+            q, k, v = own[..., :DIM], every[..., :DIM], every[..., DIM : 2 * DIM]
+            w = k @ turned(q)
+            large = max(float(w.max()), -float(w.min())) + near > 60
+            w += bias
+            if large:
+                w -= w.max(1, keepdims=True)
+            np.exp(w, out=w)
+            w *= 1 / (many @ w)[:, None]
+            seen = w.transpose(0, 2, 1) @ v
+            # Places go in the order of the class before them, so that its weights are added to a stretch at a time.
+            before = class_before.take(x[:, BACK:]).ravel()
+            order, stops = np.argsort(before, kind="stable"), np.bincount(before, minlength=classes + 1).cumsum().tolist()
+            stretches = [(c, a, b) for c, (a, b) in enumerate(zip([0, *stops], stops)) if a < b]
+            h = flat(seen + own[..., DIM:]).take(order, 0)
+            z = h @ p["out"]
+            for c, a, b in stretches:
+                z[a:b] += p["pair"][c]
+            if z.max() > 60 or z.min() < -60:
+                z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            part, total = share[at : at + block].ravel().take(order), z @ kinds
+            hit = np.arange(len(z)) * classes + want[at : at + block].ravel().take(order)
+            loss -= float((np.log(np.maximum(z.ravel().take(hit) / total, 1e-30)) * part).sum(dtype=float))
+            z *= (part / total)[:, None]
+            z.reshape(-1)[hit] -= part
+            g["out"] += h.T @ z
+            for c, a, b in stretches:
+                g["pair"][c] += np.ones(b - a, np.float32) @ z[a:b]
+            dh = np.empty_like(h)
+            dh[order] = z @ p["out"].T
+            dh = dh.reshape(seen.shape)
+            d_side = np.empty((len(x), WIDE, 2 * DIM), np.float32)
+            np.matmul(w, dh, out=d_side[..., DIM:])
+            ds = v @ turned(dh)
+            ds -= ((dh * seen) @ width)[:, None]
+            ds *= w
+            g["near"] += ds.sum(0)
+            np.matmul(ds, q, out=d_side[..., :DIM])
+            dq = ds.transpose(0, 2, 1) @ k
+            g["side"] += flat(every[..., 2 * DIM :]).T @ flat(d_side)
+            g["q"] += flat(own[..., DIM:]).T @ flat(dq)
+            np.matmul(flat(d_side), side.T, out=flat(de[at : at + block]))
+            de[at : at + block, BACK:] += (flat(dq) @ turn.T).reshape(dh.shape) + dh
+        d_side = g.pop("side")
+        g |= {"q": g["q"] * scale, "k": d_side[:, :DIM], "v": d_side[:, DIM:]}
+        g["near"] = np.bincount(self.back.ravel(), (g["near"].T * ~self.ahead).ravel(), WIDE).astype(np.float32)
+        g["embed"] = sum_by(places.ravel(), flat(de))[1]
+        return g, met, loss
 
     def start(self) -> None:
         """Moments of Adam and the number of steps."""
@@ -612,6 +673,7 @@ def score_texts(docs: DataFrame, tokenizer: str, classes: int = CLASSES, file_ro
                     cells, at = text_buffer(part.column(4))
                     made = scorer(data, off, names[a], cells.view(kind).astype(np.int64), at // kind.itemsize)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, made)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            part = data = off = cells = batch = None  # the next batch comes before these names are used again
 
     scored = texts.select("doc_id", "held_out", "text", "chunk", "ids").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(int(total["n"])).cast("long"))

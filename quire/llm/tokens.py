@@ -9,10 +9,12 @@ remembers is bounded: it starts anew when it is full.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from quire.llm.arrays import prefix_hash, range_hash
 
@@ -26,8 +28,15 @@ _LOADED: dict[str, "Pieces"] = {}
 
 
 def forget() -> None:
-    """Frees what a worker remembers, for steps that encode no more."""
+    """Frees what a worker remembers, for steps that encode no more, and hands freed memory back to the system.
+
+    Without that, a worker keeps the pages of its earlier steps as long as it lives, beside what the step at hand needs.
+    """
     _LOADED.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 class Pieces:

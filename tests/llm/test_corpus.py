@@ -440,6 +440,62 @@ def test_attention_learns_from_every_training_row(spark, word_bpe):
     assert model.gradients(inputs, targets, exists)[-1] < first
 
 
+def test_gradients_are_those_of_the_loss_and_go_in_blocks():
+    import tracemalloc
+
+    from quire.llm.attention_lm import Attention, doc_windows
+
+    rng = np.random.default_rng(3)
+    ids, rows = rng.integers(0, 300, 64_000), np.array([0, 1, 1, 40, 64_000])
+    inputs, targets, exists, _ = doc_windows(ids, rows, 300)
+    large = inputs[:4000], targets[:4000], exists[:4000]
+    few = inputs[:6], targets[:6], exists[:6]
+    for spread in (1.0, 40.0):  # logits that are small, and too large for exp
+        model = Attention(300, rng.integers(0, 7, 300), 7)
+        for k in ("q", "k", "near", "out", "pair"):
+            model.p[k] += (rng.standard_normal(model.p[k].shape) * 0.1 * spread).astype(np.float32)
+        g, met, loss = model.gradients(*few, block=4)
+        assert met.tolist() == np.unique(few[0]).tolist()
+        model.p = {k: v.astype(float) for k, v in model.p.items()}
+
+        def plain() -> float:
+            y = np.take_along_axis(model.forward(few[0])[-1], model.of_id[few[1]][..., None], 2)[..., 0]
+            return -np.log(np.maximum(y, 1e-30))[few[2]].mean()
+
+        assert np.isclose(loss, plain(), rtol=1e-4)
+        for k in model.p:
+            whole = np.zeros(model.p[k].shape)
+            whole[met if k == "embed" else slice(None)] = g[k]
+            way, was = rng.standard_normal(whole.shape), model.p[k]
+            rise = []
+            for side in (1e-6, -1e-6):
+                model.p[k] = was + side * way
+                rise.append(plain())
+            model.p[k] = was
+            assert np.isclose((rise[0] - rise[1]) / 2e-6, (whole * way).sum(), rtol=1e-2, atol=1e-3 * np.linalg.norm(whole) + 1e-5), (k, spread)
+    model = Attention(300, rng.integers(0, 48, 300))
+    one, _, loss = model.gradients(*large, block=len(large[0]))
+    tracemalloc.start()
+    g, _, blocks = model.gradients(*large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000 * len(large[0]) and np.isclose(loss, blocks)  # all logits of a window alone are 3072 bytes, several times over
+    assert all(np.allclose(g[k], one[k], rtol=1e-3, atol=1e-7) for k in g)
+
+
+def test_forgetting_gives_memory_back(word_bpe):
+    from quire.llm.tokens import Pieces, forget
+
+    resident = lambda: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmRSS")) // 1024
+    before = resident()
+    held = [bytes(100_000) + bytes(1) for _ in range(1500)]
+    pin = held[-1]  # keeps the heap from shrinking by itself
+    del held
+    Pieces.load(word_bpe)
+    forget()
+    assert resident() - before < 100 and len(pin) == 100_001
+
+
 # Toxicity
 
 
