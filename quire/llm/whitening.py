@@ -102,12 +102,12 @@ def squared_singular_values(diagonal: np.ndarray, upper: np.ndarray) -> np.ndarr
     found: list[float] = []
     while open_:
         q, e, moved = open_.pop()
-        guess = 0.0
+        guess, slack = 0.0, 1.0
         while len(q):
             if len(q) == 1:
                 found.append(q[0] + moved)
                 break
-            small = e <= _EPS * _EPS * (moved + np.minimum(q[:-1], q[1:]))
+            small = e <= slack * _EPS * _EPS * (moved + np.minimum(q[:-1], q[1:]))
             if small[-1]:
                 found.append(q[-1] + moved)
                 q, e = q[:-1], e[:-1]
@@ -119,7 +119,7 @@ def squared_singular_values(diagonal: np.ndarray, upper: np.ndarray) -> np.ndarr
                 continue
             if 1.5 * q[0] < q[-1]:
                 q, e = q[::-1].copy(), e[::-1].copy()
-            shift = guess
+            shift, wanted = guess, guess
             while True:
                 fresh_q, fresh_e, least, where = _qd_step(q, e, shift)
                 if least >= 0:
@@ -127,6 +127,8 @@ def squared_singular_values(diagonal: np.ndarray, upper: np.ndarray) -> np.ndarr
                 bound = shift + least if where == len(q) - 1 else shift / 4
                 shift = bound * (1 - 4 * _EPS) if bound > 1e-12 * shift else 0.0
             q, e, moved, guess = fresh_q, fresh_e, moved + shift, max(least, 0.0)
+            # Between equal values no shift succeeds and a step without one changes nothing: differences of rounding are dropped.
+            slack = 1e4 if wanted and not shift else 1.0
     return np.sort(np.array(found))[::-1] * top * top
 
 

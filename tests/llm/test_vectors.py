@@ -157,6 +157,13 @@ def test_singular_values_and_vectors(seed, n, kind):
     assert np.allclose(a.T @ (a @ vectors), vectors * values, atol=1e-12 * max(true[0], 1e-300))
 
 
+def test_equal_singular_values_end():
+    from quire.llm.whitening import squared_singular_values
+
+    diagonal, upper = np.array([-3.0, 3.0, -3.0]), np.array([7.02166694e-16, 2.22044605e-15])
+    assert np.allclose(squared_singular_values(diagonal, upper), 9, rtol=1e-14)
+
+
 def test_dqds_keeps_small_values_accurate():
     from quire.llm.whitening import squared_singular_values
 
