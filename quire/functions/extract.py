@@ -9,10 +9,12 @@ from quire.dims import ORDINAL_WORDS
 from quire.functions.text import NON_WS, let, strip_ws
 
 # --- fixed values: patterns and word lists ------------------------------------
-EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
-PHONE = r"(?U)(?:\+?\d{1,3}[\s.-]?)?\(?\d{3,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}"
+# Patterns are tried at every place of a text, so each tells first, at the cost of one character, where it cannot begin. An address
+# begins only at the head of its run of letters, or where the last match ended: from a later place it would from there too.
+EMAIL = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+PHONE = r"(?U)(?=[+(\d])(?:\+?\d{1,3}[\s.-]?)?\(?\d{3,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}"
 URL = r"(?U)https?://[^\s<>\"]+"
-MONEY = r"(?iU)(?:USD|EUR|GBP|INR|\$|€|£|₹)\s?\d{1,3}(?:[,\s]\d{3})*(?:\.\d{1,2})?"
+MONEY = r"(?iU)(?=[UEGI$€£₹])(?:USD|EUR|GBP|INR|\$|€|£|₹)\s?\d{1,3}(?:[,\s]\d{3})*(?:\.\d{1,2})?"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MONTH_NAMES = [
     "january", "february", "march", "april", "may", "june",
@@ -21,25 +23,25 @@ MONTH_NAMES = [
 _MON = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 _ORD = "(?:st|nd|rd|th)?"
 DATE = (
-    r"(?iU)\b(?:"
+    r"(?iU)(?=[\dJFMASOND])\b(?:"
     r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
     r"|\d{4}[/-]\d{1,2}[/-]\d{1,2}"
     rf"|\d{{1,2}}{_ORD}\s+{_MON},?\s+\d{{2,4}}"
     rf"|{_MON}\s+\d{{1,2}}{_ORD},?\s+\d{{2,4}}"
     r")\b"
 )
-IDENTIFIER = r"(?iU)\b(?:INV|PO|REF|ID|NO|#)[\s:#-]*([A-Z0-9-]{4,})\b"
-YEAR = r"(?U)\b(?:19|20)\d{2}\b"
-KEYWORD = r"(?U)\b[A-Z][a-zA-Z]{3,}\b"
-ASSEMBLY_DIGIT = r"(?iU)\b(\d{1,3})(?:st|nd|rd|th)?\s+(?:Legislative\s+)?Assembly\b"
-SESSION_DIGIT = r"(?iU)\bSession[-\s]*(\d{1,3})\b|\b(\d{1,3})(?:st|nd|rd|th)?\s+Session\b"
+IDENTIFIER = r"(?iU)(?=[IPRN#])\b(?:INV|PO|REF|ID|NO|#)[\s:#-]*([A-Z0-9-]{4,})\b"
+YEAR = r"(?U)(?=[12])\b(?:19|20)\d{2}\b"
+KEYWORD = r"(?U)(?=[A-Z])\b[A-Z][a-zA-Z]{3,}\b"
+ASSEMBLY_DIGIT = r"(?iU)(?=\d)\b(\d{1,3})(?:st|nd|rd|th)?\s+(?:Legislative\s+)?Assembly\b"
+SESSION_DIGIT = r"(?iU)(?=[S\d])(?:\bSession[-\s]*(\d{1,3})\b|\b(\d{1,3})(?:st|nd|rd|th)?\s+Session\b)"
 # A phrase that fails from the head of its run of letters fails from every later place in it. So these begin only at the head of a
 # run, or where the last match ended: what they find is the same as without that, but a run is read once and not from each place.
 ASSEMBLY_WORDS = r"(?iU)(?:\G|(?<![A-Za-z\- ]))(?>[A-Za-z\- ]*?\b)([A-Za-z\- ]+?)\s+(?:Legislative\s+)?Assembly\b"
 SESSION_WORDS = r"(?iU)(?:\G|(?<![A-Za-z\- ])|(?=\()|(?= *[\s&&[^ ]]))\(?\s*([A-Za-z\- ]+?)\s+Session\s*\)?"
 ASSEMBLY_FILLER = r"(?iU)\b(the|hon\.?ble|honourable|honorable|of|state|mizoram|legislative)\b"
 SESSION_FILLER = r"(?iU)\b(the|of|hon\.?ble|honourable|honorable)\b"
-PART = r"(?iU)\bPart\s*-?\s*(I{1,3}|IV|V|1|2|3)\b"
+PART = r"(?iU)(?=P)\bPart\s*-?\s*(I{1,3}|IV|V|1|2|3)\b"
 PART_ROMAN = {"1": "I", "2": "II", "3": "III"}
 SELECT_ROMAN = ["i", "ii", "iii"]
 HEAD_CHARS = 8000
@@ -61,7 +63,7 @@ def _first(c: Column, pattern: str, group: int = 0) -> Column:
 
 def distinct_matches(c: Column, pattern: str, group: int = 0) -> Column:
     """Distinct matches in sorted order."""
-    return F.array_sort(F.array_distinct(_all(c, pattern, group)))
+    return F.sort_array(F.array_distinct(_all(c, pattern, group)))
 
 
 def emails(c: Column) -> Column:

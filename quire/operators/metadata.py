@@ -74,11 +74,11 @@ def keyword_list(text: Column, n: int = X.TOP_KEYWORDS) -> Column:
                 ),
             )
 
-        best = F.slice(F.array_sort(let(starts, runs)), 1, n)
+        best = F.slice(F.sort_array(let(starts, runs)), 1, n)
         return F.filter(F.transform(best, lambda k: k["term"]), lambda t: t.isNotNull())
 
     tagged = F.transform(X.keyword_tokens(text), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    return let(F.array_sort(tagged), ranked)
+    return let(F.sort_array(tagged), ranked)
 
 
 def class_fields(text: Column, doc_class: Column, taxonomy: Taxonomy | None = None, head_chars: int | None = None) -> Column:
@@ -169,9 +169,16 @@ def correct_metadata(docs: DataFrame, corrections: DataFrame) -> DataFrame:
         .alias("__new"),
         F.lit(True).alias("__hit"),
     )
-    return docs.join(cleaned, "document_id", "left").withColumn(
-        "index_metadata", F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("index_metadata"))
-    ).drop("__new", "__hit")
+    names = docs.schema["index_metadata"].dataType.names
+    if cleaned.schema["__new"].dataType.names != names:
+        corrected = F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("index_metadata"))
+    else:
+        # Each field on its own, so that fields that nobody reads go neither through the join nor are they made.
+        pick = lambda new, old: F.when(F.col("__hit"), new).otherwise(old)
+        corrected = F.when(pick(F.col("__new").isNotNull(), F.col("index_metadata").isNotNull()), F.struct(*[F.lit(None).alias(c) for c in names]))
+        for c in names:
+            corrected = corrected.withField(f"`{c}`", pick(F.col("__new")[c], F.col("index_metadata")[c]))
+    return docs.join(cleaned, "document_id", "left").withColumn("index_metadata", corrected).drop("__new", "__hit")
 
 
 def completion(schema: Column, fields: Column) -> Column:

@@ -1,6 +1,7 @@
 """Traps of page text, error rates, extraction and class values on literal rows."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -157,3 +158,70 @@ def test_metadata_of_empty_text(spark):
 def test_completion_without_schema(spark):
     r = one(spark, "x int", (1,), c=M.completion(F.lit(None).cast(M.SCHEMA_TYPE), F.create_map().cast("map<string,string>")))
     assert (r.c.filled, r.c.total, r.c.pct, r.c.missing) == (0, 0, 0, [])
+
+
+def test_guarded_patterns_find_what_plain_ones_find(spark):
+    """Patterns that tell by one character where they cannot begin, against the same ones without that."""
+    month = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
+    plain = {
+        X.EMAIL: (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0),
+        X.PHONE: (r"(?U)(?:\+?\d{1,3}[\s.-]?)?\(?\d{3,4}\)?[\s.-]?\d{3,4}[\s.-]?\d{3,4}", 0),
+        X.MONEY: (r"(?iU)(?:USD|EUR|GBP|INR|\$|€|£|₹)\s?\d{1,3}(?:[,\s]\d{3})*(?:\.\d{1,2})?", 0),
+        X.DATE: (
+            rf"(?iU)\b(?:\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}|\d{{4}}[/-]\d{{1,2}}[/-]\d{{1,2}}|\d{{1,2}}(?:st|nd|rd|th)?\s+{month},?\s+\d{{2,4}}|{month}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{2,4}})\b", 0,
+        ),
+        X.IDENTIFIER: (r"(?iU)\b(?:INV|PO|REF|ID|NO|#)[\s:#-]*([A-Z0-9-]{4,})\b", 1),
+        X.YEAR: (r"(?U)\b(?:19|20)\d{2}\b", 0),
+        X.KEYWORD: (r"(?U)\b[A-Z][a-zA-Z]{3,}\b", 0),
+        X.ASSEMBLY_DIGIT: (r"(?iU)\b(\d{1,3})(?:st|nd|rd|th)?\s+(?:Legislative\s+)?Assembly\b", 1),
+        X.SESSION_DIGIT: (r"(?iU)\bSession[-\s]*(\d{1,3})\b|\b(\d{1,3})(?:st|nd|rd|th)?\s+Session\b", 2),
+        X.PART: (r"(?iU)\bPart\s*-?\s*(I{1,3}|IV|V|1|2|3)\b", 1),
+    }
+    assert len(plain) == 10 and not [p for p, (q, _) in plain.items() if p == q]
+    bits = [
+        "a", "b.com", "@", "@x.org", ".", "_", "%", "-", "+", " ", "  ", "\n", " ", "1", "12", "1234", "٣", "é", "K", "ſep", "ı", "ınr", "İ", "\u212a", "\u0130nv", "USD", "usd ", "$", "€", "1,234", ".5", "(", ")", "(022)", "555", "6789", "Jan", "sept",
+        "MARCH", "3rd", "/", "1/2/2003", "1999", "2010", "INV", "ınv", "po", "ref#", "#", "ID", "AB-12", "Speaker", "Roads", "éRoad", "Session", "ſession", "session-", "3 ", " Assembly", "12th Assembly", "Legislative ", "Part", "part-", "ii", "IV", ",",
+    ]
+    r = random.Random(5)
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(12_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    both = [(X._all(t, p, g), X._all(t, q, g), X._first(t, p, g).eqNullSafe(X._first(t, q, g))) for p, (q, g) in plain.items()]
+    bad = df.select(t, *[F.when((a != b) | ~first, F.struct(a.alias("guarded"), b.alias("plain"))).alias(f"p{i}") for i, (a, b, first) in enumerate(both)])
+    assert bad.where(" OR ".join(f"p{i} IS NOT NULL" for i in range(len(both)))).limit(5).collect() == []
+    found = df.agg(*[F.sum(F.size(a)).alias(f"p{i}") for i, (a, _, _) in enumerate(both)]).first()
+    assert min(found) > 20
+
+
+def test_one_long_run_is_searched_once(spark):
+    text = F.concat(F.repeat(F.lit("x"), F.col("n")), F.lit("@@ a@b.org"))
+    df = spark.createDataFrame([(10,)], "n int").select(X.emails(text).alias("e"))
+    assert df.first()["e"] == ["a@b.org"]
+    start = time.time()
+    long = spark.createDataFrame([(400_000,)], "n int").select(X.emails(text).alias("e"))
+    assert long.first()["e"] == ["a@b.org"]
+    assert time.time() - start < 15
+
+
+_META = "document_id long, index_metadata struct<emails:array<string>,class_fields:map<string,string>>"
+
+
+def test_corrected_metadata_is_whole(spark):
+    docs = spark.createDataFrame([(1, (["a"], {"Year": "2001"})), (2, (["b"], {"Year": "2002"})), (3, (["c"], None)), (4, None), (5, None), (6, (None, {}))], _META)
+    fixes = spark.createDataFrame([(2, (None, {"Title": "t", "Year": "", "Date": None})), (3, None), (5, (["n"], None)), (9, (["x"], {}))], _META)
+    want = {1: (["a"], {"Year": "2001"}), 2: (None, {"Title": "t"}), 3: None, 4: None, 5: (["n"], None), 6: (None, {})}
+    out = M.correct_metadata(docs, fixes)
+    assert out.columns == docs.columns and out.schema["index_metadata"].dataType.names == ["emails", "class_fields"]
+    assert {r["document_id"]: r["index_metadata"] and tuple(r["index_metadata"]) for r in out.collect()} == want
+    read = out.select("document_id", "index_metadata.class_fields", F.col("index_metadata").isNull().alias("none")).collect()
+    assert {r["document_id"]: (r["class_fields"], r["none"]) for r in read} == {k: (v and v[1], v is None) for k, v in want.items()}
+
+
+def test_only_fields_that_are_read_go_through_a_correction(spark):
+    docs = M.extract_metadata(spark.createDataFrame([(1, "Memo", "mail a@b.org of 2001")], "document_id long, doc_class string, text string"), "text")
+    fixes = spark.createDataFrame([(2,)], "document_id long").join(docs.select("index_metadata").limit(0), how="left")
+    out = M.correct_metadata(docs, fixes)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    made = lambda df: plan(df).count(X.EMAIL) - plan(fixes).count(X.EMAIL)
+    assert made(out) > 0 and made(out.select("index_metadata.class_fields")) == 0
+    assert out.select("index_metadata.*").first()["emails"] == ["a@b.org"]
